@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import golay_simhash, lattice_dedup
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan
+
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +24,35 @@ def op2_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+    def n(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def verdicts(verdict: str):
+        return F.size(F.filter("found", lambda s: (s["verdict"] == verdict) & (s["kind"] != "live"))).cast("long")
+
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secret_scan.told(F.col("base")), 256).alias("base_sha256"), secret_scan.told(F.col("found")).alias("spans"), verdicts("live").alias("n_live"), verdicts("copied").alias("n_copied")
+    )
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_transducer.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False)
+
+
 QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_golay_simhash": op2_golay_simhash,
+    "op3_secret_ownership": op3_secret_ownership,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_bpe_transducer": op8_bpe_transducer,
 }
 
 ORACLE_SQL: dict[str, str] = {}
