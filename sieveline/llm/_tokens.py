@@ -9,7 +9,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points with the Unicode property White_Space, as in a character class.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f" (?=[^{WHITE}])")
 #: Remembered pieces before a worker starts afresh; a piece takes some 150 bytes.

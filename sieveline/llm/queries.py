@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan, token_count, token_store
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,14 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.index(spark, token_store.write(_table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
+def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
@@ -51,6 +59,8 @@ QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_golay_simhash": op2_golay_simhash,
     "op3_secret_ownership": op3_secret_ownership,
+    "op5_token_store": op5_token_store,
+    "op6_token_count": op6_token_count,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_transducer": op8_bpe_transducer,
 }
