@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan, token_count, token_store
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan, substring_dedup, token_count, token_store, warc_writer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -55,6 +55,14 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.encode(_table(spark, sf_dir, "documents"), BYTE_BPE, keep_ids=False)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(_table(spark, sf_dir, "documents"), with_text=False).drop("kept")
+
+
+def op10_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_writer.read(spark, warc_writer.write(_table(spark, sf_dir, "pages"))).drop("payload", "url")
+
+
 QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_golay_simhash": op2_golay_simhash,
@@ -63,6 +71,8 @@ QUERIES = {
     "op6_token_count": op6_token_count,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe_transducer": op8_bpe_transducer,
+    "op9_substring_dedup": op9_substring_dedup,
+    "op10_warc_writer": op10_warc_writer,
 }
 
 ORACLE_SQL: dict[str, str] = {}
