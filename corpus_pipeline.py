@@ -1,22 +1,59 @@
-"""The corpus pipeline: stages over ``documents``, each written and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again as the next one's input."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sieveline.llm import golay_simhash
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, language_id, secret_scan
 from sieveline.llm._shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is undetermined (no letters, no text) go; the rest stays as it is, whatever its label."""
+    found = language_id.identify(docs, language_id.train(docs))
+    rejected = found.where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
+    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    kept = golay_simhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Of each group of near copies the document with the smallest id stays."""
+    gone = golay_simhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontaminate.decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts are replaced: widely copied ones by [EXAMPLE], others by [SECRET]; every document stays."""
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    found = secret_scan.scan(keyed, id_col="_key").where(F.size("base") > 0).select("_key", "found").dropDuplicates(["_key"])
+    joined = keyed.join(found, "_key", "left")
+    text = F.when(F.col("found").isNotNull(), secret_scan.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
+    return joined.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))).select(*COLUMNS)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text that is left, with digests of the ids and of what they decode to."""
+    return bpe_transducer.encode(docs, TOKENIZER)
 
 
-STAGES = [("simhash near-dedup", simhash_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("secret scans", secret_stage),
+    ("BPE encoding and decoding", encoding_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
+#: Words are hashed with XXH64, languages predicted and ids merged in ways that SQL doesn't have; tests hold the stages against brute force.
 ORACLE_SQL = None

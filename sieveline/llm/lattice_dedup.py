@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,14 +88,16 @@ def packed(v: np.ndarray) -> bytes:
     return b"\4" + short.tobytes() if np.array_equal(short, v) else b"\10" + v.astype("<f8").tobytes()
 
 
-def unit_vector(raw: bytes) -> np.ndarray:
-    v = np.frombuffer(raw, "<f4" if raw[0] == 4 else "<f8", offset=1).astype(np.float64)
-    v = v / np.abs(v).max()
-    return v / math.sqrt(float(v @ v))
-
-
 def _units(raw: list[bytes]) -> np.ndarray:
-    return np.stack([unit_vector(x) for x in raw])
+    """Unit vectors of packed ones, all of one length."""
+    width = max(map(len, raw))
+    short = [x if x[0] == 4 else None for x in raw]
+    if None not in short:
+        v = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), width)[:, 1:].copy().view("<f4").astype(np.float64)
+    else:
+        v = np.stack([np.frombuffer(x, "<f4" if x[0] == 4 else "<f8", offset=1).astype(np.float64) for x in raw])
+    v /= np.abs(v).max(axis=1)[:, None]
+    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,43 +131,58 @@ def _keyed(tables: int, blocks: int, scale: float, seed: int):
     return run
 
 
-def _first_meeting(a: np.ndarray, b: np.ndarray, key: int, table: int) -> np.ndarray:
+def _first_meeting(a: np.ndarray, b: np.ndarray, key: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Whether ``key`` of ``table`` is the first cell that each pair of rows shares; a and b are (pairs, tables, cells)."""
     first = np.ones(len(a), bool)
-    for t in range(table + 1):
+    for t in range(int(table.max(initial=-1)) + 1):
         for i in range(a.shape[2]):
-            met = (a[:, t, i, None] == b[:, t, :]).any(axis=1)
+            met = (a[:, t, i, None] == b[:, t, :]).any(axis=1) & (t <= table)
             first &= ~met | ((t == table) & (a[:, t, i] >= key))
     return first
 
 
-def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: int):
+def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: int, dense: int = 12):
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     made: dict[int, np.ndarray] = {}
 
-    def unit(t: pa.Table, key: int, low: int, high: int) -> np.ndarray:
-        """All pairs of a unit, in tiles, that reach the threshold and first meet in this cell; rows node, node, copies, copies."""
-        node, block, copies = (t[n].to_numpy() for n in ("node", "block", "copies"))
-        x = _units(t["vector"].to_pylist())
-        left = np.arange(len(node)) if low == high else np.flatnonzero(block == low)
-        right = left if low == high else np.flatnonzero(block == high)
-        table, found, keys = t["at"][0].as_py(), [], None
-        for s in range(0, len(left), 512):
-            i = left[s : s + 512]
-            p, q = np.nonzero(x[i] @ x[right].T >= threshold)
-            p, q = i[p], right[q]
-            if low == high:
-                p, q = p[p < q], q[p < q]
-            if len(p) and keys is None:
-                dims = x.shape[1]
-                planes = made.setdefault(dims, projections(dims, tables, blocks, seed))
-                keys = cell_keys(x, planes, scale) ^ (dims << 40)
-            for c in range(0, len(p), 1 << 15):
-                a, b = p[c : c + (1 << 15)], q[c : c + (1 << 15)]
-                ok = _first_meeting(keys[a], keys[b], key, table)
-                a, b = a[ok], b[ok]
-                found.append(np.stack([node[a], node[b], copies[a], copies[b]]))
-        return np.concatenate(found, axis=1) if found else np.empty((4, 0), np.int64)
+    def firsts(x: np.ndarray, p: np.ndarray, q: np.ndarray, key: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Whether each pair of rows first meets in its cell."""
+        used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+        planes = made.setdefault(x.shape[1], projections(x.shape[1], tables, blocks, seed))
+        keys = cell_keys(x[used], planes, scale) ^ (x.shape[1] << 40)
+        return _first_meeting(keys[at[: len(p)]], keys[at[len(p) :]], key, table)
+
+    def compare(x: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
+        """All pairs within the units of sorted rows that reach the threshold and first meet there; rows node, node, copies, copies."""
+        key, low, high = c["key"], c["low"], c["high"]
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
+        sizes = np.diff(np.append(new, len(key)))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for s, n in zip(new[sizes > dense].tolist(), sizes[sizes > dense].tolist()):
+            rows = np.arange(s, s + n)
+            same = low[s] == high[s]
+            left = rows if same else rows[c["block"][rows] == low[s]]
+            right = rows if same else rows[c["block"][rows] == high[s]]
+            for t in range(0, len(left), 512):
+                p, q = np.nonzero(x[left[t : t + 512]] @ x[right].T >= threshold)
+                p, q = left[t + p], right[q]
+                found.append((p[p < q], q[p < q]) if same else (p, q))
+        left = np.repeat(np.where(sizes <= dense, sizes, 0), sizes) - (np.arange(len(key)) - np.repeat(new, sizes))  # rows of the unit from here on
+        at = np.flatnonzero(left > 1)
+        for lag in range(1, dense):
+            at = at[left[at] > lag]
+            if not len(at):
+                break
+            hit = at[(np.einsum("ij,ij->i", x[at], x[at + lag]) >= threshold) & ((low[at] == high[at]) | (c["block"][at] != c["block"][at + lag]))]
+            found.append((hit, hit + lag))
+        out = []
+        for p, q in found:
+            for s in range(0, len(p), 1 << 15):
+                i, j = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
+                ok = firsts(x, i, j, key[i], c["at"][i])
+                i, j = i[ok], j[ok]
+                out.append(np.stack([c["node"][i], c["node"][j], c["copies"][i], c["copies"][j]]))
+        return np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
 
     def told(pairs: np.ndarray) -> pa.RecordBatch:
         """Counts of links by node (kind 0) and edges of a forest (kind 1): at most twice as many rows as nodes."""
@@ -176,28 +194,26 @@ def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: in
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([nodes, tree[:, 0]])), pa.array(np.concatenate([counts, tree[:, 1]]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        mark = None
+        names = ("key", "low", "high", "block", "node", "copies", "at")
+        held: dict[int, list[tuple[np.ndarray, dict[str, np.ndarray]]]] = {}  # by dimensions, which a key depends on: the rows of a unit that may go on
         out: list[np.ndarray] = []
 
-        def close() -> None:
-            if sum(map(len, held)) > 1 and (found := unit(pa.Table.from_batches(held), *mark)).size:
-                out.append(found)
+        def joined(parts: list) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+            return np.concatenate([p[0] for p in parts]), {n: np.concatenate([p[1][n] for p in parts]) for n in names}
 
         for batch in batches:
-            key, low, high = (batch.column(n).to_numpy() for n in ("key", "low", "high"))
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
-                if s == e:
-                    continue
-                if (now := (int(key[s]), int(low[s]), int(high[s]))) != mark:
-                    close()
-                    held, mark = [], now
-                held.append(batch.slice(s, e - s))
+            for dims in np.unique(batch.column("dims").to_numpy()).tolist():
+                t = batch.filter(pa.compute.equal(batch.column("dims"), dims))
+                x, c = _units(t.column("vector").to_pylist()), {n: t.column(n).to_numpy() for n in names}
+                last = np.flatnonzero((c["key"] != c["key"][-1]) | (c["low"] != c["low"][-1]) | (c["high"] != c["high"][-1]))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    out.append(compare(*joined([*held.pop(dims, []), (x[:cut], {n: v[:cut] for n, v in c.items()})])))
+                held.setdefault(dims, []).append((x[cut:], {n: v[cut:] for n, v in c.items()}))
             if sum(x.shape[1] for x in out) > 200_000:
                 yield told(np.concatenate(out, axis=1))
                 out.clear()
-        close()
+        out += [compare(*joined(parts)) for parts in held.values()]
         if out:
             yield told(np.concatenate(out, axis=1))
 

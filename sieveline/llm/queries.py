@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, lattice_dedup, secret_scan, substring_dedup, token_count, token_store, warc_writer
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, language_id, lattice_dedup, secret_scan, substring_dedup, token_count, token_store, warc_writer
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -38,6 +38,11 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).drop("spans")
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.index(spark, token_store.write(_table(spark, sf_dir, "documents"), BYTE_BPE))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_lattice_dedup": op1_lattice_dedup,
     "op2_golay_simhash": op2_golay_simhash,
     "op3_secret_ownership": op3_secret_ownership,
+    "op4_language_id": op4_language_id,
     "op5_token_store": op5_token_store,
     "op6_token_count": op6_token_count,
     "op7_decontaminate": op7_decontaminate,
