@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
+import regex
 
 #: Code points with the Unicode property White_Space, as in a character class.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -39,23 +42,55 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
 
 
+#: The words of byte-level BPE, with white space spelt out.
+_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
+_PLAIN = regex.compile("[\0-ſ]*")
+
+
+def byte_symbols() -> list[str]:
+    """The printable character that byte-level BPE writes for each byte."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    moved = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(moved)) for b in range(256)]
+
+
+def words_of(piece: str, path: str) -> list[bytes]:
+    """The words of a piece of text in UTF-8; scripts beyond Latin are cut by the library itself, whose Unicode tables decide."""
+    if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        return [piece.encode()]
+    if piece.isascii() or _PLAIN.fullmatch(piece):
+        return [w.encode() for w in _WORD.findall(piece)]
+    cut = tokenizer(path).pre_tokenizer.pre_tokenize_str(piece)
+    back = _back()
+    return [bytes(back[c] for c in w) for w, _ in cut]
+
+
+@lru_cache(maxsize=1)
+def _back() -> dict[str, int]:
+    return {s: b for b, s in enumerate(byte_symbols())}
+
+
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes() if sys.byteorder != "little" else array("I", ids).tobytes()
+
+
 class PieceEncoder:
     """Encodes texts with a byte-level tokenizer piece by piece, each distinct piece once while it is remembered.
 
-    ``encode_new`` gets distinct pieces and returns the ids of each. Texts that hold an added token's string are
+    ``encode_new`` gets distinct pieces and returns the packed ids of each. Texts that hold an added token's string are
     encoded whole by the library.
     """
 
-    def __init__(self, path: str, encode_new: Callable[[list[str]], Iterable[list[int]]]):
+    def __init__(self, path: str, encode_new: Callable[[list[str]], Iterable[bytes]]):
         self.path, self.encode_new = path, encode_new
         self.added = added_strings(path)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        new_list = sorted(new)
-        for p, ids in zip(new_list, self.encode_new([lead + p for p in new_list])):
-            known[p] = np.array(ids, "<u4").tobytes()
+        new_list = list(new)
+        known.update(zip(new_list, self.encode_new([lead + p for p in new_list])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -73,7 +108,7 @@ class PieceEncoder:
         for t, c in zip(texts, cut):
             if c is None:
                 ids = tokenizer(self.path).encode(t, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4").tobytes())
+                out.append(packed(ids))
             else:
                 out.append(self.first[c[0]] + b"".join(map(later, c[1:])))
         return out
@@ -91,5 +126,25 @@ def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[tuple[int, int]
         yield start, len(texts)
 
 
+class LibraryWords:
+    """Ids of pieces by the library: words are cut as its pre-tokenizer does and each distinct one goes through its model."""
+
+    def __init__(self, path: str):
+        self.path, self.model = path, tokenizer(path).model
+        self.symbols = byte_symbols()
+        self.known: dict[bytes, bytes] = {}
+
+    def __call__(self, new: list[str]) -> Iterable[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, symbol, tokenize, path = self.known, self.symbols.__getitem__, self.model.tokenize, self.path
+        for p in new:
+            words = words_of(p, path)
+            for w in words:
+                if w not in known:
+                    known[w] = packed([t.id for t in tokenize("".join(map(symbol, w)))])
+            yield known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
+
+
 def library_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, lambda new: [x.ids for x in tokenizer(path).encode_batch_fast(new, add_special_tokens=False)] if new else [])
+    return PieceEncoder(path, LibraryWords(path))

@@ -15,30 +15,18 @@ import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import _tokens
-from sieveline.llm._shared import work_path
+from sieveline.llm._shared import work_path, written
 
 LEXICON_WORDS = 50_000
-#: The words of byte-level BPE, with white space spelt out.
-_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_tokens.WHITE}\p{{L}}\p{{N}}]+|[{_tokens.WHITE}]+(?![^{_tokens.WHITE}])|[{_tokens.WHITE}]+")
-_PLAIN = regex.compile("[\0-ſ]*")
-
-
-def byte_symbols() -> list[str]:
-    """The printable character that byte-level BPE writes for each byte."""
-    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    moved = iter(range(256, 512))
-    return [chr(b) if b in kept else chr(next(moved)) for b in range(256)]
-
-
 class Merger:
     """Exact BPE over the vocabulary and merges of a tokenizer file."""
 
@@ -46,12 +34,14 @@ class Merger:
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         self.vocab: dict[str, int] = model["model"]["vocab"]
-        symbols = byte_symbols()
+        symbols = _tokens.byte_symbols()
         self.byte_ids = [self.vocab[s] for s in symbols]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []  # the id that each rank's merge makes
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+            self.ranks[self.vocab[a], self.vocab[b]] = rank
+            self.made.append(self.vocab[a + b])
         back = {s: b for b, s in enumerate(symbols)}
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items() if all(c in back for c in s)}
         for t in model["added_tokens"]:
@@ -60,15 +50,18 @@ class Merger:
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank, leftmost first, is merged until none is left."""
         ids = [self.byte_ids[b] for b in word]
-        if len(ids) > 48:
+        if len(ids) > 200:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best = min(((m[0], i) for i, p in enumerate(zip(ids, ids[1:])) if (m := merges.get(p))), default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+        get, none, made = self.ranks.get, len(self.made), self.made
+        ranks = [get(p, none) for p in pairwise(ids)]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i] = made[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -79,17 +72,17 @@ class Merger:
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if i >= 0 and j < n and (m := self.merges.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (m[0], i, ids[i], ids[j]))
+            if i >= 0 and j < n and (rank := self.ranks.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(queue, (rank, i, ids[i], ids[j]))
 
         for i in range(n - 1):
             offer(i)
         while queue:
-            _, i, a, b = heapq.heappop(queue)
+            rank, i, a, b = heapq.heappop(queue)
             j = after[i] if ids[i] == a else n
             if j >= n or ids[j] != b:
                 continue
-            ids[i] = self.merges[a, b][1]
+            ids[i] = self.made[rank]
             ids[j] = -1
             after[i] = after[j]
             if after[j] < n:
@@ -169,7 +162,7 @@ class Transducer:
             path = copy.name
         with open(path, "rb") as f:
             sizes = json.loads(f.read(4096))
-        raw, at = np.memmap(path, "<i8", "r", offset=4096) if sum(sizes.values()) else np.zeros(0, np.int64), 0
+        raw, at = np.asarray(np.memmap(path, "<i8", "r", offset=4096)) if sum(sizes.values()) else np.zeros(0, np.int64), 0
         for name, n in sizes.items():
             setattr(self, name, raw[at : at + n])
             at += n
@@ -198,20 +191,6 @@ class Transducer:
         return self.ids[self.starts[number] : self.starts[number + 1]].tolist()
 
 
-def words_of(piece: str, path: str) -> list[bytes]:
-    """The words of a piece of text in UTF-8; scripts beyond Latin are cut by the library itself, whose Unicode tables decide."""
-    if _PLAIN.fullmatch(piece):
-        return [w.encode() for w in _WORD.findall(piece)]
-    cut = _tokens.tokenizer(path).pre_tokenizer.pre_tokenize_str(piece)
-    back = _back()
-    return [bytes(back[c] for c in w) for w, _ in cut]
-
-
-@lru_cache(maxsize=1)
-def _back() -> dict[str, int]:
-    return {s: b for b, s in enumerate(byte_symbols())}
-
-
 @lru_cache(maxsize=2)
 def merger(path: str) -> Merger:
     return Merger(path)
@@ -222,54 +201,60 @@ class WordEncoder:
 
     def __init__(self, path: str, lexicon: str):
         self.path, self.transducer, self.merger = path, Transducer(lexicon), merger(path)
-        self.unseen: dict[bytes, list[int]] = {}
+        self.unseen: dict[bytes, bytes] = {}
 
-    def __call__(self, new: list[str]) -> Iterator[list[int]]:
-        cut = [words_of(p, self.path) for p in new]
-        distinct = sorted({w for ws in cut for w in ws})
+    def __call__(self, new: list[str]) -> Iterator[bytes]:
+        cut = [_tokens.words_of(p, self.path) for p in new]
+        distinct = list({w for ws in cut for w in ws})
         if len(self.unseen) > _tokens.REMEMBERED:
             self.unseen.clear()
-        ids: dict[bytes, list[int]] = {}
+        ids: dict[bytes, bytes] = {}
         for w, n in zip(distinct, self.transducer.numbers(distinct).tolist()):
             if n >= 0:
-                ids[w] = self.transducer.ids_of(n)
+                ids[w] = _tokens.packed(self.transducer.ids_of(n))
             else:
                 if w not in self.unseen:
-                    self.unseen[w] = self.merger.merge(w)
+                    self.unseen[w] = _tokens.packed(self.merger.merge(w))
                 ids[w] = self.unseen[w]
         for ws in cut:
-            yield [i for w in ws for i in ids[w]]
+            yield ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        first: Counter = Counter()
+        later: Counter = Counter()
 
         def told() -> pa.RecordBatch:
             words: Counter = Counter()
-            for (lead, piece), n in counts.items():
-                for w in words_of(lead + piece, path):
-                    words[w] += n
-            counts.clear()
+            for lead, counts in (("", first), (" ", later)):
+                for piece, n in counts.items():
+                    for w in _tokens.words_of(lead + piece, path):
+                        words[w] += n
+                counts.clear()
             return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                first, *later = _tokens.pieces(t or "")
-                counts["", first] += 1
-                for p, n in Counter(later).items():
-                    counts[" ", p] += n
-            if len(counts) > 1_000_000:
-                yield told()
+                cut = _tokens.pieces(t or "")
+                first[cut[0]] += 1
+                later.update(cut[1:])
+                if len(later) > 1_000_000:
+                    yield told()
         yield told()
 
     return run
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
-    """Counts the words of all texts, compiles the ``words`` most frequent (ties by bytes) and returns the file's address."""
+    """Counts the words of all texts, compiles the most frequent, ``words`` at most (all or none of those with equal counts), and returns the file's address."""
     counts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_counted(path), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()  # so many words at most
+    counts = written(counts, "words")
+    # the least count at which no more than so many words are left; there are few different counts
+    steps = Window.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sizes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("words"))
+    least = sizes.withColumn("upto", F.sum("words").over(steps)).where(F.col("upto") <= words).agg(F.min("n")).first()[0]
+    top = counts.where(F.col("n") >= least).collect() if least is not None else []
     bpe = merger(path)
     uri = work_path(docs.sparkSession, "lexicon") + "/words.bin"
     save(compile_automaton({bytes(r["word"]): bpe.merge(bytes(r["word"])) for r in top if r["word"]}), uri)
