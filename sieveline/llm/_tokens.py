@@ -15,8 +15,8 @@ import regex
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _UNEVEN = re.compile(f" (?:[{WHITE}]|\\Z)")
 _CUT = re.compile(f" (?=[^{WHITE}])")
-#: Remembered pieces before a worker starts afresh; a piece takes some 150 bytes.
-REMEMBERED = 300_000
+#: Remembered pieces before a worker lets the older ones go; a piece takes some 150 bytes.
+REMEMBERED = 200_000
 
 
 @lru_cache(maxsize=4)
@@ -44,7 +44,7 @@ def pieces(text: str) -> list[str]:
 
 #: The words of byte-level BPE, with white space spelt out.
 _WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-_PLAIN = regex.compile("[\0-ſ]*")
+_STOPS = frozenset(".,;:!?")
 
 
 def byte_symbols() -> list[str]:
@@ -56,9 +56,14 @@ def byte_symbols() -> list[str]:
 
 def words_of(piece: str, path: str) -> list[bytes]:
     """The words of a piece of text in UTF-8; scripts beyond Latin are cut by the library itself, whose Unicode tables decide."""
-    if piece.isascii() and piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-        return [piece.encode()]
-    if piece.isascii() or _PLAIN.fullmatch(piece):
+    if not piece:
+        return []
+    if max(piece) <= "\u017f":
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():
+            return [piece.encode()]
+        if body[-1:] in _STOPS and body[:-1].isalpha():
+            return [piece[:-1].encode(), piece[-1:].encode()]
         return [w.encode() for w in _WORD.findall(piece)]
     cut = tokenizer(path).pre_tokenizer.pre_tokenize_str(piece)
     back = _back()
@@ -87,6 +92,7 @@ class PieceEncoder:
         self.added = added_strings(path)
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
         new_list = list(new)
@@ -95,14 +101,16 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.first) + len(self.later) > REMEMBERED:
-            self.first.clear()
-            self.later.clear()
+            self.first, self.older, self.later = {}, self.later, {}
         cut = [None if any(a in t for a in self.added) else pieces(t) for t in texts]
         new: set[str] = set()
         for c in cut:
             if c:
                 new.update(c[1:])
-        self._learn(self.later, new - self.later.keys(), " ")
+        new -= self.later.keys()
+        again = new & self.older.keys()
+        self.later.update((p, self.older[p]) for p in again)
+        self._learn(self.later, new - again, " ")
         self._learn(self.first, {c[0] for c in cut if c} - self.first.keys(), "")
         out, later = [], self.later.__getitem__
         for t, c in zip(texts, cut):
@@ -126,25 +134,46 @@ def slices(texts: list[str], chars: int = 4_000_000) -> Iterable[tuple[int, int]
         yield start, len(texts)
 
 
-class LibraryWords:
-    """Ids of pieces by the library: words are cut as its pre-tokenizer does and each distinct one goes through its model."""
+class Memo(dict):
+    """Remembers what ``make`` returns: the latest entries, and as many before them, so frequent keys are never lost."""
+
+    def __init__(self, make: Callable, most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        self[key] = found = self.make(key) if found is None else found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+
+class LibraryEncoder:
+    """As PieceEncoder, by the library alone: words are cut as its pre-tokenizer does and each goes through its model."""
 
     def __init__(self, path: str):
-        self.path, self.model = path, tokenizer(path).model
-        self.symbols = byte_symbols()
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, new: list[str]) -> Iterable[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, symbol, tokenize, path = self.known, self.symbols.__getitem__, self.model.tokenize, self.path
-        for p in new:
-            words = words_of(p, path)
-            for w in words:
-                if w not in known:
-                    known[w] = packed([t.id for t in tokenize("".join(map(symbol, w)))])
-            yield known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])
-
-
-def library_encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path, LibraryWords(path))
+        self.path, self.added = path, added_strings(path)
+        tokenize, symbol = tokenizer(path).model.tokenize, byte_symbols().__getitem__
+        self.words = Memo(lambda w: packed([t.id for t in tokenize("".join(map(symbol, w)))]))
+        self.first, self.later = Memo(self._ids), Memo(lambda piece: self._ids(" " + piece))
+
+    def _ids(self, text: str) -> bytes:
+        words, ids = words_of(text, self.path), self.words
+        return ids[words[0]] if len(words) == 1 else b"".join([ids[w] for w in words])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        for memo in (self.first, self.later, self.words):
+            memo.trim()
+        out, later = [], self.later.__getitem__
+        for t in texts:
+            if any(a in t for a in self.added):
+                out.append(packed(tokenizer(self.path).encode(t, add_special_tokens=False).ids))
+            else:
+                first, *rest = pieces(t)
+                out.append(self.first[first] + b"".join(map(later, rest)))
+        return out

@@ -40,7 +40,7 @@ WRITER = {
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, row = _tokens.library_encoder(path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, end, row = _tokens.LibraryEncoder(path), np.array([end_id], "<u4").tobytes(), 0
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s, e in _tokens.slices(texts, 2_000_000):
