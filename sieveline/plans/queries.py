@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sieveline.functions import scalar
+from sieveline.functions import parsers, scalar
+from sieveline.functions.embed import HashingEmbedder, embed_column
 from sieveline.operators import graph, impact, incremental, predicates, ranking, search, state
 from sieveline.plans import adapters as a
 from sieveline.streaming import events as ev
@@ -509,3 +510,46 @@ def event_moves(spark, sf_dir):
 )
 def state_transitions(spark, sf_dir):
     return state.state_log(a.actions(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "action", "after", "before")
+
+
+# ---- parsers, over sources given in the query itself; the expectations are written by hand ----
+_SOURCE = 'from b import helper\n\nclass A(Base):\n    """Doc."""\n    def run(self):\n        return self.stop()\n\n    def stop(self):\n        return helper(1)\n\ndef main():\n    A().run()\n'
+_TS_SOURCE = "import { go } from './lib';\nexport function start(n: number) {\n  return go(n);\n}\n"
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("p/a.py", _SOURCE), ("p/k.ts", _TS_SOURCE), ("p/notes.md", "none")], "path string, content string")
+
+
+@query(
+    "python_chunks",
+    """SELECT * FROM (VALUES ('p/a.py', 1, 13, '<module>', 20), ('p/a.py', 3, 9, 'A', 121), ('p/a.py', 5, 6, 'run', 41), ('p/a.py', 8, 9, 'stop', 40), ('p/a.py', 11, 12, 'main', 25),
+    ('p/k.ts', 1, 5, '<module>', 27), ('p/k.ts', 2, 4, 'start', 52)) t(path, start_line, end_line, symbol, n_chars)""",
+)
+def python_chunks(spark, sf_dir):
+    return parsers.chunk_files(_sources(spark)).select("path", "start_line", "end_line", "symbol", F.length("content").alias("n_chars"))
+
+
+@query(
+    "skeleton_rows",
+    """SELECT * FROM (VALUES ('p/a.py', 0, 'class', 'A', 3, 9, 'class A(Base):'), ('p/a.py', 1, 'function', 'A.run', 5, 6, 'def run(self):'), ('p/a.py', 1, 'function', 'A.stop', 8, 9, 'def stop(self):'),
+    ('p/a.py', 0, 'function', 'main', 11, 12, 'def main():'), ('p/k.ts', 0, 'function', 'start', 2, 4, 'export function start(n: number)')) t(path, depth, kind, qualified_name, start_line, end_line, signature)""",
+)
+def skeleton_rows(spark, sf_dir):
+    return parsers.skeleton(_sources(spark)).select("path", "depth", "kind", "qualified_name", "start_line", "end_line", "signature")
+
+
+@query(
+    "graph_facts",
+    """SELECT * FROM (VALUES ('p/a.py', 'b', 'imports'), ('p/a.py', 'p/a.py::A', 'defines'), ('p/a.py', 'p/a.py::main', 'defines'), ('p/a.py::A', 'p/a.py::A.run', 'defines'), ('p/a.py::A', 'p/a.py::A.stop', 'defines'),
+    ('p/a.py::A', 'Base', 'inherits'), ('p/a.py::A.run', 'p/a.py::A.stop', 'calls'), ('p/a.py::A.stop', 'b::helper', 'calls'), ('p/a.py::main', 'p/a.py::A', 'calls'), ('p/a.py::main', 'run', 'calls'),
+    ('p/k.ts', 'p/lib', 'imports'), ('p/k.ts', 'p/k.ts::start', 'defines'), ('p/k.ts::start', 'p/lib::go', 'calls')) t(source, target, kind)""",
+)
+def graph_facts(spark, sf_dir):
+    return parsers.graph_facts(_sources(spark))[1]
+
+
+@query("embed_hashing", None)
+def embed_hashing(spark, sf_dir):
+    vector = embed_column(F.col("content"), HashingEmbedder(64))
+    return a.chunks(spark, sf_dir).select("doc_id", vector.alias("vector"))
