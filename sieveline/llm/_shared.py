@@ -82,8 +82,7 @@ def forest(left, right):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src long, dst long; either direction, repeats and self-links allowed).
 
-    Returns (node, component): every node of an edge between two different nodes, with the smallest node that it
-    reaches. Alternates large-star and small-star steps, so hubs with very many edges converge in a few rounds and no
+    Returns (node, component): every node that reaches a smaller one, with the smallest that it reaches. Alternates large-star and small-star steps, so hubs with very many edges converge in a few rounds and no
     neighbourhood is ever gathered; each round's edges are written to the shared folder. Null ends are ignored.
     """
     spark = edges.sparkSession
@@ -98,7 +97,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         now = written(small, "links")
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
+        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = seen

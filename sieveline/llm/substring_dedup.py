@@ -2,7 +2,7 @@
 
 First pass: every partition sketches how often it sees each window of words, as sorted counter positions; the merged
 sketch overestimates the corpus's counts, so a window that it counts once occurs once. Second pass: windows that it
-counts at least twice are grouped exactly by a 128-bit hash and attributed to the smallest document that holds them.
+counts at least twice are grouped exactly by a 96-bit hash and attributed to the smallest document that holds them.
 A task settles what repeats among its own documents by itself and sends on one document for each window, so windows
 that very many documents share never gather in one place.
 """
@@ -107,11 +107,12 @@ def _packed(positions: np.ndarray) -> bytes:
     more = steps // 65535
     out = np.full(len(steps) + int(more.sum()), 65535, "<u2")
     out[np.arange(len(steps)) + np.cumsum(more)] = steps % 65535
-    return out.tobytes()
+    return len(out).to_bytes(4, "little") + pa.compress(out.tobytes(), "zstd", asbytes=True)
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, "<u2").astype(np.int64)
+    size = int.from_bytes(raw[:4], "little")
+    steps = np.frombuffer(pa.decompress(raw[4:], 2 * size, "zstd", asbytes=True), "<u2").astype(np.int64)
     return np.cumsum(steps)[steps != 65535]
 
 
@@ -161,16 +162,35 @@ def runs(positions: np.ndarray) -> np.ndarray:
     return np.stack([positions[np.concatenate([[0], cut + 1])], positions[np.concatenate([cut, [len(positions) - 1]])]], axis=1).astype("<i4")
 
 
-def _told(doc: np.ndarray, key: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int], list[bytes]]:
-    """Runs of starts of repeated windows by document: lists of doc_id, key and the packed runs."""
-    order = np.lexsort((at, key, doc))
-    doc, key, at = doc[order], key[order], at[order]
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])])) if len(doc) else np.zeros(0, int)
-    return doc[new].tolist(), key[new].tolist(), [runs(np.unique(x)).tobytes() for x in np.split(at, new[1:])] if len(new) else []
+def _places(doc: np.ndarray, key: np.ndarray, at: np.ndarray, shards: int) -> tuple[list[int], list[bytes]]:
+    """Starts of repeated windows as a payload for each shard of documents."""
+    shard = doc % shards
+    order = np.lexsort((at, key, doc, shard))
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    found = [(i, order[s:e]) for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if s < e]
+    return [i for i, _ in found], [_payload(doc[x], key[x], at[x]) for _, x in found]
+
+
+def _payload(doc: np.ndarray, key: np.ndarray, at: np.ndarray, *hashes: np.ndarray) -> bytes:
+    """Windows as columns: documents and keys once each, then for every window which of them, where, and its hashes."""
+    table, which = np.unique(np.stack([doc, key]), axis=1, return_inverse=True)
+    return np.array([len(at), table.shape[1]], "<u4").tobytes() + table.astype("<i8").tobytes() + which.reshape(-1).astype("<u4").tobytes() + at.astype("<u4").tobytes() + b"".join(h.tobytes() for h in hashes)
+
+
+def _columns(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    n, m = np.frombuffer(raw, "<u4", 2).tolist()
+    table = np.frombuffer(raw, "<i8", 2 * m, 8).reshape(2, m)
+    at = 8 + 16 * m
+    which, starts = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<u4", n, at + 4 * n)
+    out, at = [table[0][which], table[1][which], starts.astype(np.int64)], at + 8 * n
+    for k in kinds:
+        out.append(np.frombuffer(raw, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
 
 
 def _smaller(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each window, whether the same one starts in a smaller document, and whether it stands in its smallest document."""
+    """For each window (by its hashes), whether the same one starts in a smaller document, and whether it stands in its smallest document."""
     order = np.lexsort((doc, b, a))
     x, y, d = a[order], b[order], doc[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.zeros(0, bool)
@@ -180,11 +200,11 @@ def _smaller(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray,
     return repeated, ~repeated
 
 
-_ROWS = "bucket int, doc_id long, key long, payload binary"
+_ROWS = "bucket int, payload binary"
 
 
-def _suspects(n: int, width: int, sketch: str, buckets: int):
-    """Windows that the sketch counts twice. Rows of bucket -1 are settled runs; others are (a, b, doc, key, at) columns."""
+def _suspects(n: int, width: int, sketch: str, buckets: int, shards: int):
+    """Windows that the sketch counts twice, by bucket of their hash; settled ones have the bucket -1 - shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = mapped(sketch)
@@ -197,57 +217,88 @@ def _suspects(n: int, width: int, sketch: str, buckets: int):
                 for depth, c in enumerate(counters(a, b, width)):
                     c = c + depth * slices * SLICE_COUNTERS
                     keep &= (bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
-                a, b, at, row = a[keep], b[keep], at[keep], np.array(rows)[doc[keep]]
+                a, b, at, row = a[keep], b[keep].astype("<u4"), at[keep], np.array(rows)[doc[keep]]
                 doc, key = ids[row], keys[row]
                 repeated, first = _smaller(a, b, doc)
-                d, k, p = _told(doc[repeated], key[repeated], at[repeated])
-                out = [([-1 - (x % buckets) for x in d], d, k, p)]
+                to, out = _places(doc[repeated], key[repeated], at[repeated], shards)
+                to = [-1 - x for x in to]
                 bucket = (a % np.uint64(buckets)).astype(np.int64)
                 order = np.flatnonzero(first)[np.argsort(bucket[first], kind="stable")]
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
                 for x, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
                     if s < e:
                         i = order[s:e]
-                        out.append(([x], [0], [0], [b"".join(z.astype("<i8").tobytes() for z in (a[i].view(np.int64), b[i].view(np.int64), doc[i], key[i])) + at[i].astype("<i4").tobytes()]))
-                columns = [[v for o in out for v in o[j]] for j in range(4)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["bucket", "doc_id", "key", "payload"])
+                        to.append(x)
+                        out.append(_payload(doc[i], key[i], at[i], a[i], b[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
     return run
 
 
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups the windows of each bucket exactly; rows (doc_id, key, runs) of repeated windows."""
+def _settled(shards: int, at_once: int = 2_000_000):
+    """Groups the windows of each bucket exactly; rows (shard, payload) of the starts of repeated ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        held: list[bytes] = []
+        out: list[list[np.ndarray]] = []
+
+        def rows(shard: list[int], payload: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(payload, pa.binary())], names=["shard", "payload"])
+
+        def settle() -> None:
+            doc, key, at, a, b = (np.concatenate(x) for x in zip(*(_columns(raw, "<u8", "<u4") for raw in held)))
+            repeated, _ = _smaller(a, b, doc)
+            out.append([doc[repeated], key[repeated], at[repeated]])
+
+        def told() -> pa.RecordBatch:
+            doc, key, at = (np.concatenate(x) for x in zip(*out))
+            out.clear()
+            return rows(*_places(doc, key, at, shards))
+
+        for batch in batches:
+            bucket = batch.column(0).to_numpy()
+            done = np.flatnonzero(bucket < 0)
+            if len(done):
+                yield rows((-1 - bucket[done]).tolist(), batch.column(1).take(pa.array(done)).to_pylist())
+            for i in np.flatnonzero(bucket >= 0).tolist():
+                if bucket[i] != now:
+                    if held:
+                        settle()
+                        if sum(len(x[0]) for x in out) > at_once:
+                            yield told()
+                    now, held = int(bucket[i]), []
+                held.append(batch.column(1)[i].as_py())
+        if held:
+            settle()
+        if out:
+            yield told()
+
+    return run
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, key, runs) of the documents of each shard."""
     now: int | None = None
     held: list[bytes] = []
 
-    def told(d: list, k: list, p: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.binary())], names=["doc_id", "key", "runs"])
-
-    def settle() -> pa.RecordBatch:
-        parts: list[list[np.ndarray]] = [[], [], [], [], []]
-        for raw in held:
-            n = len(raw) // 36
-            for j in range(4):
-                parts[j].append(np.frombuffer(raw, "<i8", n, 8 * n * j))
-            parts[4].append(np.frombuffer(raw, "<i4", n, 32 * n))
-        a, b, doc, key, at = (np.concatenate(x) for x in parts)
-        repeated, _ = _smaller(a, b, doc)
-        return told(*_told(doc[repeated], key[repeated], at[repeated]))
+    def told() -> pa.RecordBatch:
+        doc, key, at = (np.concatenate(x) for x in zip(*map(_columns, held)))
+        order = np.lexsort((at, key, doc))
+        doc, key, at = doc[order], key[order], at[order]
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])]))
+        found = [runs(np.unique(x)).tobytes() for x in np.split(at, new[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(doc[new]), pa.array(key[new]), pa.array(found, pa.binary())], names=["doc_id", "key", "runs"])
 
     for batch in batches:
-        bucket = batch.column(0).to_numpy()
-        done = np.flatnonzero(bucket < 0)
-        if len(done):
-            t = batch.take(pa.array(done))
-            yield told(t.column(1).to_pylist(), t.column(2).to_pylist(), t.column(3).to_pylist())
-        for i in np.flatnonzero(bucket >= 0).tolist():
-            if bucket[i] != now:
+        for shard, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if shard != now:
                 if held:
-                    yield settle()
-                now, held = int(bucket[i]), []
-            held.append(batch.column(3)[i].as_py())
+                    yield told()
+                now, held = shard, []
+            held.append(raw)
     if held:
-        yield settle()
+        yield told()
 
 
 def _kept(n: int, with_text: bool):
@@ -257,7 +308,7 @@ def _kept(n: int, with_text: bool):
             for text, found in zip(batch.column(1), batch.column(2)):
                 words = split_words(text.as_py())
                 gone = np.zeros(len(words) + 1, np.int32)
-                for raw in found.as_py() or ():
+                if (raw := found.as_py()) is not None:
                     r = np.frombuffer(raw, "<i4").reshape(-1, 2)
                     np.add.at(gone, r[:, 0], 1)
                     np.add.at(gone, r[:, 1] + n, -1)
@@ -285,9 +336,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     width = -(-width // SLICE_COUNTERS) * SLICE_COUNTERS
     sketch = build_sketch(rows.select("text"), n, width)
     buckets = max(partitions(spark), -(-windows // WINDOWS_PER_BUCKET))
-    suspects = rows.select("doc_id", "key", "text").mapInArrow(_suspects(n, width, sketch, buckets), _ROWS)
-    dealt = suspects.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket")
-    found = dealt.mapInArrow(_settled, "doc_id long, key long, runs binary").groupBy("doc_id", "key").agg(F.collect_list("runs").alias("runs"))
+    shards = partitions(spark)
+    suspects = rows.select("doc_id", "key", "text").mapInArrow(_suspects(n, width, sketch, buckets, shards), _ROWS)
+    dealt = suspects.repartition(shards, "bucket").sortWithinPartitions("bucket")
+    places = dealt.mapInArrow(_settled(shards), "shard int, payload binary")
+    found = places.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(_gathered, "doc_id long, key long, runs binary")
     joined = rows.join(found, ["doc_id", "key"], "left").select("doc_id", "text", "runs")
     out = joined.mapInArrow(_kept(n, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     return out.withColumnRenamed("doc_id", id_col)
