@@ -63,7 +63,7 @@ def _writer(folder: str, roll_bytes: int, level: int):
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         attempt = uuid.uuid4().hex
         shard, part, name, out, count, size, digest = None, 0, "", None, 0, 0, None
-        seen: tuple | None = None
+        at, first, seen = None, {}, set()  # of the page at hand: first pages by digest, digests written
 
         def close() -> pa.RecordBatch:
             out.close()
@@ -71,9 +71,17 @@ def _writer(folder: str, roll_bytes: int, level: int):
 
         for batch in batches:
             for s, page, url, html, sha, refers in zip(*(batch.column(c) for c in range(6))):
-                page, sha, refers, html = page.as_py(), sha.as_py(), refers.as_py(), (html.as_py() or "").encode("utf-8", "surrogatepass")
-                if refers == page and seen != (page, sha):
-                    seen, refers = (page, sha), None  # rows that repeat the first page revisit it
+                if (page := page.as_py()) != at:
+                    at, first, seen = page, {}, set()
+                if refers.is_valid:
+                    first[sha.as_py()] = refers.as_py()
+                    continue
+                html = (html.as_py() or "").encode("utf-8", "surrogatepass")
+                sha = hashlib.sha256(html).hexdigest()
+                refers = first.get(sha)
+                if refers == page and sha not in seen:  # rows that repeat the first page revisit it
+                    seen.add(sha)
+                    refers = None
                 packed = record(page, url.as_py() or "", html, sha, refers, level)
                 if out is not None and (s.as_py() != shard or size + len(packed) > roll_bytes):
                     yield close()
@@ -107,13 +115,11 @@ def _renamed(folder: str):
     return run
 
 
-def plan(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """page_id, url, html, digest and refers_to (the first page with the same payload of ``MIN_REVISIT_BYTES``, itself included)."""
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).where("page_id is not null")
-    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("large", F.octet_length("html") >= MIN_REVISIT_BYTES)
-    first = rows.where("large").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.join(first, "digest", "left")
-    return joined.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, refers_to) of pages whose payload of ``MIN_REVISIT_BYTES`` occurs more than once; the first page refers to itself."""
+    digests = pages.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    return digests.join(first, "digest").select("page_id", "digest", "refers_to").distinct()
 
 
 def bounds(pages: DataFrame, id_col: str, shards: int) -> list[int]:
@@ -140,8 +146,11 @@ def write(
         shards = max(partitions(spark), -(-total // SHARD_BYTES))
     starts = bounds(pages, id_col, shards)
     shard = F.expr(f"size(filter(array({','.join(f'{b}L' for b in starts)}), b -> b <= page_id))") if starts else F.lit(0)
-    rows = plan(pages, id_col, url_col, html_col).withColumn("shard", shard.cast("int"))
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "url").select("shard", "page_id", "url", "html", "digest", "refers_to")
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("page_id is not null")
+    # what a page refers to travels as a row before it, so the payloads are dealt once and joined with nothing
+    told = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
+    both = told.unionByName(rows.withColumn("digest", F.lit(None).cast("string")).withColumn("refers_to", F.lit(None).cast("long"))).withColumn("shard", shard.cast("int"))
+    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", F.desc_nulls_last("refers_to"), "url", "html").select("shard", "page_id", "url", "html", "digest", "refers_to")
     files = dealt.mapInArrow(_writer(to, roll_bytes, level), "shard int, part int, temporary string, n_records long, n_bytes long, sha256 string")
     manifest = written(files, "warc-manifest").withColumn("name", F.format_string("part-%05d-%05d.warc.gz", "shard", "part"))
     commit(manifest, to)
