@@ -81,4 +81,24 @@ QUERIES = {
     "op10_warc_writer": op10_warc_writer,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_BENCH_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+#: What SQL can express. XXH64 fingerprints, spans of matches, models and tokenizers it can't; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_lattice_dedup": """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    r AS (SELECT vec_id, vec_id AS reach FROM v UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reach), c AS (SELECT vec_id, min(reach) AS component_id FROM r GROUP BY vec_id)
+    SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c""",
+    "op7_decontaminate": f"""WITH d AS (SELECT doc_id, coalesce({_BENCH_WORDS}, []) AS w FROM documents), b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark), k AS (SELECT item_id, w, least(len(w), 13) AS size FROM b WHERE len(w) > 0),
+    win AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM k)), sizes AS (SELECT DISTINCT size FROM win),
+    dw AS (SELECT doc_id, size, i, array_to_string(w[i : i + size - 1], ' ') AS win FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+    hit AS (SELECT doc_id, i, dw.size, item_id FROM dw JOIN win USING (win, size)), n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM hit) GROUP BY doc_id),
+    t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op9_substring_dedup": f"""WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents), x AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+    f AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS first FROM x) WHERE first < doc_id), gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM f) GROUP BY doc_id),
+    k AS (SELECT doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN gone USING (doc_id))
+    SELECT doc_id, len(w) AS n_words, len(ps) AS n_removed, sha256(coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' '), '')) AS kept_sha256 FROM k""",
+    "op10_warc_writer": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages), f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM p LEFT JOIN f USING (payload_digest)""",
+}
