@@ -8,6 +8,7 @@ spans; the language with most letters is the text's.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -34,13 +35,13 @@ SCRIPTS = (
     (0x0A00, "indic"), (0x0E00, "thai"), (0x0E80, "lao"), (0x0F00, "tibetan"), (0x1000, "burmese"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"), (0x1E00, "latin"),
     (0x1F00, "greek"), (0x2000, "other"), (0x3040, "kana"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"),
 )
-_STARTS = np.array([s for s, _ in SCRIPTS])
+_STARTS = [s for s, _ in SCRIPTS]
 _NAMES = tuple(n for _, n in SCRIPTS)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def script_of(letter: str) -> str:
-    at = int(np.searchsorted(_STARTS, ord(letter), "right")) - 1
+    at = bisect_right(_STARTS, ord(letter)) - 1
     return _NAMES[at] if at >= 0 else "other"
 
 
@@ -145,29 +146,31 @@ class WordScores:
 def viterbi(scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> np.ndarray:
     """The label of each word on the best path, where each switch costs ``penalty``; ties go to the first language.
 
-    If no stretch of words favours another language over the best single one by more than half the penalty, the path
-    stays with that one: j > 1 stretches elsewhere cost j - 1 switches or more and gain j halves at most, and a single
-    one that covers the text gains nothing. That needs no walk.
+    A text mostly stays with the best single language, which needs no walk to be sure of. Say no stretch of words
+    favours another language over it by more than the penalty. Then j stretches elsewhere between, before or after
+    words of that language gain no more than their j switches or more cost. And j stretches that cover the text cost
+    j - 1 switches, while the inner ones gain a penalty each at most: they win only if the first and the last, which
+    start and end the text, gain more than one penalty together.
     """
     n, langs = scores.shape
     scores = scores.astype(np.float64)
     best = int(scores.sum(axis=0).argmax())
     sums = np.cumsum(scores - scores[:, [best]], axis=0)
     low = np.minimum.accumulate(np.concatenate([np.zeros((1, langs)), sums[:-1]]), axis=0)
-    if (sums - low).max() <= penalty / 2:
+    if (sums - low).max() <= penalty and sums.max() + (sums[-1] - sums).max() <= penalty:
         return np.full(n, best, np.int32)
-    came = np.empty((n, langs), np.int32)
-    total, own = np.zeros(langs), np.arange(langs, dtype=np.int32)
-    for i, s in enumerate(scores):
-        top = int(total.argmax())
-        switch = total[top] - penalty > total
-        came[i] = np.where(switch, top, own)
-        total = np.where(switch, total[top] - penalty, total) + s
+    came: list[list[int]] = []
+    total, own = [0.0] * langs, list(range(langs))
+    for s in scores.tolist():
+        most = max(total)
+        top, least = total.index(most), most - penalty
+        came.append([k if total[k] >= least else top for k in own])
+        total = [(t if t >= least else least) + x for t, x in zip(total, s)]
     out = np.empty(n, np.int32)
-    at = int(total.argmax())
+    at = total.index(max(total))
     for i in range(n - 1, -1, -1):
         out[i] = at
-        at = came[i, at]
+        at = came[i][at]
     return out
 
 
