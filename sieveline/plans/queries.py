@@ -125,13 +125,17 @@ _TIERS = "tiered AS (SELECT *, sum(d) OVER (PARTITION BY query_id ORDER BY rank
 _KEPT = """kept AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked2 a WHERE NOT EXISTS (SELECT 1 FROM ranked2 b WHERE a.query_id = b.query_id AND a.path = b.path AND a.rank <> b.rank
   AND a.start_line <= b.start_line AND a.end_line >= b.end_line AND (a.start_line <> b.start_line OR a.end_line <> b.end_line OR b.rank > a.rank)) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= {k})"""
 _OUT = "path, start_line, end_line, symbol, array_to_string(string_split(content, chr(10))[1:60], chr(10)) AS content, len(string_split(content, chr(10))) > 60 AS truncated, round(score, 9) AS score, CASE t WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS relevance, CAST(rank AS INT) AS rank"
-_HIT = ["path", "start_line", "end_line", "symbol", "content", "truncated", F.round("score", 9).alias("score"), "relevance", "rank"]
+
+
+def _hit() -> list:
+    return ["path", "start_line", "end_line", "symbol", "content", "truncated", F.round("score", 9).alias("score"), "relevance", "rank"]
+
 
 
 @query("search_pipeline", f"{_BOOSTED}, ranked2 AS (SELECT *, 'q' AS query_id FROM ranked), {_KEPT.format(k=10)}, {_TIERS} SELECT doc_id, {_OUT}, 'hybrid' AS search_mode FROM tiered")
 def search_pipeline(spark, sf_dir):
     found = search.search(a.chunks(spark, sf_dir), a.vectors(spark, sf_dir), QUERY, _query_vector(spark, sf_dir), k=10)
-    return found.select("doc_id", *_HIT, "search_mode")
+    return found.select("doc_id", *_hit(), "search_mode")
 
 
 _MANY = "SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')) AS term FROM benchmark)"
@@ -146,7 +150,7 @@ _MANY = "SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(
 )
 def batch_search(spark, sf_dir):
     asked = a.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.batch_search(a.chunks(spark, sf_dir), asked).select("query_id", "doc_id", *_HIT)
+    return search.batch_search(a.chunks(spark, sf_dir), asked).select("query_id", "doc_id", *_hit())
 
 
 # ---- hits ----
