@@ -40,6 +40,11 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Da
     return parts.select("item", "size", F.array_join("p", " ").alias("window"), F.xxhash64("p").alias("hash")).distinct()
 
 
+def _kept(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is reckoned once: no filter or projection above can be merged with it and repeat it for each window."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def _window(size: int):
     return lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i, size), " ").alias("window"))
 
@@ -60,7 +65,7 @@ def _inlined(split: DataFrame, rows: list) -> DataFrame:
         hit = F.when(F.size("w") >= size, at)
         found.append(F.transform(hit, _window(size)))
     none = F.array().cast("array<struct<at:int,size:int,window:string>>")
-    return split.withColumn("hits", F.array_sort(F.concat(none, *(F.coalesce(x, none) for x in found))))
+    return _kept(split, "hits", F.array_sort(F.concat(none, *(F.coalesce(x, none) for x in found))))
 
 
 def _joined(split: DataFrame, windows: DataFrame, sizes: list[int], broadcast: bool) -> DataFrame:
@@ -100,7 +105,7 @@ def decontaminate(
     rows each keep a row; null ids stay; further columns of either table are ignored.
     """
     windows = item_windows(benchmark, item_col, item_text_col, n)
-    split = docs.select(F.col(id_col).alias("_id"), words(F.col(text_col)).alias("w"))
+    split = _kept(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "w", words(F.col("_text"))).drop("_text")
     rows = windows.limit(inline + 1).collect()  # a bounded look at the set's size
     if len(rows) <= inline:
         met = _inlined(split, rows)
