@@ -35,7 +35,7 @@ def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> D
 
     Seeds aren't marked as visited, so a cycle may bring them back; depth 0 is as depth 1.
     """
-    followed = edges.where(F.col("kind").isin(*FOLLOWED)).select("source", "target").distinct()
+    followed = edges.where(F.col("kind").isin(*FOLLOWED)).select("source", "target")
     modules = nodes.where("kind = 'module'").select(F.col("id").alias("target"))
     seen = None
     frontier = start.select(F.col("id").alias("target"))
@@ -43,8 +43,9 @@ def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> D
         found = followed.join(frontier, "target").select(F.col("source").alias("id")).distinct()
         if seen is not None:
             found = found.join(seen, "id", "left_anti")
-        found = found.withColumn("hop", F.lit(hop))
-        if depth > 4:
+        # each hop is read by the next one twice: kept, its plan isn't run again, and lost parts are made anew
+        found = found.withColumn("hop", F.lit(hop)).persist()
+        if hop % 8 == 0:
             found = found.checkpoint()
         seen = found if seen is None else seen.unionByName(found)
         frontier = found.select(F.col("id").alias("target")).join(modules, "target", "left_anti")
@@ -61,7 +62,7 @@ def impact_radius(node: str, nodes: DataFrame, edges: DataFrame, depth: int = 2)
     """Nodes that depend on a node id within ``depth`` hops, with the hop; its own module is left out."""
     spark = nodes.sparkSession
     start = seeds(spark.createDataFrame([(node,)], "id string"), nodes, edges)
-    start = start.unionByName(phantom_aliases(start, nodes, edges)).distinct()
+    start = start.unionByName(phantom_aliases(start, nodes, edges)).distinct().persist()
     own = node.split("::", 1)[0]
     found = reach(start, nodes, edges, depth).join(nodes, "id").where((F.col("id") != own) | F.lit(own == node))
     return suppress_modules(found)

@@ -381,8 +381,13 @@ def _impact_sql(node: str, depth: int) -> str:
     SELECT id, hop, kind FROM rep a WHERE NOT (kind = 'module' AND EXISTS (SELECT 1 FROM rep b WHERE b.file_path = a.file_path AND b.kind <> 'module'))"""
 
 
+def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges, kept while they are used several times over, as a stored graph would be read."""
+    return a.nodes(spark, sf_dir).persist(), a.edges(spark, sf_dir).persist()
+
+
 def _impact(node: str, depth: int):
-    return lambda spark, sf_dir: impact.impact_radius(node, a.nodes(spark, sf_dir), a.edges(spark, sf_dir), depth).select("id", "hop", "kind")
+    return lambda spark, sf_dir: impact.impact_radius(node, *_graph(spark, sf_dir), depth).select("id", "hop", "kind")
 
 
 for _d in (1, 2, 3):

@@ -182,3 +182,17 @@ def test_skeleton_rows(spark):
     assert parsers.render(parsers.matches_symbol(rows, "Store.save")).first()["text"] == 'a.py:3-6\nclass Store:\n    """Keeps rows."""\na.py:5-6\n    def save(self, row):\n        ...'
     assert parsers.available_symbols(rows).first()["symbols"] == "Store, Store.save"
     assert parsers.matches_symbol(rows, "Store").where(F.col("kind") == "function").count() == 1
+
+
+def test_service(spark, repo):
+    from sieveline.errors import IndexMissingError
+    from sieveline.service import Service
+
+    s = Service(spark)
+    with pytest.raises(IndexMissingError):
+        s.semantic_search(str(repo), "connect")
+    s.engine(str(repo)).build()
+    assert any(h["symbol"] == "connect" and h["path"].startswith(str(repo)) for h in s.semantic_search(str(repo), "connect", 3))
+    assert "def retry(row):" in s.get_file_skeleton(str(repo), "src/util.py")
+    assert {n["name"] for n in s.get_impact_radius(str(repo), "retry", 2)["nodes"]} == {"connect", "save"}
+    assert s.index_status(str(repo))["state"] == "done" and "No symbol" in s.get_impact_radius(str(repo), "zzz")["hint"]
