@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, language_id, secret_scan
+from sieveline.llm import bpe_transducer, decontaminate, language_id, secret_scan, shingle_join
 from sieveline.llm._shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,10 +20,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = golay_simhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (linked by a Jaccard similarity of 0.8 of five-word shingles) the document with the smallest id stays.
+
+    64-bit SimHash loses most such pairs at any bound that can be joined on, so all are joined exactly. Documents
+    without an id come after those with one; of one id, and of rows that are the same in all columns, one row stays.
+    """
+    rows = docs.withColumn("_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    groups = shingle_join.near_copies(rows, "_key")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
+    best = rows.select("_key", "doc_id").join(groups, "_key").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first._key").alias("_key"))
+    return rows.join(best, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("language ID", language_stage),
-    ("SimHash near-dedup", simhash_stage),
+    ("near-dedup", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("secret scans", secret_stage),
     ("BPE encoding and decoding", encoding_stage),
