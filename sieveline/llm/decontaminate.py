@@ -7,7 +7,7 @@ verified by their words.
 
 from __future__ import annotations
 
-import json
+import base64
 import string
 
 from pyspark.sql import Column, DataFrame
@@ -84,6 +84,15 @@ def _joined(split: DataFrame, windows: DataFrame, sizes: list[int], broadcast: b
     return rows.join(met, "row", "left").withColumn("hits", F.array_sort(F.coalesce(hits, none))).drop("row", "met")
 
 
+def _listed(items: dict[str, list[str]]) -> str:
+    """A line for each window with its items in base64. A window is cut by blanks alone, so no text needs escapes, and none is too long, as a JSON field name over 50,000 characters is."""
+    return "\n".join(f"{w}\t" + ",".join("=" + base64.b64encode(x.encode("utf-8", "surrogatepass")).decode() for x in found) for w, found in items.items())
+
+
+def _items(told: Column) -> Column:
+    return F.transform(F.filter(F.split(told, ","), lambda x: x != ""), lambda x: F.unbase64(F.substring(x, 2, 2**31 - 1)).cast("string"))
+
+
 def _covered(hits: Column) -> Column:
     """How many word positions the windows cover; ``hits`` ascend by position."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -112,9 +121,9 @@ def decontaminate(
         items: dict[str, list[str]] = {}
         for r in rows:
             items.setdefault(r["window"], []).append(r["item"])
-        known = F.from_json(F.lit(_json(items)), "map<string,array<string>>")
+        known = F.str_to_map(F.lit(_listed(items)), F.lit("\n"), F.lit("\t"))
         near = met.withColumn("hits", F.filter("hits", lambda h: F.map_contains_key(known, h["window"]))) if items else met
-        of = F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: h["window"])), lambda x: F.element_at(known, x))) if items else F.array().cast("array<string>")
+        of = F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: h["window"])), lambda x: _items(F.element_at(known, x)))) if items else F.array().cast("array<string>")
         out = near.withColumn("items", F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(of))).otherwise(F.array().cast("array<string>")))
     else:
         small = len(windows.limit(broadcast + 1).select(F.lit(1)).collect()) <= broadcast
@@ -126,7 +135,3 @@ def decontaminate(
         out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,size:int,window:string>>")))
     counted = out.select("_id", F.size("w").cast("long").alias("n_words"), _covered(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"))).alias("spans"))
     return counted.select(F.col("_id").alias(id_col), *counted.columns[1:], ((F.col("n_hit") > 0) & (CONTAMINATED_SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
-
-
-def _json(items: dict[str, list[str]]) -> str:
-    return json.dumps(items, ensure_ascii=False)
