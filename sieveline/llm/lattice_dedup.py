@@ -65,7 +65,7 @@ def cell_keys(unit: np.ndarray, planes: np.ndarray, scale: float = SCALE) -> np.
     rng = np.random.default_rng(7)
     mix = rng.integers(1, 2**62, size=(tables, blocks, 8), dtype=np.int64) | 1
     # a coordinate's spread is 1 / sqrt(dims): the scale counts in units of what it is for 64 dimensions
-    step = scale * 8 / math.sqrt(dims) if dims >= width else scale
+    step = scale * 8 / math.sqrt(dims)
     with np.errstate(over="ignore"):
         for t in range(tables):
             z = (unit @ planes[t]) / step
