@@ -13,11 +13,17 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Adds ``_key``, a hash of all columns in which nulls count: rows share it only if they are the same throughout."""
+    return docs.withColumn("_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is undetermined (no letters, no text) go; the rest stays as it is, whatever its label."""
-    found = language_id.identify(docs, language_id.train(docs))
-    rejected = found.where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows whose language is undetermined (no letters, no text) go; the rest stays as it is, whatever its label or id, null and repeated ids too."""
+    rows = _keyed(docs)
+    found = language_id.identify(rows, language_id.train(docs), id_col="_key")
+    rejected = found.where(F.col("lang_pred") == language_id.UNKNOWN).select("_key").distinct()
+    return rows.join(rejected, "_key", "left_anti").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +32,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     64-bit SimHash loses most such pairs at any bound that can be joined on, so all are joined exactly. Documents
     without an id come after those with one; of one id, and of rows that are the same in all columns, one row stays.
     """
-    rows = docs.withColumn("_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    rows = _keyed(docs)
     groups = shingle_join.near_copies(rows, "_key")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
     best = rows.select("_key", "doc_id").join(groups, "_key").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first._key").alias("_key"))
@@ -34,10 +40,11 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
+    """Contaminated rows go, whatever their id; others of the same id stay."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontaminate.decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows = _keyed(docs)
+    gone = decontaminate.decontaminate(rows, benchmark, id_col="_key").where("contaminated").select("_key").distinct()
+    return rows.join(gone, "_key", "left_anti").select(*COLUMNS)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
