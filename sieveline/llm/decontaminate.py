@@ -32,7 +32,7 @@ def words(text: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(item, size, window, hash) of each distinct window of each item; an item of fewer than ``n`` words is one window."""
-    split = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("item is not null and size(w) > 0")
+    split = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w")).where("size(w) > 0")
     size = F.least(F.size("w"), F.lit(n))
     starts = F.sequence(F.lit(1), F.size("w") - size + 1)
     parts = split.select("item", size.alias("size"), "w", F.explode(starts).alias("at"))
@@ -110,7 +110,8 @@ def decontaminate(
     """One row for each row of ``docs``: ``id_col``, n_words, n_hit, n_items, items (sorted), spans, contaminated.
 
     spans is an array of (at, size): first word (from 1) and words of each occurrence. A null, empty or wordless text
-    has no words and is clean; items without words never occur; an empty benchmark leaves everything clean. Repeated
+    has no words and is clean; items without words never occur; the windows of items without an id count as hits and contaminate,
+    but n_items and items leave them out; an empty benchmark leaves everything clean. Repeated
     rows each keep a row; null ids stay; further columns of either table are ignored.
     """
     windows = item_windows(benchmark, item_col, item_text_col, n)
@@ -120,7 +121,7 @@ def decontaminate(
         met = _inlined(split, rows)
         items: dict[str, list[str]] = {}
         for r in rows:
-            items.setdefault(r["window"], []).append(r["item"])
+            items.setdefault(r["window"], []).extend([] if r["item"] is None else [r["item"]])
         known = F.str_to_map(F.lit(_listed(items)), F.lit("\n"), F.lit("\t"))
         near = met.withColumn("hits", F.filter("hits", lambda h: F.map_contains_key(known, h["window"]))) if items else met
         of = F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: h["window"])), lambda x: _items(F.element_at(known, x)))) if items else F.array().cast("array<string>")

@@ -15,3 +15,12 @@ def test_very_long_words(spark, how):
     benchmark = spark.createDataFrame([("a,\t\n=b", item), ("", item), ("é", long), ("c", " ".join([long, *["z"] * 12]))], "item_id string, text string")
     got = {r["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(docs(spark, texts), benchmark, **how).collect()}
     assert got == {0: (14, ["", "a,\t\n=b"], True), 1: (1, ["é"], True), 2: (13, ["c", "é"], True), 3: (0, [], False), 4: (0, [], False)}
+
+
+@pytest.mark.parametrize("how", PATHS)
+def test_items_without_id(spark, how):
+    one, two = (" ".join(f"{k}{i}" for i in range(14)) for k in "ab")
+    texts = [f"x {one} y", f"{one} {two}", two, "clean"]
+    benchmark = spark.createDataFrame([(None, one), (None, one), (7, two), (None, two), (None, None)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(docs(spark, texts), benchmark, **how).collect()}
+    assert got == {0: (14, 0, [], True), 1: (28, 1, ["7"], True), 2: (14, 1, ["7"], True), 3: (0, 0, [], False)}
