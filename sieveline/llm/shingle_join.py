@@ -24,7 +24,7 @@ NUMERATOR, DENOMINATOR = 4, 5
 #: Up to so many texts of a shingle are compared all with all at once; of more, only those that other links leave apart.
 SMALL_GROUP = 24
 #: The order of shingles is learnt from about so many texts; at most so many, met in so many of these, go last.
-SAMPLE_TEXTS, COMMON, COMMON_TEXTS = 50_000, 50_000, 8
+SAMPLE_TEXTS, COMMON, COMMON_TEXTS = 20_000, 50_000, 8
 _STEP = np.uint64(0x9E3779B97F4A7C13)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
@@ -73,7 +73,7 @@ def _prefixes(words: int, common: np.ndarray):
                 digests.append(xxhash.xxh64_intdigest(h.tobytes()))
                 sizes.append(len(h))
                 bits.append(parities(h))
-                late = np.isin(h, common) if len(common) else np.zeros(len(h), bool)
+                late = common[np.searchsorted(common, h) % len(common)] == h if len(common) else np.zeros(len(h), bool)
                 n = len(h) - -(-NUMERATOR * len(h) // DENOMINATOR) + 1 if len(h) else 0
                 prefixes.append(np.concatenate([h[~late], h[late]])[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -184,12 +184,15 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", words: in
     spark = docs.sparkSession
     rows = docs.select(F.col(key_col).alias("node"), F.col(text_col).cast("string").alias("text"))
     total = rows.count()
-    sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(1, total // SAMPLE_TEXTS))) == 0).select("text")
+    sample = rows.where(F.pmod(F.xxhash64("node"), F.lit(max(1, -(-total // SAMPLE_TEXTS)))) == 0).select("text")
     counted = sample.mapInArrow(_sampled(words), "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON_TEXTS)
     common = np.sort(np.array([r["h"] for r in counted.orderBy(F.desc("n"), "h").limit(COMMON).collect()], np.int64).view(np.uint64))
     sets = written(rows.mapInArrow(_prefixes(words, common), "node long, digest long, n int, bits long, prefix array<long>"), "sets")
     distinct = written(sets.dropDuplicates(["digest"]), "distinct")
-    keyed = written(distinct.select("node", "n", "bits", F.posexplode("prefix").alias("at", "key")), "keys")
+    every = distinct.select("node", "n", "bits", F.posexplode("prefix").alias("at", "key")).repartition(partitions(spark), "key")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    met = written(every.join(shared, "key"), "keys")
+    keyed = met.drop("_n")
     texts = rows.join(distinct.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
     def dealt(df: DataFrame) -> DataFrame:
@@ -202,8 +205,7 @@ def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", words: in
 
     links = written(checked(dealt(keyed).mapInArrow(_candidates(small, False), "a long, b long")), "near")
     first = components(links)
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > small).select("key")
-    left = keyed.join(large, "key").join(first, "node", "left").select("key", "node", "n", "bits", "at", F.coalesce("component", "node").alias("group"))
+    left = met.where(F.col("_n") > small).join(first, "node", "left").select("key", "node", "n", "bits", "at", F.coalesce("component", "node").alias("group"))
     more = checked(dealt(left).mapInArrow(_candidates(small, True), "a long, b long"))
     joined = components(links.unionByName(more))
     classes = distinct.join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
