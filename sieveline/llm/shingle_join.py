@@ -92,7 +92,7 @@ def _possible(n: np.ndarray, at: np.ndarray, bits: np.ndarray, i: np.ndarray, j:
 
 
 def _candidates(small: int, apart: bool):
-    """Pairs of each unit: all of a small group, else a star and a chain; with ``apart`` all of different components."""
+    """Pairs of each unit: all of a small group, else a star and each set with the next few; with ``apart`` all of different components."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def unit(t: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
@@ -102,8 +102,7 @@ def _candidates(small: int, apart: bool):
             i, j = np.triu_indices(m, 1)
             chosen = [(i, j)]
         elif not apart:
-            rest = np.arange(1, m)
-            chosen = [(np.zeros(m - 1, np.int64), rest), (rest - 1, rest)]
+            chosen = [(np.zeros(m - 1, np.int64), np.arange(1, m)), *((np.arange(m - lag), np.arange(lag, m)) for lag in range(1, min(small, m - 1) + 1))]
         else:
             # ascending by size: the sets that can be near to one are a run behind it
             ends = np.searchsorted(n, n * DENOMINATOR // NUMERATOR, "right")
