@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +17,17 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 
 
+#: Folders whose contents go when the work that they were made for ends; the last is in use.
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if all run in one process, else an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -24,16 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = work_path(df.sparkSession, name)
+    path = path or work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes what stands at a path of the shared folder, if anything does."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Work paths that are made inside go when it ends, so what is to last must have been written elsewhere by then."""
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(folder)
+        delete(spark, folder)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -82,21 +111,29 @@ def forest(left, right):
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (src long, dst long; either direction, repeats and self-links allowed).
 
-    Returns (node, component): every node that reaches a smaller one, with the smallest that it reaches. Alternates large-star and small-star steps, so hubs with very many edges converge in a few rounds and no
-    neighbourhood is ever gathered; each round's edges are written to the shared folder. Null ends are ignored.
+    Returns (node, component): every node that reaches a smaller one, with the smallest that it reaches. Alternates
+    large-star and small-star steps, so hubs with very many edges converge in a few rounds and no neighbourhood is ever
+    gathered. Each round's edges and each node's least neighbour are written to the shared folder, so the join of the
+    two is between tables, whose large keys adaptive execution splits; rounds that are past are deleted. Null ends are
+    ignored; without edges the result is empty.
     """
     spark = edges.sparkSession
-    now = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    now = written(now, "links")
+    path = work_path(spark, "links")
+    now = written(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "", path)
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     state = None
     while True:
+        past, least_path, path = path, work_path(spark, "least"), work_path(spark, "links")
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), "", least_path)
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, "links")
+        now = written(small, "", path)
+        delete(spark, past)
+        delete(spark, least_path)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
@@ -105,11 +142,31 @@ def components(edges: DataFrame) -> DataFrame:
 
 def mapped(uri: str):
     """The bytes of a file in the shared folder as an array: mapped into memory where the folder is mounted, else read."""
-    import numpy as np
-    import pyarrow.fs
-
     fs, path = pyarrow.fs.FileSystem.from_uri(uri)
     if fs.type_name == "local":
         return np.memmap(path, np.uint8, "r")
     with fs.open_input_stream(path) as f:
         return np.frombuffer(f.read(), np.uint8)
+
+
+def runs_of(values: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values."""
+    if not len(values):
+        return []
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(values)) + 1, [len(values)]])
+    return list(zip(values[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
+
+
+def packed(positions: np.ndarray) -> bytes:
+    """Ascending positions as 16-bit differences; steps of 65535 and more take several."""
+    steps = np.diff(positions.astype(np.int64), prepend=0)
+    more = steps // 65535
+    out = np.full(len(steps) + int(more.sum()), 65535, "<u2")
+    out[np.arange(len(steps)) + np.cumsum(more)] = steps % 65535
+    return len(out).to_bytes(4, "little") + pa.compress(out.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    size = int.from_bytes(raw[:4], "little")
+    steps = np.frombuffer(pa.decompress(raw[4:], 2 * size, "zstd", asbytes=True), "<u2").astype(np.int64)
+    return np.cumsum(steps)[steps != 65535]

@@ -1,8 +1,9 @@
 """Substring dedup with a count-min prefilter.
 
 First pass: every partition sketches how often it sees each window of words, as sorted counter positions; the merged
-sketch overestimates the corpus's counts, so a window that it counts once occurs once. Second pass: windows that it
-counts at least twice are grouped exactly by a 96-bit hash and attributed to the smallest document that holds them.
+sketch overestimates the corpus's counts, so a window that it counts once occurs once. Executors merge it and write its
+slices, which workers map into memory. Second pass: windows that it counts at least twice are grouped exactly by a
+96-bit hash of their words' 128-bit ones and attributed to the smallest document that holds them.
 A task settles what repeats among its own documents by itself and sends on one document for each window, so windows
 that very many documents share never gather in one place.
 """
@@ -10,6 +11,7 @@ that very many documents share never gather in one place.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,20 +21,22 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm._shared import mapped, partitions, work_path
+from sieveline.llm._shared import mapped, packed, partitions, runs_of, unpacked, work_path
 
 WINDOW_WORDS = 13
 DEPTH = 2
 #: Counters of a sketch row for each window of the corpus, as estimated from its bytes.
 COUNTERS_PER_WINDOW = 3
 BYTES_PER_WORD = 6
-#: Counters of a sketch row at most; beyond, the filter lets more windows through and stays exact. A counter is one bit once merged.
-MOST_COUNTERS = 1 << 30
+#: Counters of a sketch row at most, which executors map (a gigabyte); beyond, the filter lets more windows through and stays exact. A counter is one bit once merged.
+MOST_COUNTERS = 1 << 33
 SLICE_COUNTERS = 1 << 23
 #: Words that a task holds at once.
-WORDS_AT_ONCE = 1_500_000
+WORDS_AT_ONCE = 500_000
 #: Windows of the corpus for each group of the second pass.
 WINDOWS_PER_BUCKET = 1_000_000
+#: Windows of the corpus for each shard of documents.
+WINDOWS_PER_SHARD = 5_000_000
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -41,19 +45,19 @@ def split_words(text: str | None) -> list[bytes]:
 
 def window_hashes(word_lists: list[list[bytes]], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every window of ``n`` words, and which list and which word of it the window starts at."""
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     sizes = np.array([len(w) for w in word_lists], np.int64)
-    words = np.fromiter((digest(w) for ws in word_lists for w in ws), np.uint64, int(sizes.sum()))
+    words = np.frombuffer(b"".join([digest(w) for ws in word_lists for w in ws]), "<u8").reshape(-1, 2)
+    high, low = np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1])
     doc = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = np.flatnonzero(at + n <= np.repeat(sizes, sizes))
     a = np.full(len(starts), 0x9E3779B97F4A7C15, np.uint64)
     b = np.full(len(starts), 0xC2B2AE3D27D4EB4F, np.uint64)
     for j in range(n):
-        w = words[starts + j]
-        a = (a ^ w) * np.uint64(0xFF51AFD7ED558CCD)
+        a = (a ^ high[starts + j]) * np.uint64(0xFF51AFD7ED558CCD)
         a ^= a >> np.uint64(32)
-        b = (b + w) * np.uint64(0xC4CEB9FE1A85EC53)
+        b = (b + low[starts + j]) * np.uint64(0xC4CEB9FE1A85EC53)
         b ^= b >> np.uint64(29)
     return a, b, doc[starts], at[starts]
 
@@ -89,71 +93,78 @@ def _sketched(n: int, width: int):
                 a, b, _, _ = window_hashes(lists, n)
                 for depth, positions in enumerate(counters(a, b, width)):
                     at, count = np.unique(positions, return_counts=True)
-                    part = at // SLICE_COUNTERS
-                    cuts = np.searchsorted(part, np.arange(-(-width // SLICE_COUNTERS) + 1))
                     out: list[tuple[int, bytes, bytes]] = []
-                    for s, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                        if x < y:
-                            low = (at[x:y] - s * SLICE_COUNTERS).astype("<u4")
-                            out.append((depth << 20 | s, _packed(low), low[count[x:y] > 1].tobytes()))
+                    for s, x, y in runs_of(at // SLICE_COUNTERS):
+                        low = (at[x:y] - s * SLICE_COUNTERS).astype("<u4")
+                        out.append((depth << 20 | s, packed(low), low[count[x:y] > 1].tobytes()))
                     yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["slice", "once", "twice"])
 
     return run
 
 
-def _packed(positions: np.ndarray) -> bytes:
-    """Ascending positions as 16-bit differences; steps of 65535 and more take several."""
-    steps = np.diff(positions.astype(np.int64), prepend=0)
-    more = steps // 65535
-    out = np.full(len(steps) + int(more.sum()), 65535, "<u2")
-    out[np.arange(len(steps)) + np.cumsum(more)] = steps % 65535
-    return len(out).to_bytes(4, "little") + pa.compress(out.tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    size = int.from_bytes(raw[:4], "little")
-    steps = np.frombuffer(pa.decompress(raw[4:], 2 * size, "zstd", asbytes=True), "<u2").astype(np.int64)
-    return np.cumsum(steps)[steps != 65535]
+def _merged(folder: str):
+    """Writes the bitmap of counters that reach two, a file for each slice, and tells the slices; a repeated task writes the same bytes."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        now, once, twice = None, None, None
 
-def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bitmap of counters that reach two, for each slice."""
-    now, once, twice = None, None, None
+        def told() -> pa.RecordBatch:
+            name = f"{root}/{now}-{uuid.uuid4().hex}"
+            with fs.open_output_stream(name, compression=None) as out:
+                out.write(np.packbits(twice, bitorder="little").tobytes())
+            fs.move(name, f"{root}/{now}")
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32())], names=["slice"])
 
-    def told() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())], names=["slice", "bits"])
+        for batch in batches:
+            for s, o, t in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if s != now:
+                    if now is not None:
+                        yield told()
+                    now, once, twice = s, np.zeros(SLICE_COUNTERS, bool), np.zeros(SLICE_COUNTERS, bool)
+                at = unpacked(o.as_py())
+                twice[at[once[at]]] = True
+                once[at] = True
+                twice[np.frombuffer(t.as_py(), "<u4")] = True
+        if now is not None:
+            yield told()
 
-    for batch in batches:
-        for s, o, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if s != now:
-                if now is not None:
-                    yield told()
-                now, once, twice = s, np.zeros(SLICE_COUNTERS, bool), np.zeros(SLICE_COUNTERS, bool)
-            at = _unpacked(o)
-            twice[at[once[at]]] = True
-            once[at] = True
-            twice[np.frombuffer(t, "<u4")] = True
-    if now is not None:
-        yield told()
+    return run
 
 
 def build_sketch(texts: DataFrame, n: int, width: int) -> str:
-    """Sketches all windows of ``texts`` (one string column) and returns the merged bitmap's address in the shared folder."""
+    """Sketches all windows of ``texts`` (one string column) and returns the folder of the merged bitmap's slices in the shared folder."""
     spark = texts.sparkSession
     parts = texts.mapInArrow(_sketched(n, width), "slice int, once binary, twice binary")
-    merged = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_merged, "slice int, bits binary")
-    slices = -(-width // SLICE_COUNTERS)
-    uri = work_path(spark, "sketch") + "/bits"
-    fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    empty, at = bytes(SLICE_COUNTERS // 8), 0
-    with fs.open_output_stream(path) as out:
-        for row in merged.orderBy("slice").toLocalIterator():  # a partition at a time; the width is bounded
-            place = (row["slice"] >> 20) * slices + (row["slice"] & 0xFFFFF)
-            out.write(empty * (place - at) + bytes(row["bits"]))
-            at = place + 1
-        out.write(empty * (DEPTH * slices - at))
-    return uri
+    folder = work_path(spark, "sketch")
+    fs, path = pyarrow.fs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    merged = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice").mapInArrow(_merged(folder), "slice int")
+    merged.agg(F.count(F.lit(1))).collect()
+    return folder
+
+
+class Sketch:
+    """The merged bitmap, whose slices are mapped when they are needed; one that was never written counts nothing twice."""
+
+    def __init__(self, folder: str):
+        self.folder, self.slices = folder, {}
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        self.present = {f.base_name for f in fs.get_file_info(pyarrow.fs.FileSelector(root))}
+
+    def twice(self, depth: int, positions: np.ndarray) -> np.ndarray:
+        """Whether each position of a sketch row counts two at least."""
+        out = np.zeros(len(positions), bool)
+        part = (positions // SLICE_COUNTERS).astype(np.uint16)
+        order = np.argsort(part, kind="stable")
+        for s, x, y in runs_of(part[order]):
+            name = str(depth << 20 | s)
+            if name in self.present:
+                if name not in self.slices:
+                    self.slices[name] = mapped(f"{self.folder}/{name}")
+                c = positions[order[x:y]] - s * SLICE_COUNTERS
+                out[order[x:y]] = (self.slices[name][c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+        return out
 
 
 def runs(positions: np.ndarray) -> np.ndarray:
@@ -166,8 +177,7 @@ def _places(doc: np.ndarray, key: np.ndarray, at: np.ndarray, shards: int) -> tu
     """Starts of repeated windows as a payload for each shard of documents."""
     shard = doc % shards
     order = np.lexsort((at, key, doc, shard))
-    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-    found = [(i, order[s:e]) for i, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if s < e]
+    found = [(i, order[s:e]) for i, s, e in runs_of(shard[order])]
     return [i for i, _ in found], [_payload(doc[x], key[x], at[x]) for _, x in found]
 
 
@@ -207,16 +217,14 @@ def _suspects(n: int, width: int, sketch: str, buckets: int, shards: int):
     """Windows that the sketch counts twice, by bucket of their hash; settled ones have the bucket -1 - shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = mapped(sketch)
-        slices = -(-width // SLICE_COUNTERS)
+        bits = Sketch(sketch)
         for batch in batches:
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for rows, lists in _lists(batch, 2):
                 a, b, doc, at = window_hashes(lists, n)
                 keep = np.ones(len(a), bool)
                 for depth, c in enumerate(counters(a, b, width)):
-                    c = c + depth * slices * SLICE_COUNTERS
-                    keep &= (bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 == 1
+                    keep &= bits.twice(depth, c)
                 a, b, at, row = a[keep], b[keep].astype("<u4"), at[keep], np.array(rows)[doc[keep]]
                 doc, key = ids[row], keys[row]
                 repeated, first = _smaller(a, b, doc)
@@ -224,12 +232,10 @@ def _suspects(n: int, width: int, sketch: str, buckets: int, shards: int):
                 to = [-1 - x for x in to]
                 bucket = (a % np.uint64(buckets)).astype(np.int64)
                 order = np.flatnonzero(first)[np.argsort(bucket[first], kind="stable")]
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for x, (s, e) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    if s < e:
-                        i = order[s:e]
-                        to.append(x)
-                        out.append(_payload(doc[i], key[i], at[i], a[i], b[i]))
+                for x, s, e in runs_of(bucket[order]):
+                    i = order[s:e]
+                    to.append(x)
+                    out.append(_payload(doc[i], key[i], at[i], a[i], b[i]))
                 yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(out, pa.binary())], names=["bucket", "payload"])
 
     return run
@@ -336,7 +342,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: in
     width = -(-width // SLICE_COUNTERS) * SLICE_COUNTERS
     sketch = build_sketch(rows.select("text"), n, width)
     buckets = max(partitions(spark), -(-windows // WINDOWS_PER_BUCKET))
-    shards = partitions(spark)
+    shards = max(partitions(spark), -(-windows // WINDOWS_PER_SHARD))
     suspects = rows.select("doc_id", "key", "text").mapInArrow(_suspects(n, width, sketch, buckets, shards), _ROWS)
     dealt = suspects.repartition(shards, "bucket").sortWithinPartitions("bucket")
     places = dealt.mapInArrow(_settled(shards), "shard int, payload binary")
