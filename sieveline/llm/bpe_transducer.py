@@ -7,12 +7,11 @@ its ids. The automaton is one file in the shared folder that workers map into me
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import json
 import os
-import tempfile
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import pairwise
@@ -24,9 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sieveline.llm import _tokens
-from sieveline.llm._shared import work_path, written
+from sieveline.llm._shared import mapped, work_path, written
 
 LEXICON_WORDS = 50_000
+#: Words up to so many bytes are merged together, in blocks of so many of like length; longer ones one by one.
+TOGETHER_BYTES, BLOCK_WORDS = 64, 8_192
+#: Ids that are written out at once; a text of more is hashed by parts.
+IDS_AT_ONCE = 20_000_000
+#: Distinct words that a task counts before it sends their counts on.
+COUNTED_WORDS = 500_000
+
+
 class Merger:
     """Exact BPE over the vocabulary and merges of a tokenizer file."""
 
@@ -46,6 +53,10 @@ class Merger:
         self.bytes_of = {i: bytes(back[c] for c in s) for s, i in self.vocab.items() if all(c in back for c in s)}
         for t in model["added_tokens"]:
             self.bytes_of[t["id"]] = t["content"].encode()
+        pairs = np.array([(a << 32) | b for a, b in self.ranks], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._rank_of = pairs[order], np.fromiter(self.ranks.values(), np.int64, len(pairs))[order]
+        self._bytes, self._made = np.array(self.byte_ids, np.int64), np.array(self.made, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one word: the pair of lowest rank, leftmost first, is merged until none is left."""
@@ -64,6 +75,60 @@ class Merger:
                 ranks[i] = get((ids[i], ids[i + 1]), none)
         return ids
 
+    def merge_all(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many words, given as runs of bytes, and how many each has: words of like length merge together, a pair each at a time."""
+        out: list[np.ndarray] = [np.empty(0, np.int64)]
+        counts, order = np.zeros(len(sizes), np.int64), np.argsort(sizes, kind="stable")
+        short = int(np.searchsorted(sizes[order], TOGETHER_BYTES, "right"))
+        for s in range(0, short, BLOCK_WORDS):
+            rows = order[s : min(short, s + BLOCK_WORDS)]
+            ids, counts[rows] = self._merge_block(raw, starts[rows], sizes[rows])
+            out.append(ids)
+        for i in order[short:].tolist():
+            ids = self.merge(raw[starts[i] : starts[i] + sizes[i]].tobytes())
+            counts[i] = len(ids)
+            out.append(np.array(ids, np.int64))
+        first = np.empty(len(sizes), np.int64)
+        first[order] = np.cumsum(counts[order]) - counts[order]
+        return _tokens.ragged(np.concatenate(out), first, counts), counts
+
+    def _merge_block(self, raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, width, none = len(sizes), int(sizes.max(initial=1)) + 1, len(self.made)
+        used = np.arange(width) < sizes[:, None]
+        ids = np.full(m * width, -1, np.int64)
+        ids[used.reshape(-1)] = self._bytes[_tokens.ragged(raw, starts, sizes)]
+        after, before = np.arange(1, m * width + 1), np.arange(-1, m * width - 1)
+
+        def ranked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            pair = (ids[a] << 32) | ids[b]
+            at = np.minimum(np.searchsorted(self._pairs, pair), none - 1)
+            return np.where((ids[a] >= 0) & (ids[b] >= 0) & (self._pairs[at] == pair), self._rank_of[at], none)
+
+        ranks = np.full(m * width, none, np.int64)
+        inner = np.flatnonzero(used[:, 1:].reshape(-1))
+        inner += inner // (width - 1)  # places that have a successor within their word
+        if not len(inner) or not none:
+            return ids[used.reshape(-1)], sizes
+        ranks[inner] = ranked(inner, inner + 1)
+        table, rows = ranks.reshape(m, width), np.arange(m)
+        while len(rows):
+            place = table[rows].argmin(axis=1)
+            at = rows * width + place  # the leftmost pair of the lowest rank
+            more = ranks[at] < none
+            rows, at = rows[more], at[more]
+            gone = after[at]
+            ids[at] = self._made[ranks[at]]
+            ids[gone] = -1
+            ranks[gone] = none
+            after[at] = after[gone]
+            before[after[at]] = at  # the last place of a row is never used, so there always is a next one
+            ranks[at] = ranked(at, after[at])
+            left = before[at]
+            has = at % width > 0
+            ranks[left[has]] = ranked(left[has], at[has])
+        table = ids.reshape(m, width)
+        return ids[ids >= 0], (table >= 0).sum(axis=1)
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a queue of pairs, for words of any length."""
         n = len(ids)
@@ -152,28 +217,22 @@ def save(arrays: dict[str, np.ndarray], uri: str) -> None:
 
 
 class Transducer:
-    """The compiled words of a file, mapped into memory."""
+    """The compiled words of a file, mapped into memory where the shared folder is mounted."""
 
     def __init__(self, uri: str):
-        fs, path = pyarrow.fs.FileSystem.from_uri(uri)
-        if fs.type_name != "local":  # a store that can't be mapped: a copy of a few megabytes
-            with fs.open_input_stream(path) as f, tempfile.NamedTemporaryFile(delete=False) as copy:
-                copy.write(f.read())
-            path = copy.name
-        with open(path, "rb") as f:
-            sizes = json.loads(f.read(4096))
-        raw, at = np.asarray(np.memmap(path, "<i8", "r", offset=4096)) if sum(sizes.values()) else np.zeros(0, np.int64), 0
+        raw = mapped(uri)
+        sizes = json.loads(bytes(raw[:4096]))
+        raw, at = np.asarray(raw[4096:]).view("<i8"), 0
         for name, n in sizes.items():
             setattr(self, name, raw[at : at + n])
             at += n
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
+    def numbers(self, words: list[bytes] | pa.Array) -> np.ndarray:
         """Each word's number, or -1: all words walk together, a byte at a time."""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        order = np.argsort(-sizes, kind="stable")
-        raw, starts = np.frombuffer(b"".join(words), np.uint8), np.cumsum(sizes) - sizes
+        raw, starts = _tokens.raw_of(words if isinstance(words, pa.Array) else pa.array(words, pa.binary()))
+        sizes, starts = np.diff(starts), starts[:-1]
+        alive = np.argsort(-sizes, kind="stable")
         state, number = np.full(len(words), int(self.root[0])), np.zeros(len(words), np.int64)
-        alive = order
         for at in range(int(sizes.max(initial=0))):
             alive = alive[(sizes[alive] > at) & (state[alive] >= 0)]
             if not len(alive) or not len(self.keys):
@@ -196,52 +255,47 @@ def merger(path: str) -> Merger:
     return Merger(path)
 
 
-class WordEncoder:
-    """Ids of pieces of text: their words are looked up in the transducer, and merged if it lacks them."""
+class WordEncoder(_tokens.Encoder):
+    """Words are looked up in the transducer, and merged if it lacks them."""
 
     def __init__(self, path: str, lexicon: str):
-        self.path, self.transducer, self.merger = path, Transducer(lexicon), merger(path)
-        self.unseen: dict[bytes, bytes] = {}
-
-    def __call__(self, new: list[str]) -> Iterator[bytes]:
-        cut = [_tokens.words_of(p, self.path) for p in new]
-        distinct = list({w for ws in cut for w in ws})
-        if len(self.unseen) > _tokens.REMEMBERED:
-            self.unseen.clear()
-        ids: dict[bytes, bytes] = {}
-        for w, n in zip(distinct, self.transducer.numbers(distinct).tolist()):
-            if n >= 0:
-                ids[w] = _tokens.packed(self.transducer.ids_of(n))
-            else:
-                if w not in self.unseen:
-                    self.unseen[w] = _tokens.packed(self.merger.merge(w))
-                ids[w] = self.unseen[w]
-        for ws in cut:
-            yield ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+        super().__init__(path)
+        self.transducer, self.merger = Transducer(lexicon), merger(path)
+
+    def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        number = self.transducer.numbers(words)
+        known, unseen = np.flatnonzero(number >= 0), np.flatnonzero(number < 0)
+        raw, at = _tokens.raw_of(words)
+        merged, counts = self.merger.merge_all(raw, at[unseen], np.diff(at)[unseen])
+        t = self.transducer
+        ids = np.concatenate([t.ids, merged]).astype(np.int32)
+        starts, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        starts[known], sizes[known] = t.starts[number[known]], np.diff(t.starts)[number[known]]
+        starts[unseen], sizes[unseen] = len(t.ids) + np.cumsum(counts) - counts, counts
+        return _tokens.ragged(ids, starts, sizes), _tokens.offsets_of(sizes)
 
 
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first: Counter = Counter()
-        later: Counter = Counter()
-
-        def told() -> pa.RecordBatch:
-            words: Counter = Counter()
-            for lead, counts in (("", first), (" ", later)):
-                for piece, n in counts.items():
-                    for w in _tokens.words_of(lead + piece, path):
-                        words[w] += n
-                counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+        held: list[pa.Table] = []
+        size = 0
+
+        def told() -> list[pa.RecordBatch]:
+            whole = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            held.clear()
+            return whole.cast(pa.schema([("word", pa.binary()), ("n", pa.int64())])).combine_chunks().to_batches()
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                cut = _tokens.pieces(t or "")
-                first[cut[0]] += 1
-                later.update(cut[1:])
-                if len(later) > 1_000_000:
-                    yield told()
-        yield told()
+            for texts in _tokens.slices(_tokens.strings_of(batch.column(0))):
+                found = _tokens.cut(texts, path)
+                n = found.counts()
+                held.append(pa.table({"word": found.words, "n": n}).filter(pa.array(n > 0)))
+                size += len(held[-1])
+                if size > COUNTED_WORDS:
+                    yield from told()
+                    size = 0
+        if held:
+            yield from told()
 
     return run
 
@@ -261,29 +315,57 @@ def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", words: int
     return uri
 
 
+def _written_out(ids: np.ndarray, starts: np.ndarray, table: pa.Array, skip: int) -> Iterator[Iterator[memoryview]]:
+    """For each text the bytes that its ids stand for, without the first ``skip``, in parts that memory holds."""
+    done = 0
+    while done < len(starts) - 1:
+        end = max(done + 1, int(np.searchsorted(starts, starts[done] + IDS_AT_ONCE, "right")) - 1)
+        if starts[end] - starts[done] <= IDS_AT_ONCE:
+            found = table.take(pa.array(ids[starts[done] : starts[end]]))
+            raw, at = _tokens.raw_of(found)
+            cuts = at[starts[done : end + 1] - starts[done]].tolist()
+            view = memoryview(raw)
+            for a, b in pairwise(cuts):
+                yield iter((view[min(a + skip, b) : b],))
+        else:
+            yield _parts(ids[starts[done] : starts[end]], table, skip)
+        done = end
+
+
+def _parts(ids: np.ndarray, table: pa.Array, skip: int) -> Iterator[memoryview]:
+    for s in range(0, len(ids), IDS_AT_ONCE):
+        raw, at = _tokens.raw_of(table.take(pa.array(ids[s : s + IDS_AT_ONCE])))
+        yield memoryview(raw)[at[0] + (0 if s else skip) : at[-1]]
+
+
 def _encoded(path: str, lexicon: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _tokens.PieceEncoder(path, WordEncoder(path, lexicon))
+        encoder = WordEncoder(path, lexicon)
         table = merger(path).bytes_of
-        token_bytes = [table.get(i, b"") for i in range(max(table) + 1)]
-        decimal = [str(i) for i in range(len(token_bytes))]
+        token_bytes = pa.array([table.get(i, b"") for i in range(max(table) + 1)], pa.binary())
+        decimal = pa.array([f",{i}" for i in range(len(token_bytes))])
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s, e in _tokens.slices(texts):
-                raw = encoder.encode(texts[s:e])
-                counts, ids_sha, text_sha = [], [], []
-                for r in raw:
-                    ids = np.frombuffer(r, "<u4").tolist()
-                    counts.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                    decoded = b"".join(map(token_bytes.__getitem__, ids)).decode("utf-8", "replace")
-                    text_sha.append(hashlib.sha256(decoded.encode()).hexdigest())
-                columns = [batch.column(0).slice(s, e - s), pa.array(counts, pa.int64()), pa.array(ids_sha), pa.array(text_sha)]
+            at = 0
+            for texts in _tokens.slices(_tokens.strings_of(batch.column(1))):
+                ids, starts = encoder.encode(texts)
+                ids_sha, text_sha = [], []
+                for parts in _written_out(ids, starts, decimal, 1):
+                    digest = hashlib.sha256()
+                    for part in parts:
+                        digest.update(part)
+                    ids_sha.append(digest.hexdigest())
+                for parts in _written_out(ids, starts, token_bytes, 0):
+                    digest, decode = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace").decode
+                    for part in parts:
+                        digest.update(decode(part).encode())
+                    digest.update(decode(b"", True).encode())
+                    text_sha.append(digest.hexdigest())
+                columns = [batch.column(0).slice(at, len(texts)), pa.array(np.diff(starts)), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
-                    flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]).astype(np.int32)), pa.array(flat)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids)))
                     names.append("ids")
+                at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
