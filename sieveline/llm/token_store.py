@@ -22,6 +22,10 @@ END_ID = 0
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 2_000
+#: Bytes of text for each shard, which is one task's work and one file.
+SHARD_BYTES = 64 << 20
+#: Bytes of text that are encoded at once: the more, the fewer words the library meets again.
+SLICE_BYTES = 8_000_000
 SCHEMA = "doc_id long, shard int, row int, n_tokens int, tokens array<int>"
 
 WRITER = {
@@ -40,16 +44,17 @@ WRITER = {
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, row = _tokens.LibraryEncoder(path), np.array([end_id], "<u4").tobytes(), 0
+        encoder, row = _tokens.LibraryEncoder(path), 0
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s, e in _tokens.slices(texts, 2_000_000):
-                raw = [r + end for r in encoder.encode(texts[s:e])]
-                sizes = np.array([len(r) // 4 for r in raw], np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), np.int32)))
-                rows = np.arange(row, row + e - s, dtype=np.int32)
-                row += e - s
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s, e - s), batch.column(2).slice(s, e - s), pa.array(rows), pa.array(sizes), ids], names=["doc_id", "shard", "row", "n_tokens", "tokens"])
+            at = 0
+            for texts in _tokens.slices(_tokens.strings_of(batch.column(1)), SLICE_BYTES):
+                ids, starts = encoder.encode(texts)
+                n = len(texts)
+                ids, starts = np.insert(ids, starts[1:], np.int32(end_id)), starts + np.arange(n + 1)
+                lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                rows, sizes = np.arange(row, row + n, dtype=np.int32), np.diff(starts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), batch.column(2).slice(at, n), pa.array(rows), pa.array(sizes), lists], names=["doc_id", "shard", "row", "n_tokens", "tokens"])
+                row, at = row + n, at + n
 
     return run
 
@@ -59,12 +64,15 @@ def write(docs: DataFrame, tokenizer_path: str, to: str | None = None, id_col: s
 
     A null or empty text is the end id alone; rows whose id is null are left out; rows that repeat an id stand next to
     each other by text; an empty table gives files without rows; further columns are ignored. ``row`` counts within a
-    shard, and shards ascend, so (shard, row) is the order of the corpus.
+    shard, and shards ascend, so (shard, row) is the order of the corpus. ``shards`` follows the bytes of text where it
+    isn't given, and is at least the session's number of shuffle partitions.
     """
     spark = docs.sparkSession
     to = to or work_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    dealt = rows.repartitionByRange(shards or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
+    if shards is None:
+        shards = max(partitions(spark), -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES))
+    dealt = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("shard", F.spark_partition_id())
     dealt.select("doc_id", "text", "shard").mapInArrow(_encoded(tokenizer_path, end_id), SCHEMA).write.options(**WRITER).parquet(to)
     return to
 
@@ -89,7 +97,8 @@ def index(spark: SparkSession, folder: str) -> DataFrame:
     """
     stored = read(spark, folder)
     totals = stored.groupBy("shard").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
-    before = totals.alias("a").join(totals.alias("b"), F.col("a.shard") > F.col("b.shard"), "left").groupBy(F.col("a.shard").alias("shard")).agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("before"))
+    upto = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over one row a shard
+    before = totals.select("shard", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     digests = stored.select("doc_id", "shard", "row", "tokens").mapInArrow(_digests, "doc_id long, shard int, row int, n_tokens long, ids_crc32 long")
     within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     placed = digests.withColumn("within", F.coalesce(within, F.lit(0)))
