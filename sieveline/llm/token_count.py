@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,36 +24,53 @@ HUGE_CHARS = 32_768
 OVERLAP_CHARS = 256
 WIDER = 8
 LIMIT = 2048
+#: Latin letters that stay one letter in lower case.
+LETTERS = _tokens.LATIN.replace(r"\x{F8}-\x{17F}", r"\x{F8}-\x{12F}\x{131}-\x{17F}")
 
 
 class WordCounter:
-    """Tokens of texts by a tokenizer that cuts at white space and drops it: each word is encoded once while it is remembered."""
+    """Tokens of texts by a tokenizer that cuts at white space and drops it: each distinct word of a slice is encoded once."""
+
+    #: White space to Python and Arrow, but not to the tokenizer; texts that hold one are encoded whole.
+    SEPARATORS = r"[\x1c-\x1f]"
 
     def __init__(self, path: str):
         self.tokenizer = _tokens.tokenizer(path)
-        self.known: dict[str, int] = {}
-
-    def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > _tokens.REMEMBERED * 2:
-            self.known.clear()
-        cut = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(words or ())
-        new_list = sorted(new - self.known.keys())
-        for w, x in zip(new_list, self.tokenizer.encode_batch_fast(new_list, add_special_tokens=False) if new_list else []):
-            self.known[w] = len(x.ids)
-        known = self.known.__getitem__
-        return [sum(map(known, words)) if words is not None else len(self.tokenizer.encode(t, add_special_tokens=False).ids) for words, t in zip(cut, texts)]
+
+    def sizes(self, words: pa.Array) -> np.ndarray:
+        """The tokens of each word. Latin letters, alone or before a stop, are one word to the tokenizer in lower case: these go through its model as they are, others through all of it."""
+        low = pc.utf8_lower(words)
+        alone, stopped = (pc.match_substring_regex(words, rf"\A[{LETTERS}]+{end}\z").to_numpy(zero_copy_only=False) for end in ("", "[.,;:!?]"))
+        odd = ~(alone | stopped)
+        ended = low.filter(pa.array(stopped))
+        parts = [low.filter(pa.array(alone)), pc.utf8_slice_codeunits(ended, 0, -1), pc.utf8_slice_codeunits(ended, -1)]
+        known = pa.concat_arrays(parts).dictionary_encode()
+        tokenize = self.tokenizer.model.tokenize
+        n = np.array([len(tokenize(w)) for w in _tokens.spelt(known.dictionary)], np.int64)[known.indices.to_numpy()]
+        heads, tails = len(parts[0]), len(parts[0]) + len(parts[1])
+        out = np.empty(len(words), np.int64)
+        out[alone], out[stopped] = n[:heads], n[heads:tails] + n[tails:]
+        left = words.filter(pa.array(odd)).to_pylist()
+        out[odd] = [len(x.ids) for s in range(0, len(left), 50_000) for x in self.tokenizer.encode_batch_fast(left[s : s + 50_000], add_special_tokens=False)]
+        return out
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        whole = pc.match_substring_regex(texts, self.SEPARATORS)
+        cut = pc.utf8_split_whitespace(pc.if_else(whole, pa.scalar("", texts.type), texts))
+        words, starts = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        upto = _tokens.offsets_of(self.sizes(words.dictionary)[words.indices.to_numpy()])
+        out = upto[starts[1:]] - upto[starts[:-1]]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = len(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids)
+        return out
 
 
 def _small(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = WordCounter(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [x for s, e in _tokens.slices(texts) for x in counter.count(texts[s:e])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], names=["row", "n_bytes", "n_tokens"])
+            n = [counter.count(texts) for texts in _tokens.slices(_tokens.strings_of(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate([np.empty(0, np.int64), *n]))], names=["row", "n_bytes", "n_tokens"])
 
     return run
 
@@ -79,19 +97,22 @@ def _boundaries(path: str, chars: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokens.tokenizer(path)
         for batch in batches:
-            texts = batch.column(5).to_pylist()
+            texts = _tokens.strings_of(batch.column(5))
             out: dict[str, list] = {k: [] for k in ("n", "left", "left_at", "right", "right_at")}
-            for s, e in _tokens.slices(texts, 500_000):
-                found = tok.encode_batch(texts[s:e], add_special_tokens=False)
-                for k, x in zip(range(s, e), found):
-                    text, start, lead = texts[k], batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
-                    begins = np.array([o[0] for o in x.offsets], np.int64)
-                    stable = [(i, p) for i, p in zip(*np.unique(begins, return_index=True)[::-1]) if p < overlap or p >= chars]
-                    stable = [(int(i), int(p)) for i, p in stable if white.match(text[p - 1] if p else lead)]
+            at = 0
+            for part in _tokens.slices(texts, 500_000):
+                part = part.to_pylist()
+                for k, (text, x) in enumerate(zip(part, tok.encode_batch(part, add_special_tokens=False)), at):
+                    start, lead = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
+                    begins = np.array(x.offsets, np.int64).reshape(-1, 2)[:, 0]
+                    places, tokens = np.unique(begins, return_index=True)
+                    edge = (places < overlap) | (places >= chars)
+                    stable = [(i, p) for i, p in zip(tokens[edge].tolist(), places[edge].tolist()) if white.match(text[p - 1] if p else lead)]
                     out["n"].append(len(begins))
                     for side, kept in (("left", [x for x in stable if x[1] < overlap]), ("right", [x for x in stable if x[1] >= chars])):
                         out[side].append([p + start for _, p in kept])
                         out[side + "_at"].append([i for i, _ in kept])
+                at += len(part)
             kinds = {"n": pa.int64(), "left": pa.list_(pa.int64()), "left_at": pa.list_(pa.int64()), "right": pa.list_(pa.int64()), "right_at": pa.list_(pa.int64())}
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(v, kinds[k]) for k, v in out.items())], names=["row", "chunk", "last", *out])
 
