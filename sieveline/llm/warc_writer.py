@@ -9,13 +9,14 @@ the files it lists and drops whatever failed attempts left. One gzip member hold
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.llm._shared import partitions, work_path, written
@@ -24,8 +25,10 @@ from sieveline.llm._shared import partitions, work_path, written
 MIN_REVISIT_BYTES = 100
 ROLL_BYTES = 16 << 20
 SHARD_BYTES = 256 << 20
-#: Ids from which the shards' bounds are taken, at most about so many (every page is written all the same).
-BOUND_IDS = 50_000
+#: Ids for each shard from which the shards' bounds are taken, about, and at least for all (every page is written all the same).
+BOUND_IDS, LEAST_BOUND_IDS = 16, 50_000
+#: Bytes of an archive that are unpacked at once.
+UNPACKED_BYTES = 64 << 10
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard namespace of addresses
@@ -36,7 +39,7 @@ def record_id(page_id: int, digest: str) -> str:
 
 
 def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, level: int) -> bytes:
-    """One compressed record. A revisit keeps the HTTP headers, whose length tells the payload's."""
+    """One compressed record. A revisit keeps the HTTP headers, whose length tells the payload's; control characters of the address, which would break the header, are left out."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
     fields = [
@@ -119,15 +122,28 @@ def revisits(pages: DataFrame) -> DataFrame:
     """(page_id, digest, refers_to) of pages whose payload of ``MIN_REVISIT_BYTES`` occurs more than once; the first page refers to itself."""
     digests = pages.where(F.octet_length("html") >= MIN_REVISIT_BYTES).select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "refers_to")
+    first = written(first, "warc-firsts")  # a table, so the join can split the pages of a payload that very many share
     return digests.join(first, "digest").select("page_id", "digest", "refers_to").distinct()
 
 
 def bounds(pages: DataFrame, id_col: str, shards: int) -> list[int]:
-    """Ids that start the second and later shards, at equal ranks of a sample chosen by the ids' hashes."""
+    """Ids that start the second and later shards, at equal ranks of a sample chosen by the ids' hashes; none for an empty table, null ids don't count."""
     ids = pages.select(F.col(id_col).cast("long").alias("i")).where("i is not null")
-    every = max(1, ids.count() // BOUND_IDS)
-    some = sorted({r[0] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).collect()})
-    return sorted({some[len(some) * k // shards] for k in range(1, shards)}) if some else []
+    every = max(1, ids.count() // max(LEAST_BOUND_IDS, BOUND_IDS * shards))
+    some = sorted(r[0] for r in ids.where(F.pmod(F.xxhash64("i"), F.lit(every)) == 0).distinct().collect())
+    return sorted({some[len(some) * k // shards] for k in range(1, shards)} - {some[0]}) if some else []
+
+
+def shard_of(page_id: str, starts: list[int]) -> Column:
+    """How many of the ascending ``starts`` a column reaches: looked up among every so many of them first, then among those that follow."""
+    if not starts:
+        return F.lit(0)
+    step = math.isqrt(len(starts) - 1) + 1
+    groups = [starts[i : i + step] for i in range(0, len(starts), step)]
+    listed = lambda xs: f"array({','.join(f'{x}L' if x > -(2**63) else '-9223372036854775807L - 1L' for x in xs)})"
+    reached = lambda xs: f"size(filter({xs}, b -> b <= {page_id}))"
+    group = reached(listed(g[0] for g in groups))
+    return F.expr(f"CASE WHEN {page_id} < {listed(starts[:1])}[0] THEN 0 ELSE ({group} - 1) * {step} + {reached(f'element_at(array({",".join(map(listed, groups))}), {group})')} END")
 
 
 def write(
@@ -145,12 +161,11 @@ def write(
         total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
         shards = max(partitions(spark), -(-total // SHARD_BYTES))
     starts = bounds(pages, id_col, shards)
-    shard = F.expr(f"size(filter(array({','.join(f'{b}L' for b in starts)}), b -> b <= page_id))") if starts else F.lit(0)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).where("page_id is not null")
     # what a page refers to travels as a row before it, so the payloads are dealt once and joined with nothing
     told = revisits(rows).select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to")
-    both = told.unionByName(rows.withColumn("digest", F.lit(None).cast("string")).withColumn("refers_to", F.lit(None).cast("long"))).withColumn("shard", shard.cast("int"))
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", F.desc_nulls_last("refers_to"), "url", "html").select("shard", "page_id", "url", "html", "digest", "refers_to")
+    both = told.unionByName(rows.withColumn("digest", F.lit(None).cast("string")).withColumn("refers_to", F.lit(None).cast("long"))).withColumn("shard", shard_of("page_id", starts).cast("int"))
+    dealt = both.repartitionById(len(starts) + 1, "shard").sortWithinPartitions("shard", "page_id", F.desc_nulls_last("refers_to"), "url", "html").select("shard", "page_id", "url", "html", "digest", "refers_to")
     files = dealt.mapInArrow(_writer(to, roll_bytes, level), "shard int, part int, temporary string, n_records long, n_bytes long, sha256 string")
     manifest = written(files, "warc-manifest").withColumn("name", F.format_string("part-%05d-%05d.warc.gz", "shard", "part"))
     commit(manifest, to)
@@ -167,15 +182,22 @@ def commit(manifest: DataFrame, to: str) -> None:
         fs.delete_dir(f"{root}/_temporary")
 
 
+def members(archive: bytes) -> Iterator[bytes]:
+    """What each gzip member of an archive holds, in time that grows with its bytes alone."""
+    view, at = memoryview(archive), 0
+    while at < len(view):
+        unpacker, out = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            if at >= len(view):
+                raise ValueError("the archive ends within a record")
+            out.append(unpacker.decompress(view[at : at + UNPACKED_BYTES]))
+            at += min(UNPACKED_BYTES, len(view) - at) - len(unpacker.unused_data)
+        yield b"".join(out)
+
+
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """Header fields, HTTP headers and body of each record of an archive."""
-    rest = archive
-    while rest:
-        unpacker = zlib.decompressobj(31)
-        raw = unpacker.decompress(rest) + unpacker.flush()
-        if not unpacker.eof:
-            raise ValueError("the archive ends within a record")
-        rest = unpacker.unused_data
+    """Header fields, HTTP headers and body of each record of an archive; none for an empty one, an error for a broken one."""
+    for raw in members(archive):
         head, _, tail = raw.partition(b"\r\n\r\n")
         version, *lines = head.decode().split("\r\n")
         if not version.startswith("WARC/"):
