@@ -108,7 +108,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(tables: int, blocks: int, scale: float, seed: int):
-    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("at", pa.int32()), ("dims", pa.int32()), ("vector", pa.binary())])
+    schema = pa.schema([("key", pa.int64()), ("node", pa.int64()), ("at", pa.int32()), ("dims", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, np.ndarray] = {}
@@ -122,11 +122,11 @@ def _keyed(tables: int, blocks: int, scale: float, seed: int):
                     keys = cell_keys(_units(part.column(2).to_pylist()), planes, scale) ^ (int(dims) << 40)
                     keys = keys.reshape(len(part), -1)
                     # a vector goes once to each cell
-                    rows, at = np.nonzero([[k not in row[:i] for i, k in enumerate(row)] for row in keys.tolist()])
-                    taken = part.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[rows, at]), taken.column(0), taken.column(1), pa.array((at // (1 + blocks)).astype(np.int32)), pa.array(np.full(len(rows), dims, np.int32)), taken.column(2)], schema=schema
-                    )
+                    order = np.argsort(keys, axis=1, kind="stable")
+                    ordered = np.take_along_axis(keys, order, axis=1)
+                    rows, place = np.nonzero(np.concatenate([np.ones((len(keys), 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1))
+                    at = order[rows, place]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[rows, at]), part.column(0).take(pa.array(rows)), pa.array((at // (1 + blocks)).astype(np.int32)), pa.array(np.full(len(rows), dims, np.int32))], schema=schema)
 
     return run
 
@@ -242,9 +242,11 @@ def near_duplicates(
     rows = rows.withColumn("_v", F.when(usable(F.col("_v")), F.col("_v")))
     distinct = rows.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     distinct = written(distinct, "vectors")
-    raw = distinct.select("node", "copies", "_v").mapInArrow(_packed, "node long, copies long, vector binary")
-    keyed = raw.mapInArrow(_keyed(tables, blocks, scale, seed), "key long, node long, copies long, at int, dims int, vector binary")
-    units = comparison_units(written(keyed, "cells"), "node", block_rows)
+    raw = written(distinct.select("node", "copies", "_v").mapInArrow(_packed, "node long, copies long, vector binary"), "packed")
+    cells = written(raw.mapInArrow(_keyed(tables, blocks, scale, seed), "key long, node long, at int, dims int"), "cells")
+    # cells travel by number; a vector follows to those only that it shares with another
+    shared = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key"), "shared")
+    units = comparison_units(written(cells.join(shared, "key", "left_semi"), "met"), "node", block_rows).join(raw, "node")
     dealt = units.repartition(partitions(vectors.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     links = written(dealt.mapInArrow(_compared(threshold, tables, blocks, scale, seed), "kind int, a long, b long"), "links")
     return _result(rows, distinct, links, id_col)
