@@ -40,7 +40,7 @@ def op3_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return language_id.identify(docs, language_id.train(docs)).drop("spans")
+    return language_id.identify(docs, language_id.train(docs)).drop("letters", "spans")
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
