@@ -13,6 +13,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.llm._shared import written
+
 WINDOW_WORDS = 13
 #: Up to so many distinct windows are inlined in the plan as a hash set; more are joined.
 INLINE_WINDOWS = 20_000
@@ -21,6 +23,9 @@ BROADCAST_WINDOWS = 500_000
 #: A document is contaminated if at least one word in so many is hit.
 CONTAMINATED_SHARE = 20
 
+#: Parts of the list of inlined windows, by their hash; a window is looked up in one of them.
+LISTS = 1024
+
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
@@ -45,8 +50,16 @@ def _kept(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+_HITS = "array<struct<at:int,size:int,hash:long,window:string>>"
+
+
+def _hit(at: Column, size: Column) -> Column:
+    part = F.slice("w", at, size)
+    return F.struct(at.alias("at"), size.alias("size"), F.xxhash64(part).alias("hash"), F.array_join(part, " ").alias("window"))
+
+
 def _window(size: int):
-    return lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.array_join(F.slice("w", i, size), " ").alias("window"))
+    return lambda i: _hit(i, F.lit(size))
 
 
 def _hashed(size: int):
@@ -54,7 +67,7 @@ def _hashed(size: int):
 
 
 def _inlined(split: DataFrame, rows: list) -> DataFrame:
-    """Adds ``hits``, an array of (at, size, window), for windows whose hash is among ``rows``."""
+    """Adds ``hits``, an array of (at, size, hash, window), for windows whose hash is among ``rows``."""
     by_size: dict[int, set[int]] = {}
     for r in rows:
         by_size.setdefault(r["size"], set()).add(r["hash"])
@@ -64,13 +77,18 @@ def _inlined(split: DataFrame, rows: list) -> DataFrame:
         at = F.expr(f"filter(sequence(1, size(w) - {size - 1}), i -> xxhash64(slice(w, i, {size})) in ({listed}))")
         hit = F.when(F.size("w") >= size, at)
         found.append(F.transform(hit, _window(size)))
-    none = F.array().cast("array<struct<at:int,size:int,window:string>>")
+    none = F.array().cast(_HITS)
     return _kept(split, "hits", F.array_sort(F.concat(none, *(F.coalesce(x, none) for x in found))))
 
 
+def _row_key() -> Column:
+    """Tells rows apart by id and words, whatever these hold: JSON names what is not null and marks where strings end."""
+    return F.unhex(F.sha2(F.to_json(F.struct(F.col("_id").alias("id"), F.col("w").alias("w"))), 256))
+
+
 def _joined(split: DataFrame, windows: DataFrame, sizes: list[int], broadcast: bool) -> DataFrame:
-    """As ``_inlined`` by a join of all windows with the benchmark's; rows are told apart by id and words."""
-    rows = split.withColumn("row", F.sha2(F.concat_ws(" ", F.col("_id"), F.concat_ws(" ", "w")), 256))
+    """As ``_inlined`` by a join of all windows with the benchmark's; adds the rows' key, too."""
+    rows = split.withColumn("row", _row_key())
     every = None
     for size in sizes:
         at = F.when(F.size("w") >= size, F.sequence(F.lit(1), F.size("w") - size + 1))
@@ -79,14 +97,16 @@ def _joined(split: DataFrame, windows: DataFrame, sizes: list[int], broadcast: b
     known = windows.select("hash", "size").distinct()
     met = every.join(F.broadcast(known) if broadcast else known, ["hash", "size"]).select("row", "at", "size").distinct()
     met = met.groupBy("row").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "size")).alias("met"))
-    none = F.array().cast("array<struct<at:int,size:int,window:string>>")
-    hits = F.transform("met", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"), F.array_join(F.slice("w", h["at"], h["size"]), " ").alias("window")))
-    return rows.join(met, "row", "left").withColumn("hits", F.array_sort(F.coalesce(hits, none))).drop("row", "met")
+    hits = F.transform("met", lambda h: _hit(h["at"], h["size"]))
+    return rows.join(met, "row", "left").withColumn("hits", F.array_sort(F.coalesce(hits, F.array().cast(_HITS)))).drop("met")
 
 
-def _listed(items: dict[str, list[str]]) -> str:
-    """A line for each window with its items in base64. A window is cut by blanks alone, so no text needs escapes, and none is too long, as a JSON field name over 50,000 characters is."""
-    return "\n".join(f"{w}\t" + ",".join("=" + base64.b64encode(x.encode("utf-8", "surrogatepass")).decode() for x in found) for w, found in items.items())
+def _listed(items: dict[tuple[int, str], list[str]]) -> str:
+    """A line for each of ``LISTS`` ranges of hashes: its windows, each with its items in base64. Windows are cut by blanks alone, so no text needs escapes, and none is too long."""
+    lines: list[list[str]] = [[] for _ in range(LISTS)]
+    for (h, w), found in items.items():
+        lines[h % LISTS].append(f"{w}\t" + ",".join("=" + base64.b64encode(x.encode("utf-8", "surrogatepass")).decode() for x in found))
+    return "\n".join("\r".join(line) for line in lines)
 
 
 def _items(told: Column) -> Column:
@@ -117,22 +137,28 @@ def decontaminate(
     windows = item_windows(benchmark, item_col, item_text_col, n)
     split = _kept(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "w", words(F.col("_text"))).drop("_text")
     rows = windows.limit(inline + 1).collect()  # a bounded look at the set's size
+    none = F.array().cast("array<string>")
     if len(rows) <= inline:
-        met = _inlined(split, rows)
-        items: dict[str, list[str]] = {}
+        out = _inlined(split, rows)
+        items: dict[tuple[int, str], list[str]] = {}
         for r in rows:
-            items.setdefault(r["window"], []).extend([] if r["item"] is None else [r["item"]])
-        known = F.str_to_map(F.lit(_listed(items)), F.lit("\n"), F.lit("\t"))
-        near = met.withColumn("hits", F.filter("hits", lambda h: F.map_contains_key(known, h["window"]))) if items else met
-        of = F.flatten(F.transform(F.array_distinct(F.transform("hits", lambda h: h["window"])), lambda x: _items(F.element_at(known, x)))) if items else F.array().cast("array<string>")
-        out = near.withColumn("items", F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(of))).otherwise(F.array().cast("array<string>")))
+            items.setdefault((r["hash"], r["window"]), []).extend([] if r["item"] is None else [r["item"]])
+        if items:
+            lists = F.split(F.lit(_listed(items)), "\n")
+            told = lambda h: F.element_at(F.str_to_map(F.element_at(lists, (F.pmod(h["hash"], F.lit(LISTS)) + 1).cast("int")), F.lit("\r"), F.lit("\t")), h["window"])
+            out = _kept(out, "told", F.filter(F.transform("hits", lambda h: F.struct(h.alias("hit"), told(h).alias("told"))), lambda x: x["told"].isNotNull()))
+            out = out.withColumn("hits", F.transform("told", lambda x: x["hit"]))
+            of = F.flatten(F.transform(F.array_distinct(F.transform("told", lambda x: x["told"])), _items))
+            out = out.withColumn("items", F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(of))).otherwise(none))
+        else:
+            out = out.withColumn("items", none)
     else:
-        small = len(windows.limit(broadcast + 1).select(F.lit(1)).collect()) <= broadcast
+        windows = written(windows, "windows")
+        small = windows.count() <= broadcast
         met = _joined(split, windows, [r["size"] for r in windows.select("size").distinct().collect()], small)
-        met = met.withColumn("row", F.sha2(F.concat_ws(" ", "_id", F.concat_ws(" ", "w")), 256))
         hit = met.where(F.size("hits") > 0).select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["window"]))).alias("window")).distinct()
         by_row = hit.join(windows.select("window", "item").distinct(), "window").groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"), F.collect_set("window").alias("real"))
-        out = met.join(by_row, "row", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).withColumn("hits", F.filter("hits", lambda h: F.array_contains("real", h["window"])))
-        out = out.withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<at:int,size:int,window:string>>")))
+        out = met.join(by_row, "row", "left").withColumn("items", F.coalesce("items", none)).withColumn("hits", F.filter("hits", lambda h: F.array_contains("real", h["window"])))
+        out = out.withColumn("hits", F.coalesce("hits", F.array().cast(_HITS)))
     counted = out.select("_id", F.size("w").cast("long").alias("n_words"), _covered(F.col("hits")).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.transform("hits", lambda h: F.struct(h["at"].alias("at"), h["size"].alias("size"))).alias("spans"))
     return counted.select(F.col("_id").alias(id_col), *counted.columns[1:], ((F.col("n_hit") > 0) & (CONTAMINATED_SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
