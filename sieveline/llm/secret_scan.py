@@ -23,13 +23,25 @@ COPIED_OWNERS = 3
 _SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 
 
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is reckoned once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _parts(items: Column) -> Column:
+    """An array, not empty, as parts of about the square root of its size: what copies a list at each step copies a short one."""
+    size = F.ceil(F.sqrt(F.size(items))).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(items) / size).cast("int") - 1), lambda p: F.slice(items, p * size + 1, size))
+
+
 def _spans(text: Column, pattern: str, rank: int, group: int, least: int, maybe: Column) -> Column:
     """Spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters, in code points.
 
-    The pieces between the matches and the matches themselves give every position: both functions scan alike.
+    The pieces between the matches and the matches themselves give every position: both functions scan alike. Each part
+    of the matches is placed by itself and moved by what stands before it.
     """
     between, whole, value = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(s: Column, m: Column) -> Column:
         at = s["at"] + F.length(m["gap"])
@@ -37,8 +49,18 @@ def _spans(text: Column, pattern: str, rank: int, group: int, least: int, maybe:
         span = F.struct(at.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(KINDS[rank]).alias("kind"), m["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(F.length(m["value"]) >= least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
 
-    matches = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    return F.when(maybe, F.aggregate(matches, start, step, lambda s: s["spans"])).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def moved(s: Column, part: Column) -> Column:
+        by = s["at"]
+        spans = F.transform(part["spans"], lambda x: F.struct((x["start"] + by).alias("start"), x["rank"].alias("rank"), (x["end"] + by).alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
+        return F.struct((by + part["at"]).alias("at"), F.concat(s["parts"], F.array(spans)).alias("parts"))
+
+    def placed(matches: Column) -> Column:
+        each = F.transform(_parts(matches), lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("spans")), step))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{_SPAN}>>").alias("parts"))
+        return F.when(F.size(matches) > 0, F.aggregate(each, start, moved, lambda s: F.flatten(s["parts"]))).otherwise(none)
+
+    matches = _bound(whole, lambda w: F.arrays_zip(F.slice(between, 1, F.size(w)).alias("gap"), w.alias("whole"), value.alias("value")))
+    return F.when(maybe, _bound(matches, placed)).otherwise(none)
 
 
 def base_spans(text: Column) -> Column:
@@ -66,7 +88,11 @@ def owner_of(repository: Column) -> Column:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repositories, n_owners, n_spans, verdict) of every candidate value; ``found`` has hash, repository, owner."""
+    """(hash, n_repositories, n_owners, n_spans, verdict) of every candidate value; ``found`` has hash, repository, owner.
+
+    Spans of a repository are summed first, then repositories of an owner, so a value that very many hold is few rows
+    when it is counted. A null repository counts as one, a null owner as none; an empty table gives an empty result.
+    """
     each = found.groupBy("hash", "repository", "owner").agg(F.count(F.lit(1)).alias("n"))
     by_owner = each.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("r"), F.sum("n").alias("n"))
     by_hash = by_owner.groupBy("hash").agg(F.sum("r").alias("n_repositories"), F.count("owner").alias("n_owners"), F.sum("n").alias("n_spans"))
@@ -85,24 +111,52 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reposi
     rows = docs.select(F.col(id_col).alias("_id"), repository.alias("repository"), (owner_of(repository) if owner is None else owner).alias("owner"), base_spans(F.col(text_col)).alias("base"))
     rows = written(rows, "spans")
     some, none = rows.where(F.size("base") > 0), rows.where(F.size("base") == 0)
-    some = some.withColumn("row", F.sha2(F.concat_ws(",", F.col("_id").cast("string"), F.col("repository"), F.to_json("base")), 256))
+    some = some.withColumn("row", F.sha2(F.to_json(F.struct(F.col("_id").cast("string").alias("id"), "repository", "owner", "base")), 256))
     values = some.select("row", "repository", "owner", F.explode("base").alias("s")).withColumn("hash", F.sha2("s.value", 256))
     # rows of the same id, repository and spans get the same verdicts, so one of them stands for all
-    judged = values.select("row", "s", "hash").distinct().join(ownership(values).select("hash", "verdict"), "hash")
+    owners = written(ownership(values).select("hash", "verdict"), "owners")  # a table, so the join can split the rows of a widely copied value
+    judged = values.select("row", "s", "hash").distinct().join(owners, "hash")
     by_row = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s.start", "s.rank", "s.end", "s.kind", "verdict"))).alias("judged"))
     live = F.transform(F.filter("judged", lambda s: s["verdict"] == "live"), lambda s: F.struct(s["start"].alias("start"), F.lit(3).alias("rank"), s["end"].alias("end"), F.lit("live").alias("kind"), s["verdict"].alias("verdict")))
-    done = some.join(by_row, "row").select("_id", "base", F.array_sort(F.concat("judged", F.array_distinct(live))).alias("found"))
+    done = some.join(by_row, "row").select("_id", "base", F.array_sort(F.concat("judged", _bound(F.array_sort(live), _different))).alias("found"))
     empty = none.select("_id", "base", F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,verdict:string>>").alias("found"))
     return done.unionByName(empty).withColumnRenamed("_id", id_col)
 
 
+def _different(spans: Column) -> Column:
+    """Sorted spans without repeats."""
+    return F.filter(spans, lambda x, i: (i == 0) | (x != F.get(spans, i - 1)))
+
+
 def redact(text: Column, found: Column) -> Column:
-    """``text`` with every span of ``found`` replaced: overlapping spans together, copied values by [EXAMPLE], others by [SECRET]."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every span of ``found`` replaced: overlapping spans together, copied values by [EXAMPLE], others by [SECRET].
 
-    def step(s: Column, m: Column) -> Column:
-        word = F.when(m["verdict"] == "copied", "[EXAMPLE]").otherwise("[SECRET]")
-        gap = F.substring(text, s["at"] + 1, m["start"] - s["at"])
-        return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["start"] >= s["at"], F.concat(s["out"], gap, word)).otherwise(s["out"]).alias("out"))
+    A null text, or no spans (an empty or null array), leaves the text as it is. Spans must ascend, as those of ``scan`` do.
+    """
+    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def reach(s: Column, part: Column) -> Column:
+        return F.struct(F.greatest(s["at"], F.array_max(F.transform(part, lambda m: m["end"]))).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts"))
+
+    def written_out(part: Column, begin: Column) -> Column:
+        """The text from ``begin`` to the end of the part's spans; positions are looked up in that stretch alone."""
+        end = F.greatest(begin, F.array_max(F.transform(part, lambda m: m["end"])))
+        start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def within(stretch: Column) -> Column:
+            def step(s: Column, m: Column) -> Column:
+                word = F.when(m["verdict"] == "copied", "[EXAMPLE]").otherwise("[SECRET]")
+                gap = F.substring(stretch, s["at"] - begin + 1, m["start"] - s["at"])
+                return F.struct(F.greatest(s["at"], m["end"]).alias("at"), F.when(m["start"] >= s["at"], F.concat(s["out"], F.array(gap, word))).otherwise(s["out"]).alias("out"))
+
+            return F.aggregate(part, start, step, lambda s: F.array_join(s["out"], ""))
+
+        return _bound(F.substring(text, begin + 1, end - begin), within)
+
+    def whole(parts: Column) -> Column:
+        def joined(reached: Column) -> Column:
+            return F.concat(F.array_join(F.zip_with(parts, reached["starts"], written_out), ""), F.substring(text, reached["at"] + 1, F.length(text)))
+
+        return _bound(F.aggregate(parts, first, reach), joined)
 
-    return F.aggregate(found, start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(found) > 0, _bound(_parts(found), whole)).otherwise(text)
