@@ -5,6 +5,10 @@ Golay code. A segment's keys are the codeword indices to which the words within
 for words at distance three from their codeword. Segments at most two bits apart share a key, as the word midway
 between them decodes to it. Of four differing bits at most one segment can hold three or more, so two segments always
 hold two or fewer: fingerprints are joined on the index pairs of two segments, and each candidate is verified exactly.
+
+Pairs of 12-bit indices grow crowded with very many fingerprints. Then wide keys are taken: either all segments are two
+bits apart at most, and share a triple of indices; or one differs by three or more, and of the others one is equal and
+one within a bit, so they share the equal segment's bits with the other's index.
 """
 
 from __future__ import annotations
@@ -17,13 +21,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm._shared import BLOCK_ROWS, comparison_units, components, forest, partitions, written
+from sieveline.llm import shingle_join
+from sieveline.llm._shared import BLOCK_ROWS, comparison_units, components, delete, forest, partitions, work_path, written
 
 SHINGLE_WORDS = 4
 MAX_DISTANCE = 4
 HASH_SEED = 42
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Distinct fingerprints from which wide keys are taken; either kind finds every pair.
+WIDE_FROM = 1 << 26
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 
@@ -65,13 +72,23 @@ def segment_keys(segment: np.ndarray, bits: int) -> np.ndarray:
     return keys[:, : max(1, int((keys >= 0).sum(axis=1).max(initial=1)))]
 
 
-def fuzzy_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def fuzzy_keys(fingerprints: np.ndarray, wide: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) of every key of every fingerprint (unsigned 64-bit)."""
-    keys = [segment_keys((fingerprints >> np.uint64(at)) & np.uint64((1 << bits) - 1), bits).astype(np.int64) for at, bits in SEGMENTS]
+    segments = [((fingerprints >> np.uint64(at)) & np.uint64((1 << bits) - 1)).astype(np.int64) for at, bits in SEGMENTS]
+    keys = [segment_keys(x, bits).astype(np.int64) for x, (_, bits) in zip(segments, SEGMENTS)]
+    if wide:
+        a, b, c = keys[0][:, :, None, None], keys[1][:, None, :, None], keys[2][:, None, None, :]
+        found = [np.where((a >= 0) & (b >= 0) & (c >= 0), (a << 24) | (b << 12) | c, -1)]
+        for n, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
+            found.append(np.where(keys[j] >= 0, ((n + 1) << 36) | (segments[i][:, None] << 12) | keys[j], -1))
+    else:
+        found = []
+        for n, (i, j) in enumerate(PAIRS):
+            a, b = keys[i][:, :, None], keys[j][:, None, :]
+            found.append(np.where((a >= 0) & (b >= 0), (n << 24) | (a << 12) | b, -1))
     rows, out = [], []
-    for n, (i, j) in enumerate(PAIRS):
-        a, b = keys[i][:, :, None], keys[j][:, None, :]
-        key = np.where((a >= 0) & (b >= 0), (n << 24) | (a << 12) | b, -1).reshape(len(fingerprints), -1)
+    for key in found:
+        key = key.reshape(len(fingerprints), -1)
         row, at = np.nonzero(key >= 0)
         rows.append(row)
         out.append(key[row, at])
@@ -106,13 +123,16 @@ def _fingerprints(words: int, seed: int):
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for start in range(0, len(whole), 1024):
-            batch = whole.slice(start, 1024)
-            rows, keys = fuzzy_keys(batch.column(1).to_numpy().view(np.uint64))
-            taken = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", "print"])
+def _keyed(wide: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, len(whole), 1024):
+                batch = whole.slice(start, 1024)
+                rows, keys = fuzzy_keys(batch.column(1).to_numpy().view(np.uint64), wide)
+                taken = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *taken.columns], names=["key", "node", "print"])
+
+    return run
 
 
 def _verified(max_distance: int, dense: int = 24):
@@ -181,12 +201,15 @@ def _verified(max_distance: int, dense: int = 24):
     return run
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, seed: int = HASH_SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, max_distance: int = MAX_DISTANCE, seed: int = HASH_SEED, block_rows: int = BLOCK_ROWS, wide: bool | None = None
+) -> DataFrame:
     """One row for each input row: ``id_col``, fingerprint (16 hex digits), component_id, kept.
 
     A null, empty or blank text has no words and the fingerprint zero, which links like any other. Equal fingerprints
     are compared once. Rows that repeat an id keep a row each; rows whose id is null are left out; an empty table gives
-    an empty result; further columns are ignored. ``max_distance`` may not exceed four, for which the keys are proven.
+    an empty result; further columns are ignored. ``max_distance`` may not exceed four, for which the keys are proven. ``wide`` keys are taken from
+    ``WIDE_FROM`` distinct fingerprints on unless it says; the result is the same.
     """
     if not 0 <= max_distance <= MAX_DISTANCE:
         raise ValueError(f"max_distance must lie between 0 and {MAX_DISTANCE}")
@@ -195,11 +218,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = written(rows.mapInArrow(_fingerprints(words, seed), "doc_id long, print long"), "prints")
     distinct = prints.groupBy("print").agg(F.min("doc_id").alias("node")).select("node", "print")
     distinct = written(distinct, "distinct")
-    keyed = written(distinct.repartition(partitions(spark)).mapInArrow(_keyed, "key long, node long, print long"), "keys")
+    wide = distinct.count() >= WIDE_FROM if wide is None else wide
+    keys = work_path(spark, "keys")
+    keyed = written(distinct.repartition(partitions(spark)).mapInArrow(_keyed(wide), "key long, node long, print long"), "", keys)
     units = comparison_units(keyed, "print", block_rows)
     dealt = units.repartition(partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     joined = components(dealt.mapInArrow(_verified(max_distance), "src long, dst long"))
+    delete(spark, keys)
     classes = distinct.join(joined, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(classes, "print").select(
         F.col("doc_id").alias(id_col), F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept")
     )
+
+
+def near_copies(docs: DataFrame, key_col: str, text_col: str = "text", words: int = shingle_join.SHINGLE_WORDS) -> DataFrame:
+    """(key_col, component): texts linked by a Jaccard similarity of at least 0.8 of their word shingles share a component.
+
+    Fingerprints of the shingles propose groups, whose members are verified against the smallest one by their whole
+    sets. Most pairs at 0.8 are further apart than any number of bits that keys can be joined on, so an exact join
+    finds those that the groups leave apart. Keys, nulls, repeats and empty tables are as in ``shingle_join.near_copies``.
+    """
+
+    def propose(texts: DataFrame) -> DataFrame:
+        found = near_duplicates(texts, "node", "text", words)
+        return found.where("not kept").select(F.col("component_id").alias("a"), F.col("node").alias("b"))
+
+    return shingle_join.near_copies(docs, key_col, text_col, words, propose=propose)

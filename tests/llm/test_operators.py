@@ -114,6 +114,8 @@ def test_golay_simhash(spark, block_rows):
     assert {r["doc_id"]: r["fingerprint"] for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
     links = [(a, b) for a, b in itertools.combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
     assert {r["doc_id"]: r["component_id"] for r in got} == classes(prints, links)
+    got = golay_simhash.near_duplicates(docs(spark, texts), block_rows=block_rows, wide=True).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == classes(prints, links)
     assert golay_simhash.near_duplicates(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):
         golay_simhash.near_duplicates(docs(spark, []), max_distance=5)
@@ -282,7 +284,7 @@ def test_substring_dedup(spark, how):
 
 def test_packed_positions():
     for p in ([0], [5, 6, 70000, 200000, 200001], [65535, 131070], list(range(100))):
-        assert substring_dedup._unpacked(substring_dedup._packed(np.array(p, "<u4"))).tolist() == p
+        assert _shared.unpacked(_shared.packed(np.array(p, "<u4"))).tolist() == p
 
 
 @pytest.mark.parametrize("how", [{}, {"roll_bytes": 2000, "shards": 3}])
