@@ -28,3 +28,9 @@ def test_null_and_repeated_ids(spark, tmp_path):
     docs = near(spark, docs, str(tmp_path))
     assert left(docs) == sorted([(1, a), (None, b), (2, leak), (2, c), (3, d)], key=key)
     assert left(clean(spark, docs, str(tmp_path))) == sorted([(1, a), (None, b), (2, c), (3, d)], key=key)
+
+
+def test_no_labels_at_all(spark, tmp_path):
+    rows = [(1, "a b"), (2, "½"), (None, "z"), (3, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()} == {"a b", "z"}
