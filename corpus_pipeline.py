@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.llm import bpe_transducer, decontaminate, language_id, secret_scan, shingle_join
-from sieveline.llm._shared import written
+from sieveline.llm import bpe_transducer, decontaminate, golay_simhash, language_id, secret_scan
+from sieveline.llm._shared import delete, scratch, work_path, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,28 +19,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is undetermined (no letters, no text) go; the rest stays as it is, whatever its label or id, null and repeated ids too."""
+    """Rows without a letter (no text, too) have no language and go; the rest stays as it is, whatever its label or id, null and repeated ids too, and even if no row has a label."""
     rows = _keyed(docs)
     found = language_id.identify(rows, language_id.train(docs), id_col="_key")
-    rejected = found.where(F.col("lang_pred") == language_id.UNKNOWN).select("_key").distinct()
+    rejected = found.where("letters = 0").select("_key").distinct()
     return rows.join(rejected, "_key", "left_anti").select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (linked by a Jaccard similarity of 0.8 of five-word shingles) the document with the smallest id stays.
 
-    64-bit SimHash loses most such pairs at any bound that can be joined on, so all are joined exactly. Documents
+    SimHash groups come first and are verified; as 64 bits lose most such pairs, the others are joined exactly. Documents
     without an id come after those with one; of one id, and of rows that are the same in all columns, one row stays.
+    Texts without words (a null one, too) are copies of each other; an empty table stays empty.
     """
     rows = _keyed(docs)
-    groups = shingle_join.near_copies(rows, "_key")
+    groups = golay_simhash.near_copies(rows, "_key")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
     best = rows.select("_key", "doc_id").join(groups, "_key").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first._key").alias("_key"))
     return rows.join(best, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated rows go, whatever their id; others of the same id stay."""
+    """Contaminated rows go, whatever their id; others of the same id stay, as do texts without words and every row if the benchmark is empty."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _keyed(docs)
     gone = decontaminate.decontaminate(rows, benchmark, id_col="_key").where("contaminated").select("_key").distinct()
@@ -48,8 +49,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in the texts are replaced: widely copied ones by [EXAMPLE], others by [SECRET]; every document stays."""
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    """Secrets in the texts are replaced: widely copied ones by [EXAMPLE], others by [SECRET]; every row stays, null ids, null texts and repeats included. n_chars follows the text and stays as it is where that is null."""
+    keyed = _keyed(docs)
     found = secret_scan.scan(keyed, id_col="_key").where(F.size("base") > 0).select("_key", "found").dropDuplicates(["_key"])
     joined = keyed.join(found, "_key", "left")
     text = F.when(F.col("found").isNotNull(), secret_scan.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
@@ -57,13 +58,13 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text that is left, with digests of the ids and of what they decode to."""
+    """The ids of every text that is left, with digests of the ids and of what they decode to; a row for each row, an empty text has no ids."""
     return bpe_transducer.encode(docs, TOKENIZER)
 
 
 STAGES = [
     ("language ID", language_stage),
-    ("near-dedup", near_stage),
+    ("SimHash near-dedup", near_stage),
     ("benchmark decontamination", decontamination_stage),
     ("secret scans", secret_stage),
     ("BPE encoding and decoding", encoding_stage),
@@ -71,12 +72,17 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage makes of ``documents``. Each stage's result is a table; what it needed on the way is deleted with its predecessor's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if n < len(STAGES) - 1:
-            docs = written(docs, "stage")
-    return docs
+    last = None
+    for _, stage in STAGES[:-1]:
+        path = work_path(spark, "stage")
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), "", path)
+        if last:
+            delete(spark, last)
+        last = path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Words are hashed with XXH64, languages predicted and ids merged in ways that SQL doesn't have; tests hold the stages against brute force.
