@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import qualified_of
 from sieveline.operators.graph import fuzzy_resolve, resolve
+from sieveline.sources.shared import written
 
 FOLLOWED = ("calls", "imports", "inherits")
 
@@ -33,7 +34,8 @@ def phantom_aliases(of: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFr
 def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(id, hop): first hop at which each node is met, walking edges backwards, never on from a module.
 
-    Seeds aren't marked as visited, so a cycle may bring them back; depth 0 is as depth 1.
+    Seeds aren't marked as visited, so a cycle may bring them back; depth 0 is as depth 1. Each hop's nodes are written
+    to the shared folder, so no hop runs the ones before it again.
     """
     followed = edges.where(F.col("kind").isin(*FOLLOWED)).select("source", "target")
     modules = nodes.where("kind = 'module'").select(F.col("id").alias("target"))
@@ -43,10 +45,7 @@ def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> D
         found = followed.join(frontier, "target").select(F.col("source").alias("id")).distinct()
         if seen is not None:
             found = found.join(seen, "id", "left_anti")
-        # each hop is read by the next one twice: kept, its plan isn't run again, and lost parts are made anew
-        found = found.withColumn("hop", F.lit(hop)).persist()
-        if hop % 8 == 0:
-            found = found.checkpoint()
+        found = written(found.withColumn("hop", F.lit(hop)), "hop")
         seen = found if seen is None else seen.unionByName(found)
         frontier = found.select(F.col("id").alias("target")).join(modules, "target", "left_anti")
     return seen
@@ -62,7 +61,7 @@ def impact_radius(node: str, nodes: DataFrame, edges: DataFrame, depth: int = 2)
     """Nodes that depend on a node id within ``depth`` hops, with the hop; its own module is left out."""
     spark = nodes.sparkSession
     start = seeds(spark.createDataFrame([(node,)], "id string"), nodes, edges)
-    start = start.unionByName(phantom_aliases(start, nodes, edges)).distinct().persist()
+    start = written(start.unionByName(phantom_aliases(start, nodes, edges)).distinct(), "seeds")
     own = node.split("::", 1)[0]
     found = reach(start, nodes, edges, depth).join(nodes, "id").where((F.col("id") != own) | F.lit(own == node))
     return suppress_modules(found)

@@ -42,7 +42,9 @@ def run_summary(plan: DataFrame) -> DataFrame:
 
 def resume_batches(paths: DataFrame, size: int = RESUME_BATCH) -> DataFrame:
     """Adds ``batch``: paths in order, so many each. Ranks come from sorted ranges and their sizes, not from one task."""
-    ordered = paths.repartitionByRange("path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id())
+    # a stated number of ranges: both uses of the partition's number see the same ones
+    ranges = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = paths.repartitionByRange(ranges, "path").sortWithinPartitions("path").withColumn("_part", F.spark_partition_id())
     within = F.row_number().over(Window.partitionBy("_part").orderBy("path"))
     counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

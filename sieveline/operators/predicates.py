@@ -11,7 +11,7 @@ from sieveline.errors import SearchError
 from sieveline.functions.scalar import file_of
 
 #: Parts that mark a path as a test's: fixed values.
-TEST_PATH_PARTS = ("/tests/", "/test/", "/__tests__/", "/spec/", "/test_", "_test.py", ".test.ts", ".test.js", ".spec.ts", ".spec.js", "/conftest.py")
+TEST_PATH_PARTS = ("/tests/", "/test/", "/test_", "_test.py", "/conftest.py", "/conftest_", ".spec.ts", ".spec.js", ".spec.tsx", ".spec.jsx", "/__tests__/")
 MAX_CONTENT_LINES = 60
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +47,44 @@ def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, key: str =
     return known.join(postings, "term").join(lengths, key).groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
+@dataclass
+class TextIndex:
+    """postings (term, doc_id, tf, dl), terms (term, df) and one row of corpus statistics (n, avgdl), as a build stores them."""
+
+    postings: DataFrame
+    terms: DataFrame
+    corpus: DataFrame
+
+    def scores(self, queries: DataFrame, terms: list[str] | None = None, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+        """As ``bm25``, reading the postings of the asked terms alone; given ``terms``, the scan itself skips the others."""
+        postings, df = self.postings, self.terms
+        if terms is not None:
+            postings, df = postings.where(F.col("term").isin(terms)), df.where(F.col("term").isin(terms))
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+        known = queries.join(df, "term").crossJoin(F.broadcast(self.corpus))  # one row of statistics
+        return known.join(postings, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+
+
+def postings_of(chunks: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
+    """(term, key, tf, dl), sorted by term in files that part the terms between them; a term in very many chunks spans several."""
+    text = search_text(F.col("path"), F.col("symbol"), F.col("content")) if text is None else text
+    cut = chunks.select(key, tokens(text).alias("_t"))
+    each = cut.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    return each.select("term", key, "tf", "dl").repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def terms_of(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).repartitionByRange("term").sortWithinPartitions("term")
+
+
+def corpus_of(chunks: DataFrame, postings: DataFrame) -> DataFrame:
+    """One row: chunks, those without a token too, and their mean length."""
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    total = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+    return n.crossJoin(total).select("n", (F.col("total") / F.when(F.col("n") > 0, F.col("n"))).alias("avgdl"))  # one row each
+
+
 def top_k(scored: DataFrame, k: int, key: str = "doc_id", partition: list[str] | None = None) -> DataFrame:
     """The best by score, then key, with their ``rank``."""
     window = Window.partitionBy(*(partition or [])).orderBy(F.desc("score"), F.asc(key))
@@ -97,8 +136,8 @@ def finish(ranked: DataFrame, k: int, partition: list[str] | None = None, rules=
     return ranking.relevance_tiers(trimmed, partition)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vector: list[float], k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, hybrid: bool = True, metric: str = "cosine") -> DataFrame:
-    """The whole search. ``chunks`` has doc_id and the chunk columns, ``vectors`` doc_id and vector.
+def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vector: list[float], k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, hybrid: bool = True, metric: str = "cosine", index: TextIndex | None = None) -> DataFrame:
+    """The whole search. ``chunks`` has doc_id and the chunk columns, ``vectors`` doc_id and vector; ``index`` is the stored text index, else the texts are cut anew.
 
     Scope and test filters hold within each leg, before ranks are given; both legs return twice as many as asked for.
     """
@@ -110,9 +149,9 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vecto
     if hybrid and query is not None:
         terms = query_terms(query)
         # corpus statistics come from the whole index, ranks from what is in scope
-        postings, lengths = build_postings(chunks, terms=terms)
         asked = chunks.sparkSession.createDataFrame([("q", t) for t in terms], "query_id string, term string")
-        legs.append(top_k(bm25(postings, lengths, asked).drop("query_id").join(ids, "doc_id", "left_semi"), wide))
+        scored = index.scores(asked, terms) if index is not None else bm25(*build_postings(chunks, terms=terms), asked)
+        legs.append(top_k(scored.drop("query_id").join(ids, "doc_id", "left_semi"), wide))
         fused = top_k(fuse(legs), wide)
     else:
         fused = legs[0]
@@ -120,12 +159,11 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vecto
     return finish(ranked, k)
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True) -> DataFrame:
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, index: TextIndex | None = None) -> DataFrame:
     """Text search for every row of ``queries`` (query_id, query) at once; one ranked result set each."""
     found = chunks.where(scope(F.col("path"), prefix, aliases, include_tests))
-    postings, lengths = build_postings(chunks)
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    scored = bm25(postings, lengths, asked).join(found.select("doc_id"), "doc_id", "left_semi")
+    scored = (index.scores(asked) if index is not None else bm25(*build_postings(chunks), asked)).join(found.select("doc_id"), "doc_id", "left_semi")
     leg = top_k(scored, 2 * k, partition=["query_id"])
     fused = top_k(fuse([leg], partition=["query_id"]), 2 * k, partition=["query_id"])
     return finish(found.join(fused, "doc_id").withColumn("search_mode", F.lit("text")), k, ["query_id"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PATH = (
     "concat(CASE doc_id % 5 WHEN 0 THEN 'app/src' WHEN 1 THEN 'app/tests' WHEN 2 THEN 'lib/core' WHEN 3 THEN 'web/src/__tests__' ELSE 'lib/src/latest' END, '/', source, '/', "
-    "CASE WHEN doc_id % 11 = 0 THEN concat('d', CAST(doc_id AS STRING), '/conftest.py') ELSE concat('doc_', CAST(doc_id AS STRING), "
+    "CASE WHEN doc_id % 11 = 0 THEN concat('d', CAST(doc_id AS STRING), CASE doc_id % 3 WHEN 0 THEN '/conftest.py' WHEN 1 THEN '/conftest_db.py' ELSE '/spec/a.test.ts' END) ELSE concat('doc_', CAST(doc_id AS STRING), "
     "CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '_test.py' WHEN 2 THEN '.spec.ts' ELSE '.ts' END) END)"
 )
 LINES = "CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS INT)"

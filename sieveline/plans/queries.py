@@ -9,6 +9,7 @@ from sieveline.functions import parsers, scalar
 from sieveline.functions.embed import HashingEmbedder, embed_column
 from sieveline.operators import graph, impact, incremental, predicates, ranking, search, state
 from sieveline.plans import adapters as a
+from sieveline.sources.shared import kept
 from sieveline.streaming import events as ev
 
 QUERIES: dict = {}
@@ -78,10 +79,32 @@ bm AS (SELECT query_id, p.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df
 _ONE = f"SELECT 'q' AS query_id, term FROM (VALUES {TERMS}) v(term)"
 
 
+def text_index(spark, sf_dir) -> search.TextIndex:
+    """The text index of the chunks as a build stores it: made when it is first asked for, read from then on."""
+    chunks = a.chunks(spark, sf_dir)
+    postings = kept(spark, sf_dir, "postings", lambda: search.postings_of(chunks))
+    terms = kept(spark, sf_dir, "terms", lambda: search.terms_of(postings))
+    return search.TextIndex(postings, terms, kept(spark, sf_dir, "corpus", lambda: search.corpus_of(chunks, postings)))
+
+
 def _bm25(spark, sf_dir) -> DataFrame:
-    postings, lengths = search.build_postings(a.chunks(spark, sf_dir), terms=search.query_terms(QUERY))
-    asked = spark.createDataFrame([("q", t) for t in search.query_terms(QUERY)], "query_id string, term string")
-    return search.bm25(postings, lengths, asked).drop("query_id")
+    terms = search.query_terms(QUERY)
+    asked = spark.createDataFrame([("q", t) for t in terms], "query_id string, term string")
+    return text_index(spark, sf_dir).scores(asked, terms).drop("query_id")
+
+
+@query("text_index_build", _INDEX + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY doc_id, term) GROUP BY term")
+def text_index_build(spark, sf_dir):
+    """What a build does for the text index, from the texts on, summed by term."""
+    return search.postings_of(a.chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+
+
+@query("bm25_scores_anew", _bm25_sql(_ONE) + " SELECT doc_id, score FROM bm")
+def bm25_scores_anew(spark, sf_dir):
+    """The same without a stored index."""
+    terms = search.query_terms(QUERY)
+    asked = spark.createDataFrame([("q", t) for t in terms], "query_id string, term string")
+    return search.bm25(*search.build_postings(a.chunks(spark, sf_dir), terms=terms), asked).drop("query_id")
 
 
 @query("bm25_scores", _bm25_sql(_ONE) + " SELECT doc_id, score FROM bm")
@@ -134,7 +157,7 @@ def _hit() -> list:
 
 @query("search_pipeline", f"{_BOOSTED}, ranked2 AS (SELECT *, 'q' AS query_id FROM ranked), {_KEPT.format(k=10)}, {_TIERS} SELECT doc_id, {_OUT}, 'hybrid' AS search_mode FROM tiered")
 def search_pipeline(spark, sf_dir):
-    found = search.search(a.chunks(spark, sf_dir), a.vectors(spark, sf_dir), QUERY, _query_vector(spark, sf_dir), k=10)
+    found = search.search(a.chunks(spark, sf_dir), a.vectors(spark, sf_dir), QUERY, _query_vector(spark, sf_dir), k=10, index=text_index(spark, sf_dir))
     return found.select("doc_id", *_hit(), "search_mode")
 
 
@@ -150,7 +173,7 @@ _MANY = "SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(
 )
 def batch_search(spark, sf_dir):
     asked = a.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.batch_search(a.chunks(spark, sf_dir), asked).select("query_id", "doc_id", *_hit())
+    return search.batch_search(a.chunks(spark, sf_dir), asked, index=text_index(spark, sf_dir)).select("query_id", "doc_id", *_hit())
 
 
 # ---- hits ----
@@ -209,9 +232,13 @@ def content_preview(spark, sf_dir):
     return a.chunks(spark, sf_dir).select("doc_id", scalar.preview(F.col("content")).alias("preview"))
 
 
+#: Written out once more, so that the query's answer doesn't follow from the engine's own list.
+_TEST_PARTS = ["/tests/", "/test/", "/test_", "_test.py", "/conftest.py", "/conftest_", ".spec.ts", ".spec.js", ".spec.tsx", ".spec.jsx", "/__tests__/"]
+
+
 @query(
     "test_path_flag",
-    f"SELECT doc_id, path, {' OR '.join(f'''contains('/' || path, '{p}')''' for p in predicates.TEST_PATH_PARTS)} AS is_test, NOT ({NOT_TEST}) AS test_filtered, CASE WHEN regexp_matches(path, '[.]py$') THEN 'python' ELSE 'typescript' END AS language FROM ({a.CHUNKS})",
+    f"SELECT doc_id, path, {' OR '.join(f'''contains('/' || path, '{p}')''' for p in _TEST_PARTS)} AS is_test, NOT ({NOT_TEST}) AS test_filtered, CASE WHEN regexp_matches(path, '[.]py$') THEN 'python' ELSE 'typescript' END AS language FROM ({a.CHUNKS})",
 )
 def test_path_flag(spark, sf_dir):
     path = F.col("path")
@@ -341,10 +368,17 @@ def ambiguous_symbols(spark, sf_dir):
     return graph.ambiguous(a.nodes(spark, sf_dir))
 
 
-@query("fuzzy_resolve", f"{_GRAPH} SELECT file_path || '::X.' || qualified_name AS symbol, id FROM nodes WHERE kind = 'function'")
+_METHODS = "SELECT concat('f', CAST(c_nationkey AS STRING), '::K', CAST(c_custkey AS STRING), '.go', CAST(c_custkey % 9 AS STRING)) AS id, concat('f', CAST(c_nationkey AS STRING)) AS file_path, concat('K', CAST(c_custkey AS STRING), '.go', CAST(c_custkey % 9 AS STRING)) AS qualified_name FROM customer"
+
+
+@query(
+    "fuzzy_resolve",
+    f"WITH m AS ({_METHODS}), asked AS (SELECT DISTINCT file_path || '::Any.go' || i AS symbol, file_path, 'go' || i AS last FROM m, (SELECT unnest(range(0, 12)) AS i)), k AS (SELECT file_path, list_last(string_split(qualified_name, '.')) AS last, min(id) AS id FROM m GROUP BY 1, 2 HAVING count(DISTINCT id) = 1) SELECT symbol, id FROM asked JOIN k USING (file_path, last)",
+)
 def fuzzy_resolve(spark, sf_dir):
-    nodes = a.nodes(spark, sf_dir)
-    asked = nodes.where("kind = 'function'").select(F.concat("file_path", F.lit("::X."), "qualified_name").alias("symbol"))
+    """Methods of several classes in a file: names that one, several or no method there has."""
+    nodes = a.view(spark, sf_dir, _METHODS, "customer")
+    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"), "file_path").select(F.concat("file_path", F.lit("::Any.go"), F.col("i").cast("string")).alias("symbol")).distinct()
     return graph.fuzzy_resolve(asked, nodes)
 
 
@@ -368,7 +402,10 @@ def rewrite_package_phantoms(spark, sf_dir):
 
 @query(
     "prune_phantoms",
-    f"{_GRAPH}, gone AS (SELECT target FROM miss LEFT JOIN cand ON symbol = CASE WHEN contains(target, '::') THEN split_part(target, '::', 2) ELSE target END WHERE n IS NULL OR (n > 1 AND NOT contains(target, '::'))) SELECT source, target, kind FROM edges WHERE NOT (kind = 'calls' AND target IN (SELECT target FROM gone))",
+    f"""WITH nodes AS MATERIALIZED ({a.NODES}), edges AS MATERIALIZED ({a.EDGES}), cand AS MATERIALIZED (SELECT symbol, count(*) AS n FROM (SELECT name AS symbol, id FROM nodes UNION SELECT qualified_name, id FROM nodes) GROUP BY symbol),
+    calls AS MATERIALIZED (SELECT DISTINCT target FROM edges WHERE kind = 'calls'), miss AS MATERIALIZED (SELECT c.target, CASE WHEN contains(c.target, '::') THEN split_part(c.target, '::', 2) ELSE c.target END AS symbol FROM calls c ANTI JOIN nodes n ON c.target = n.id),
+    gone AS MATERIALIZED (SELECT target FROM miss LEFT JOIN cand USING (symbol) WHERE n IS NULL OR (n > 1 AND NOT contains(target, '::')))
+    SELECT source, target, kind FROM edges WHERE kind <> 'calls' UNION ALL SELECT e.source, e.target, e.kind FROM edges e ANTI JOIN gone g ON e.target = g.target WHERE e.kind = 'calls'""",
 )
 def prune_phantoms(spark, sf_dir):
     return graph.prune_phantoms(a.edges(spark, sf_dir), a.nodes(spark, sf_dir))
@@ -382,8 +419,8 @@ def _impact_sql(node: str, depth: int) -> str:
 
 
 def _graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges, kept while they are used several times over, as a stored graph would be read."""
-    return a.nodes(spark, sf_dir).persist(), a.edges(spark, sf_dir).persist()
+    """Nodes and edges as a build stores them, the edges by target: made when they are first asked for, read from then on."""
+    return kept(spark, sf_dir, "nodes", lambda: a.nodes(spark, sf_dir)), kept(spark, sf_dir, "edges", lambda: a.edges(spark, sf_dir).repartitionByRange("target").sortWithinPartitions("target"))
 
 
 def _impact(node: str, depth: int):
@@ -395,9 +432,20 @@ for _d in (1, 2, 3):
 query("impact_aliases", _impact_sql("nation_3::c1", 2))(_impact("nation_3::c1", 2))
 
 
-@query("impact_seeds", f"{_GRAPH} SELECT n.id FROM nodes n WHERE id = 'parts::p7'")
+#: A class for each nation, which inherits from the one before it in its region; classes of even number have the method.
+_CLASSES = "SELECT n_nationkey AS k, concat('r', CAST(n_regionkey AS STRING), '::N', CAST(n_nationkey AS STRING)) AS id, lag(concat('r', CAST(n_regionkey AS STRING), '::N', CAST(n_nationkey AS STRING))) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS parent FROM nation"
+
+
+@query(
+    "impact_seeds",
+    f"WITH c AS ({_CLASSES}), m AS (SELECT id || '.meet' AS id FROM c WHERE k % 2 = 0) SELECT id || '.meet' AS id FROM c UNION SELECT parent || '.meet' FROM c WHERE parent || '.meet' IN (SELECT id FROM m)",
+)
 def impact_seeds(spark, sf_dir):
-    return impact.seeds(spark.createDataFrame([("parts::p7",)], "id string"), a.nodes(spark, sf_dir), a.edges(spark, sf_dir))
+    """Seeds of every class's method: itself, and its parent's if that class has one."""
+    classes = a.view(spark, sf_dir, _CLASSES, "nation")
+    nodes = classes.select("id").unionByName(classes.where("k % 2 = 0").select(F.concat("id", F.lit(".meet")).alias("id")))
+    edges = classes.where("parent is not null").select(F.col("id").alias("source"), F.col("parent").alias("target"), F.lit("inherits").alias("kind"))
+    return impact.seeds(classes.select(F.concat("id", F.lit(".meet")).alias("id")), nodes, edges)
 
 
 @query("impact_module_suppress", f"{_GRAPH} SELECT id, kind FROM nodes a WHERE (kind = 'module' OR contains(id, '::n1')) AND NOT (kind = 'module' AND EXISTS (SELECT 1 FROM nodes b WHERE b.file_path = a.file_path AND contains(b.id, '::n1')))")

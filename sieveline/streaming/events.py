@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -45,10 +45,14 @@ def last_wins(ops: DataFrame, keys: list) -> DataFrame:
 def debounced(ops: DataFrame, gap: str = DEBOUNCE, key: Column | None = None) -> DataFrame:
     """(window, path, op): bursts of operations that no pause of ``gap`` interrupts, each path's last operation.
 
-    One session spans all paths, as any event resets the pause; ``key`` makes sessions by something else. The session
-    is found first and then its paths, so a stream keeps the events of open bursts only.
+    One session spans all paths, as any event resets the pause; ``key`` makes sessions by something else. A table is
+    cut into pieces of time no longer than the pause, whose operations are of one burst: bursts are found from the
+    pieces' ends alone, and each path's last operation by a join with them. A stream finds the session first and then
+    its paths, so it keeps the events of open bursts only: what a watcher sees of one repository between two pauses.
     """
     keyed = ops.withColumn("_k", F.lit(0) if key is None else key)
+    if not ops.isStreaming:
+        return _bursts(keyed, gap)
     each = F.collect_list(F.struct("ts", "seq", "path", "op"))
     bursts = keyed.groupBy("_k", F.session_window("ts", gap).alias("window")).agg(each.alias("_events"))
     paths = F.array_distinct(F.transform("_events", lambda e: e["path"]))
@@ -57,6 +61,34 @@ def debounced(ops: DataFrame, gap: str = DEBOUNCE, key: Column | None = None) ->
     return out.select(F.col("_k").alias("key"), F.col("window.start").alias("start"), F.col("window.end").alias("end"), F.col("_e.path").alias("path"), F.col("_e.op").alias("op"))
 
 
+def _bursts(keyed: DataFrame, gap: str) -> DataFrame:
+    pieces = keyed.where("ts is not null").withColumn("_w", F.window("ts", gap)["start"])
+    last = pieces.groupBy("_k", "_w", "path").agg(F.max_by("op", F.struct("ts", "seq")).alias("op"), F.max(F.struct("ts", "seq")).alias("_at"), F.min("ts").alias("_from"))
+    ends = last.groupBy("_k", "_w").agg(F.min("_from").alias("_first"), F.max("_at.ts").alias("_last"))
+    order = Window.partitionBy("_k").orderBy("_w")  # over the pieces, not the operations
+    apart = F.col("_first") > F.lag("_last").over(order) + F.expr(f"INTERVAL {gap}")
+    burst = F.sum(F.when(F.coalesce(apart, F.lit(True)), 1).otherwise(0)).over(order)
+    numbered = ends.withColumn("_burst", burst)
+    bounds = numbered.groupBy("_k", "_burst").agg(F.min("_first").alias("start"), (F.max("_last") + F.expr(f"INTERVAL {gap}")).alias("end"))
+    placed = last.join(numbered.select("_k", "_w", "_burst"), ["_k", "_w"]).groupBy("_k", "_burst", "path").agg(F.max_by("op", "_at").alias("op"))
+    return placed.join(bounds, ["_k", "_burst"]).select(F.col("_k").alias("key"), "start", "end", "path", "op")
+
+
+def pending(query: StreamingQuery) -> int:
+    """Operations' bursts that the stream holds and hasn't told yet."""
+    progress = query.lastProgress
+    return sum(s["numRowsTotal"] for s in progress["stateOperators"]) if progress else 0
+
+
+def flush(query: StreamingQuery, update: Callable[[], None]) -> None:
+    """Ends the stream: what has come is taken in, and if bursts are still open ``update`` is called once for them."""
+    query.processAllAvailable()
+    waiting = pending(query)
+    query.stop()
+    if waiting:
+        update()
+
+
 def watch(events: DataFrame, update: Callable[[DataFrame, int], None], checkpoint: str, gap: str = DEBOUNCE, delay: str = "5 seconds", **scope) -> StreamingQuery:
     """Starts the stream: each finished burst goes to ``update`` as a batch of (path, op). The checkpoint makes it at-least-once."""
     ops = expand(events).where(indexable(F.col("path"), **scope)).withWatermark("ts", delay)
