@@ -1,4 +1,4 @@
-"""Commands over the engine: init, build, search, list, status, maintain, skeleton, graph, impact, watch."""
+"""Commands over the engine: init, build, search, list, status, maintain, skeleton, graph, impact, watch, serve."""
 
 from __future__ import annotations
 
@@ -10,11 +10,12 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from sieveline import config as cfg
+from sieveline import config as cfg, server
 from sieveline.engine import Engine
 from sieveline.errors import EngineError
 from sieveline.functions.scalar import preview
-from sieveline.streaming.events import event_source
+from sieveline.streaming.events import event_source, flush
+from sieveline.streaming.observer import Observer
 
 
 def parser() -> argparse.ArgumentParser:
@@ -49,7 +50,8 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("symbol")
     i.add_argument("--depth", type=int, default=2)
     w = sub.add_parser("watch")
-    w.add_argument("events", help="folder to which file events are appended as JSON")
+    w.add_argument("events", nargs="?", help="folder to which file events are appended as JSON; without one the roots are observed")
+    sub.add_parser("serve")
     return p
 
 
@@ -63,6 +65,9 @@ def main(argv: list[str] | None = None) -> int:
         path.write_text('[index]\nexclude = ["dist/", "build/", ".next/", "out/", "tests/"]\n')
         print(f"wrote {path}")
         return 0
+    if args.command == "serve":
+        server.main()
+        return 0
     try:
         engine = Engine(SparkSession.builder.getOrCreate(), args.root)
         return _run(engine, args)
@@ -104,7 +109,15 @@ def _run(e: Engine, args) -> int:
         for r in found.nodes.orderBy("hop", "id").collect() if found.nodes is not None else []:
             print(f"{r['hop']} {r['kind']:8} {r['file_path']}:{r['start_line']}-{r['end_line']}  {r['qualified_name']}")
     elif args.command == "watch":
-        e.watch(event_source(e.spark, args.events), str(e.folder / "checkpoint")).awaitTermination()
+        folder = Path(args.events or e.folder / "events")
+        observer = None if args.events else Observer([c.root for c in e.workspace.checkouts], folder, lambda p: e.workspace.indexes(p, e.folder) is not None).start()
+        running = e.watch(event_source(e.spark, str(folder)), str(e.folder / "checkpoint"))
+        try:
+            running.awaitTermination()
+        except KeyboardInterrupt:
+            if observer:
+                observer.stop()
+            flush(running, e.build)
     return 0
 
 

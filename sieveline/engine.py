@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +12,16 @@ from sieveline import config as cfg
 from sieveline.errors import IndexMissingError, IndexStaleError
 from sieveline.functions import parsers
 from sieveline.functions.embed import backend, embed_column
-from sieveline.functions.scalar import content_hash, needs_prefix, search_text, with_prefix
+from sieveline.functions.scalar import content_hash, file_of, needs_prefix, search_text, with_prefix
 from sieveline.operators import graph, impact, incremental, predicates, search
-from sieveline.operators.state import IndexState, Source
-from sieveline.sources.files import Checkout, Workspace, read_files, resolve_paths
-from sieveline.sources.store import Store, write_lock
+from sieveline.operators.state import DONE, IndexState, Source
+from sieveline.sources.files import Checkout, Git, Workspace, read_files, resolve_paths
+from sieveline.sources.shared import scratch, written
+from sieveline.sources.store import Store, chunk_id, write_lock
+from sieveline.timing import Phases, logger
+
+#: Searches without a text index, one after another, until an error is logged.
+FAILURES_TOLD = 3
 
 
 class Engine:
@@ -29,56 +35,116 @@ class Engine:
         self.store = Store(spark, self.folder, self.config.embedder.size)
         self.state = IndexState(self.folder)
         self.embedder = backend(self.config.embedder.backend, dimensions=self.config.embedder.size)
+        #: Files that a build stores at once, and how long the phases of the last one took.
+        self.batch, self.phases = incremental.RESUME_BATCH, {}
+        self._failures = 0
 
     # ---- indexing ----
     def build(self, full: bool = False) -> dict[str, int]:
-        """Builds or updates the index, whichever its state calls for; returns counts of files."""
+        """Builds or updates the index, whichever its state calls for; returns counts of files.
+
+        A build that was cut off goes on: what its finished batches stored is kept, and the rest differs from it.
+        """
         with write_lock(self.folder):
-            whole = full or self.state.mode(self.store.exists()) == "full"
+            before = self.state.meta
+            going_on = not full and self.store.exists() and self.state.is_in_progress and self.state.has_partial_progress
+            whole = not going_on and (full or self.state.mode(self.store.exists()) == "full")
+            done = before is not None and before.state == DONE
             self.state.start([Source(**h) for h in self.workspace.heads()])
             try:
-                return self._index(whole)
+                return self._index(whole, {s.alias: s.commit for s in before.sources} if done and not whole else None)
             except BaseException as e:
                 self.state.set_errored(e) if isinstance(e, Exception) else self.state.set_incomplete()
                 raise
 
     update_incremental = build
 
-    def _index(self, whole: bool) -> dict[str, int]:
-        found = self.workspace.discover()
-        files = read_files(self.spark, found).cache()
-        now = files.select("path", content_hash(F.col("content")).alias("sha256"))
-        stored = self.store.read("file_state")
+    def _candidates(self, found: list[tuple[str, Path]], since: dict[str, str] | None) -> list[tuple[str, Path]]:
+        """Files to read: all, or what version control names since the last build, what it named then, and what isn't stored."""
+        if not since or not all(since.get(c.alias) and Git(c.root).run("cat-file", "-e", since[c.alias]) is not None for c in self.workspace.checkouts):
+            return found
+        changed, removed = self.workspace.changes(since)
+        stored, dirty = self.state.hashes, set(self.state.dirty)
+        return [(k, p) for k, p in found if k in changed or k in removed or k in dirty or k not in stored]
+
+    def _index(self, whole: bool, since: dict[str, str] | None) -> dict[str, int]:
+        time = Phases()
+        with time.phase("discover"):
+            found = self.workspace.discover()
+            read = self._candidates(found, since)
+            names, hashes = {k for k, _ in read}, self.state.hashes
+            files = read_files(self.spark, read).cache()
+            hashed = files.select("path", content_hash(F.col("content")).alias("sha256"))
+            same = self.spark.createDataFrame([(k, hashes[k]) for k, _ in found if k not in names], "path string, sha256 string")
+            now = hashed.unionByName(same).cache()
         if whole:
-            stored = stored.where("false")
+            self.store.clear()
+        stored = self.store.read("file_state")
         plan = incremental.incremental_plan(now, stored, now.select("path"), now.select("path").where("false")).cache()
         counts = incremental.run_summary(plan).first().asDict()
-        self.state.save_progress([k for k, _ in found], 0)
-        update = plan.where("action = 'update'").select("path")
-        touched = plan.where("action <> 'cached'").select("path")
-        changed = files.join(update, "path", "left_semi")
-        chunks = parsers.chunk_files(changed)
-        text = with_prefix(search_text(F.col("path"), F.col("symbol"), F.col("content")), "document", self.config.embedder.model)
-        vectors = chunks.withColumn("vector", embed_column(text, self.embedder, self.config.embedder.batch_size))
-        if whole:
-            self.store.clear()
-        self.store.insert_chunks(vectors, touched)
-        self._refresh_graph(files, now)
-        self.store.write("file_state", now)
-        self.state.finish({r["path"]: r["sha256"] for r in now.collect()})
+        # one name for each changed file of the repositories at hand, as the record of a run keeps them
+        update = [r["path"] for r in plan.where("action = 'update'").select("path").orderBy("path").collect()]
+        old, new = ({r["module"]: r["path"] for r in graph.module_index(x).collect()} for x in (stored.select("path"), now))
+        gone = plan.where("action = 'remove'").select("path")
+        for name in ("chunks", "nodes", "facts", "file_state"):
+            if counts["removed"]:
+                self.store.replace(name, self.store.read(name).where("false"), gone)
+        self.state.save_progress(update, 0)
+        with time.phase("chunks and facts"):
+            for start in range(0, len(update), self.batch):
+                self._store_batch(files, now, update[start : start + self.batch], new)
+                self.state.save_progress(update, min(start + self.batch, len(update)))
+        with time.phase("graph"):
+            self._refresh_graph(dict(found), set(update), old, new, now)
+        with time.phase("text index"):
+            if update or counts["removed"] or not self.store.exists("postings"):
+                self.store.write_text_index()
+        for name in ("chunks", "file_state"):
+            if not self.store.exists(name):
+                self.store.write(name, self.store.read(name))
+        self.state.finish({r["path"]: r["sha256"] for r in now.collect()}, dirty=sorted(set().union(*self.workspace.changes({}))))
         self.state.write_version()
-        files.unpersist()
-        plan.unpersist()
+        self.phases = time.seconds
+        for x in (files, now, plan):
+            x.unpersist()
         return counts
 
-    def _refresh_graph(self, files: DataFrame, now: DataFrame) -> None:
-        # the module index of one workspace's paths; parsers need it whole
-        index = {r["module"]: r["path"] for r in graph.module_index(now).collect()}
-        nodes, edges = parsers.graph_facts(files, index)
+    def _store_batch(self, files: DataFrame, now: DataFrame, paths: list[str], index: dict[str, str]) -> None:
+        """Stores all that stems from some files, their hashes last: a batch whose hashes are stored is done."""
+        these = self.spark.createDataFrame([(p,) for p in paths], "path string")
+        changed = files.join(these, "path", "left_semi")
+        chunks = parsers.chunk_files(changed)
+        text = with_prefix(search_text(F.col("path"), F.col("symbol"), F.col("content")), "document", self.config.embedder.model)
+        self.store.insert_chunks(chunks.withColumn("vector", embed_column(text, self.embedder, self.config.embedder.batch_size)), these)
+        self._store_facts(changed, these, index)
+        self.store.replace("file_state", now.join(these, "path", "left_semi"), these)
+
+    def _store_facts(self, files: DataFrame, paths: DataFrame, index: dict[str, str]) -> None:
+        with scratch(self.spark):
+            nodes, edges = parsers.graph_of(written(parsers.facts(files, index), "facts"))
+            self.store.replace("nodes", nodes, paths)
+            self.store.replace("facts", edges, paths)
+
+    def _refresh_graph(self, found: dict[str, Path], parsed: set[str], old: dict[str, str], new: dict[str, str], now: DataFrame) -> None:
+        """Parses files again whose imports may mean other files than before, and resolves names across all."""
+        names = {m for m in old.keys() | new.keys() if old.get(m) != new.get(m)} if old else set()
+        names |= {m[:i] for m in names for i, c in enumerate(m) if c in "./"}
+        meant = names | {x[m] for x in (old, new) for m in names if m in x}
+        if meant:
+            targets = self.spark.createDataFrame([(m,) for m in sorted(meant)], "target string")
+            sources = self.store.read("facts").where("kind = 'imports'").join(targets, "target", "left_semi").select(file_of(F.col("source")).alias("path")).distinct()
+            again = sorted(r["path"] for r in sources.collect() if r["path"] in found and r["path"] not in parsed)
+            if again:
+                these = self.spark.createDataFrame([(p,) for p in again], "path string")
+                self._store_facts(read_files(self.spark, [(p, found[p]) for p in again]), these, new)
+        edges, nodes = self.store.read("facts"), self.store.read("nodes")
         if not self.config.graph.include_external:
             edges = predicates.known_edges(edges, now)
-        self.store.write("nodes", nodes)
-        self.store.write("edges", graph.post_merge(edges, self.store.read("nodes")))
+        edges = graph.post_merge(edges, nodes)
+        for passes in parsers.PASSES.values():
+            for one in passes:
+                edges = one(edges, nodes)
+        self.store.write("edges", edges)
 
     def watch(self, events: DataFrame, checkpoint: str):
         """Updates the index after each burst of file events of a stream."""
@@ -97,12 +163,25 @@ class Engine:
         self._ready()
         known = [c.alias for c in self.workspace.checkouts]
         aliases = predicates.default_aliases(repos, known, next((c.alias for c in self.workspace.checkouts if c.is_primary), known[0]), self.config.search.default_scope)
-        chunks = self.store.read("chunks").withColumn("doc_id", F.concat_ws(":", "path", "start_line", "end_line", "symbol"))
+        chunks = self.store.read("chunks").withColumn("doc_id", chunk_id())
         prefixed = f"search_query: {query}" if needs_prefix(self.config.embedder.model) else query
         vector = self.embedder.embed([prefixed])[0]
-        found = search.search(chunks.drop("vector", "search_text"), chunks.select("doc_id", "vector"), query, vector, k, prefix, aliases, include_tests, self.config.search.hybrid, self.config.search.metric).drop("doc_id")
+        index = self._text_index() if self.config.search.hybrid else None
+        found = search.search(chunks.drop("vector", "search_text"), chunks.select("doc_id", "vector"), query, vector, k, prefix, aliases, include_tests, index is not None, self.config.search.metric, index).drop("doc_id")
         return resolve_paths(found, self.workspace.roots(self.spark)) if absolute else found
 
+    def _text_index(self) -> search.TextIndex | None:
+        """The stored text index; without one searches go by vectors alone, and the third in a row is logged as an error."""
+        try:
+            found = self.store.text_index()
+        except AnalysisException as e:
+            logger.warning("the text index can't be read: %s", e)
+            found = None
+        self._failures = 0 if found is not None else self._failures + 1
+        if self._failures == FAILURES_TOLD:
+            logger.error("%d searches in a row went without the text index; build it anew", self._failures)
+        return found
+
     def list(self, limit: int = 500, prefix: str | None = None) -> DataFrame:
         return incremental.list_chunks(self.store.read("chunks"), limit, prefix)
 

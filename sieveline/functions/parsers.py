@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from types import ModuleType
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from sieveline.functions import parse_jsts, parse_python
 from sieveline.functions.scalar import EXTENSIONS
 from sieveline.schema import CHUNK, EDGE, NODE, SKELETON_ROW
 
+#: Node and edge columns of one row of facts; a row is a node if it has an id, else an edge.
+FACT = StructType([StructField(f.name, f.dataType, True) for f in (*NODE.fields, *(x for x in EDGE.fields if x.name != "kind"))])
 #: Languages and what parses them: a module with chunks, outline and facts. Others may be registered.
 REGISTRY: dict[str, ModuleType] = {"python": parse_python, "javascript": parse_jsts, "typescript": parse_jsts}
 
@@ -23,10 +26,17 @@ class LanguagePlugin:
     name: str
     extensions: tuple[str, ...]
     parser: ModuleType
+    #: Passes over (edges, nodes) of the whole graph that return its edges, after those that every graph gets.
+    post_merge_passes: tuple[Callable[[DataFrame, DataFrame], DataFrame], ...] = ()
+
+
+#: Passes of registered languages.
+PASSES: dict[str, tuple] = {}
 
 
 def register(plugin: LanguagePlugin) -> None:
     REGISTRY[plugin.name] = plugin.parser
+    PASSES[plugin.name] = plugin.post_merge_passes
     EXTENSIONS.update(dict.fromkeys(plugin.extensions, plugin.name))
 
 
@@ -41,7 +51,7 @@ def _mapped(files: DataFrame, schema, rows) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = [r for path, content in zip(frame["path"], frame["content"]) if content is not None and (p := parser_of(path)) for r in rows(p, path, content)]
-            yield pd.DataFrame(out, columns=names)
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, schema)
 
@@ -54,13 +64,28 @@ def skeleton(files: DataFrame, include_imports: bool = False) -> DataFrame:
     return _mapped(files, SKELETON_ROW, lambda p, path, content: [(path, r.ord, r.depth, r.kind, r.qualified, r.start, r.end, r.signature, r.docstring) for r in p.outline(content, include_imports)])
 
 
-def graph_facts(files: DataFrame, index: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges. ``index`` resolves imports to files: one entry for each module name of the repository at hand."""
+def facts(files: DataFrame, index: dict[str, str] | None = None) -> DataFrame:
+    """Nodes and edges of files that are parsed once, as one relation for ``graph_of``; ``index`` resolves imports to files: one entry for each module name of the repository at hand."""
     index = index or {}
-    nodes = _mapped(files, NODE, lambda p, path, content: p.facts(path, content, index).nodes)
-    latest = nodes.groupBy("id").agg(F.max_by(F.struct(*nodes.columns), F.struct("start_line", "end_line")).alias("n")).select("n.*")
-    edges = _mapped(files, EDGE, lambda p, path, content: sorted(p.facts(path, content, index).edges))
-    return latest, edges.distinct()
+    blank = (None,) * 2
+
+    def rows(p, path: str, content: str) -> list[tuple]:
+        found = p.facts(path, content, index)
+        return [(*n, *blank) for n in found.nodes] + [(None, kind, None, None, None, None, None, source, target) for source, target, kind in sorted(found.edges)]
+
+    return _mapped(files, FACT, rows)
+
+
+def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of facts; of definitions with one id the last counts."""
+    names = NODE.fieldNames()
+    nodes = found.where("id is not null").groupBy("id").agg(F.max_by(F.struct(*names), F.struct("start_line", "end_line")).alias("n")).select("n.*")
+    return nodes, found.where("id is null").select(*EDGE.fieldNames()).distinct()
+
+
+def graph_facts(files: DataFrame, index: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges; who needs both writes ``facts`` first, so that files are parsed once."""
+    return graph_of(facts(files, index))
 
 
 def matches_symbol(df: DataFrame, symbol: str | None) -> DataFrame:

@@ -569,41 +569,49 @@ def state_transitions(spark, sf_dir):
     return state.state_log(a.actions(spark, sf_dir), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "action", "after", "before")
 
 
-# ---- parsers, over sources given in the query itself; the expectations are written by hand ----
-_SOURCE = 'from b import helper\n\nclass A(Base):\n    """Doc."""\n    def run(self):\n        return self.stop()\n\n    def stop(self):\n        return helper(1)\n\ndef main():\n    A().run()\n'
-_TS_SOURCE = "import { go } from './lib';\nexport function start(n: number) {\n  return go(n);\n}\n"
+# ---- parsers, over a source for each document: classes of one to four methods, and every fifth in another language ----
+_PY = "concat('d', CAST(doc_id % 9 AS STRING), '/a', CAST(doc_id AS STRING), '.py')"
+_TS = "concat('d', CAST(doc_id % 9 AS STRING), '/k', CAST(doc_id AS STRING), '.ts')"
+_PY_TEXT = """concat('from m', doc_id % 10, ' import helper\n\nclass A', doc_id, ':\n', array_join(transform(sequence(0, CAST(doc_id % 4 AS INT)), i -> concat('    def run', i, '(self):\n        return helper(', i, ')\n')), ''),
+'\ndef main():\n    return A', doc_id, '()\n')"""
+_TS_TEXT = "'import { go } from \\'./lib\\';\nexport function start(n: number) {\n  return go(n);\n}\n'"
+#: The same rows in SQL: a source, its number of methods, and each method.
+_PARSED = f"WITH s AS (SELECT doc_id, {_PY} AS path, {_TS} AS ts, CAST(doc_id % 4 + 1 AS INT) AS k, doc_id % 5 = 0 AS other FROM documents), py AS (SELECT * FROM s WHERE NOT other), ts AS (SELECT * FROM s WHERE other), m AS (SELECT *, unnest(range(0, k)) AS i FROM py)"
 
 
-def _sources(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("p/a.py", _SOURCE), ("p/k.ts", _TS_SOURCE), ("p/notes.md", "none")], "path string, content string")
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = a.table(spark, sf_dir, "documents")
+    return rows.select(F.expr(f"CASE WHEN doc_id % 5 = 0 THEN {_TS} ELSE {_PY} END").alias("path"), F.expr(f"CASE WHEN doc_id % 5 = 0 THEN {_TS_TEXT} ELSE {_PY_TEXT} END").alias("content"))
 
 
 @query(
     "python_chunks",
-    """SELECT * FROM (VALUES ('p/a.py', 1, 13, '<module>', 20), ('p/a.py', 3, 9, 'A', 121), ('p/a.py', 5, 6, 'run', 41), ('p/a.py', 8, 9, 'stop', 40), ('p/a.py', 11, 12, 'main', 25),
-    ('p/k.ts', 1, 5, '<module>', 27), ('p/k.ts', 2, 4, 'start', 52)) t(path, start_line, end_line, symbol, n_chars)""",
+    f"""{_PARSED} SELECT path, 1 AS start_line, CAST(7 + 2 * k AS INT) AS end_line, '<module>' AS symbol FROM py UNION ALL SELECT path, 3, CAST(3 + 2 * k AS INT), 'A' || doc_id FROM py UNION ALL SELECT path, CAST(4 + 2 * i AS INT), CAST(5 + 2 * i AS INT), 'run' || i FROM m
+    UNION ALL SELECT path, CAST(5 + 2 * k AS INT), CAST(6 + 2 * k AS INT), 'main' FROM py UNION ALL SELECT ts, 1, 5, '<module>' FROM ts UNION ALL SELECT ts, 2, 4, 'start' FROM ts""",
 )
 def python_chunks(spark, sf_dir):
-    return parsers.chunk_files(_sources(spark)).select("path", "start_line", "end_line", "symbol", F.length("content").alias("n_chars"))
+    return parsers.chunk_files(_sources(spark, sf_dir)).select("path", "start_line", "end_line", "symbol")
 
 
 @query(
     "skeleton_rows",
-    """SELECT * FROM (VALUES ('p/a.py', 0, 'class', 'A', 3, 9, 'class A(Base):'), ('p/a.py', 1, 'function', 'A.run', 5, 6, 'def run(self):'), ('p/a.py', 1, 'function', 'A.stop', 8, 9, 'def stop(self):'),
-    ('p/a.py', 0, 'function', 'main', 11, 12, 'def main():'), ('p/k.ts', 0, 'function', 'start', 2, 4, 'export function start(n: number)')) t(path, depth, kind, qualified_name, start_line, end_line, signature)""",
+    f"""{_PARSED} SELECT path, 0 AS depth, 'class' AS kind, 'A' || doc_id AS qualified_name, 3 AS start_line, CAST(3 + 2 * k AS INT) AS end_line, 'class A' || doc_id || ':' AS signature FROM py
+    UNION ALL SELECT path, 1, 'function', 'A' || doc_id || '.run' || i, CAST(4 + 2 * i AS INT), CAST(5 + 2 * i AS INT), 'def run' || i || '(self):' FROM m UNION ALL SELECT path, 0, 'function', 'main', CAST(5 + 2 * k AS INT), CAST(6 + 2 * k AS INT), 'def main():' FROM py
+    UNION ALL SELECT ts, 0, 'function', 'start', 2, 4, 'export function start(n: number)' FROM ts""",
 )
 def skeleton_rows(spark, sf_dir):
-    return parsers.skeleton(_sources(spark)).select("path", "depth", "kind", "qualified_name", "start_line", "end_line", "signature")
+    return parsers.skeleton(_sources(spark, sf_dir)).select("path", "depth", "kind", "qualified_name", "start_line", "end_line", "signature")
 
 
 @query(
     "graph_facts",
-    """SELECT * FROM (VALUES ('p/a.py', 'b', 'imports'), ('p/a.py', 'p/a.py::A', 'defines'), ('p/a.py', 'p/a.py::main', 'defines'), ('p/a.py::A', 'p/a.py::A.run', 'defines'), ('p/a.py::A', 'p/a.py::A.stop', 'defines'),
-    ('p/a.py::A', 'Base', 'inherits'), ('p/a.py::A.run', 'p/a.py::A.stop', 'calls'), ('p/a.py::A.stop', 'b::helper', 'calls'), ('p/a.py::main', 'p/a.py::A', 'calls'), ('p/a.py::main', 'run', 'calls'),
-    ('p/k.ts', 'p/lib', 'imports'), ('p/k.ts', 'p/k.ts::start', 'defines'), ('p/k.ts::start', 'p/lib::go', 'calls')) t(source, target, kind)""",
+    f"""{_PARSED}, c AS (SELECT *, path || '::A' || doc_id AS class FROM py), l AS (SELECT *, string_split(ts, '/')[1] || '/lib' AS lib FROM ts)
+    SELECT path AS source, 'm' || (doc_id % 10) AS target, 'imports' AS kind FROM py UNION ALL SELECT path, class, 'defines' FROM c UNION ALL SELECT path, path || '::main', 'defines' FROM c
+    UNION ALL SELECT path || '::A' || doc_id, path || '::A' || doc_id || '.run' || i, 'defines' FROM m UNION ALL SELECT path || '::A' || doc_id || '.run' || i, 'm' || (doc_id % 10) || '::helper', 'calls' FROM m UNION ALL SELECT path || '::main', class, 'calls' FROM c
+    UNION ALL SELECT ts, lib, 'imports' FROM l UNION ALL SELECT ts, ts || '::start', 'defines' FROM l UNION ALL SELECT ts || '::start', lib || '::go', 'calls' FROM l""",
 )
 def graph_facts(spark, sf_dir):
-    return parsers.graph_facts(_sources(spark))[1]
+    return parsers.graph_facts(_sources(spark, sf_dir))[1]
 
 
 @query("embed_hashing", None)

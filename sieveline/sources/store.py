@@ -4,17 +4,24 @@ from __future__ import annotations
 
 import contextlib
 import fcntl
+import json
 import time
 import uuid
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sieveline.functions.scalar import search_text
-from sieveline.schema import EDGE, FILE_STATE, NODE, STORED_CHUNK
+from sieveline.functions.scalar import file_of, search_text
+from sieveline.operators.search import TextIndex, corpus_of, postings_of, terms_of
+from sieveline.schema import CORPUS, EDGE, FILE_STATE, NODE, POSTING, STORED_CHUNK, TERM
 
-SCHEMAS = {"chunks": STORED_CHUNK, "nodes": NODE, "edges": EDGE, "file_state": FILE_STATE}
+#: ``facts`` are the edges as files state them, before names are resolved across files; ``edges`` what comes of them.
+SCHEMAS = {"chunks": STORED_CHUNK, "nodes": NODE, "edges": EDGE, "facts": EDGE, "file_state": FILE_STATE, "postings": POSTING, "terms": TERM, "corpus": CORPUS}
+#: The file that each row of a relation stems from.
+FILE_OF = {"chunks": F.col, "file_state": F.col, "nodes": lambda _: F.col("file_path"), "facts": lambda _: file_of(F.col("source"))}
+GRAPH_VERSION = 1
 
 
 @contextlib.contextmanager
@@ -34,55 +41,92 @@ def write_lock(folder: Path, timeout: float = 300):
         yield
 
 
+def chunk_id() -> Column:
+    return F.concat_ws(":", "path", "start_line", "end_line", "symbol")
+
+
 class Store:
-    """Relations by name. A write goes to a new folder, which then becomes the current one; readers keep what they opened."""
+    """Relations by name, each of one or more parts. A write makes new folders, which then become current; readers keep what they opened."""
 
     def __init__(self, spark: SparkSession, folder: Path | str, dimensions: int = 384):
         self.spark, self.folder, self.dimensions = spark, Path(folder), dimensions
 
-    def _current(self, name: str) -> Path | None:
+    def _parts(self, name: str) -> list[str]:
         try:
-            found = self.folder / name / (self.folder / name / "current").read_text().strip()
+            found = (self.folder / name / "current").read_text().split()
         except OSError:
-            return None
-        return found if (found / "_SUCCESS").exists() else None
+            return []
+        return found if all((self.folder / name / p / "_SUCCESS").exists() for p in found) else []
+
+    def exists(self, name: str = "chunks") -> bool:
+        return bool(self._parts(name))
 
-    def exists(self) -> bool:
-        return self._current("chunks") is not None
+    def _read(self, name: str, parts: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(str(self.folder / name / p) for p in parts)) if parts else self.spark.createDataFrame([], SCHEMAS[name])
 
     def read(self, name: str) -> DataFrame:
-        found = self._current(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(str(found)) if found else self.spark.createDataFrame([], SCHEMAS[name])
+        return self._read(name, self._parts(name))
 
-    def write(self, name: str, df: DataFrame, files: int | None = None) -> None:
-        """Stages all rows, then swaps; ``df`` may read what it replaces."""
+    def _staged(self, name: str, df: DataFrame, files: int | None = None) -> str:
         version = f"v{uuid.uuid4().hex}"
         out = df.select(*SCHEMAS[name].fieldNames())
         (out.coalesce(files) if files else out).write.parquet(str(self.folder / name / version))
+        return version
+
+    def _commit(self, name: str, parts: list[str]) -> None:
         staged = self.folder / name / "current.new"
-        staged.write_text(version)
+        staged.write_text("\n".join(parts))
         staged.replace(self.folder / name / "current")
 
+    def write(self, name: str, df: DataFrame, files: int | None = None) -> None:
+        """Stages all rows, then swaps; ``df`` may read what it replaces."""
+        self._commit(name, [self._staged(name, df, files)])
+
+    def replace(self, name: str, fresh: DataFrame, paths: DataFrame) -> None:
+        """Drops the rows that stem from ``paths`` (column path) and adds the fresh ones: only parts that hold such rows are written anew."""
+        parts, file = self._parts(name), FILE_OF[name]("path")
+        gone = paths.select(F.col("path").alias("_file")).distinct()
+        hit: list[str] = []
+        if parts:
+            of = self._read(name, parts).select(file.alias("_file"), F.regexp_extract("_metadata.file_path", r"/(v[0-9a-f]{32})/", 1).alias("_part"))
+            hit = sorted(r["_part"] for r in of.join(gone, "_file", "left_semi").select("_part").distinct().collect())  # some of the parts' names
+        left = self._read(name, hit).withColumn("_file", file).join(gone, "_file", "left_anti").drop("_file") if hit else None
+        fresh = fresh.select(*SCHEMAS[name].fieldNames())
+        self._commit(name, [p for p in parts if p not in hit] + [self._staged(name, fresh if left is None else left.unionByName(fresh))])
+
     def insert_chunks(self, chunks: DataFrame, replacing: DataFrame | None = None) -> None:
         """Appends chunks with vectors, first dropping those of ``replacing``'s paths. A vector of another length is an error."""
         size = F.size("vector")
         checked = F.when(size != self.dimensions, F.raise_error(F.concat(F.lit(f"a vector has not {self.dimensions} dimensions but "), size.cast("string"))).cast("array<float>")).otherwise(F.col("vector"))
         fresh = chunks.withColumn("vector", checked).withColumn("search_text", search_text(F.col("path"), F.col("symbol"), F.col("content")))
-        kept = self.read("chunks")
-        if replacing is not None:
-            kept = kept.join(replacing.select("path").distinct(), "path", "left_anti")
-        self.write("chunks", kept.select(*SCHEMAS["chunks"].fieldNames()).unionByName(fresh.select(*SCHEMAS["chunks"].fieldNames())))
+        if replacing is None:
+            replacing = fresh.select("path").where("false")
+        self.replace("chunks", fresh, replacing)
 
     def delete_by_paths(self, paths: DataFrame) -> None:
         if self.exists():
-            self.write("chunks", self.read("chunks").join(paths.select("path").distinct(), "path", "left_anti"))
+            self.replace("chunks", self.read("chunks").where("false"), paths)
+
+    def write_text_index(self) -> None:
+        """Cuts the texts of all chunks once; searches read the postings of their terms from then on."""
+        chunks = self.read("chunks").withColumn("doc_id", chunk_id())
+        self.write("postings", postings_of(chunks))
+        postings = self.read("postings")
+        self.write("terms", terms_of(postings))
+        self.write("corpus", corpus_of(chunks, postings))
+
+    def text_index(self) -> TextIndex | None:
+        """The stored text index, or None where a build hasn't made one."""
+        if not all(self.exists(n) for n in ("postings", "terms", "corpus")):
+            return None
+        return TextIndex(*(self.read(n) for n in ("postings", "terms", "corpus")))
 
     def chunk_count(self) -> int:
         return self.read("chunks").count()
 
     def clear(self) -> None:
         for name in SCHEMAS:
-            if self._current(name):
+            if self._parts(name):
                 self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
 
     def maintain(self, files: int = 8) -> dict[str, str]:
@@ -92,11 +136,14 @@ class Store:
         told = {}
         for name in SCHEMAS:
             try:
-                if self._current(name):
-                    self.write(name, self.read(name), files)
-                    now = self._current(name)
+                if self._parts(name):
+                    df = self.read(name)
+                    if name in ("postings", "terms"):  # these stay sorted by term
+                        df = df.repartitionByRange(files, "term").sortWithinPartitions("term")
+                    self.write(name, df, files)
+                    now = self._parts(name)
                     for old in (self.folder / name).glob("v*"):
-                        if old != now:
+                        if old.name not in now:
                             shutil.rmtree(old)
                     told[name] = "ok"
             except Exception as e:
@@ -104,6 +151,16 @@ class Store:
         return told
 
     def export_graph(self, path: Path) -> None:
-        """Nodes and edges as JSON lines; for graphs of one repository."""
+        """Nodes and edges as JSON lines beside the layout's version."""
         self.read("nodes").write.mode("overwrite").json(f"{path}/nodes")
-        self.read("edges").write.mode("overwrite").json(f"{path}/edges")
+        self.read("edges").orderBy("source", "target", "kind").write.mode("overwrite").json(f"{path}/edges")
+        (Path(path) / "version.json").write_text(json.dumps({"schema_version": GRAPH_VERSION}))
+
+    def load_graph(self, path: Path) -> tuple[DataFrame, DataFrame] | None:
+        """The nodes and edges of an exported graph; None if it is missing, broken or of another version."""
+        try:
+            if json.loads((Path(path) / "version.json").read_text())["schema_version"] != GRAPH_VERSION:
+                return None
+            return tuple(self.spark.read.schema(SCHEMAS[n]).option("mode", "FAILFAST").json(f"{path}/{n}") for n in ("nodes", "edges"))
+        except (OSError, ValueError, KeyError, TypeError, AnalysisException):
+            return None

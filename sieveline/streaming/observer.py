@@ -1,0 +1,70 @@
+"""An observer of the files under some roots: it polls, and appends what changed as events for ``event_source``."""
+
+from __future__ import annotations
+
+import json
+import os
+import threading
+import time
+import uuid
+from collections.abc import Callable
+from pathlib import Path
+
+INTERVAL = 1.0
+
+
+class Observer:
+    """Writes the differences between two looks as JSON lines, one file each that appears whole. ``wanted`` says which files count."""
+
+    def __init__(self, roots: list[Path], events: Path, wanted: Callable[[Path], bool] = lambda p: True, interval: float = INTERVAL, clock: Callable[[], float] = time.time):
+        self.roots, self.events, self.wanted, self.interval, self.clock = [Path(r) for r in roots], Path(events), wanted, interval, clock
+        self.events.mkdir(parents=True, exist_ok=True)
+        self._seq, self._stop, self._thread = 0, threading.Event(), None
+        self._seen = self._look()
+
+    def _look(self) -> dict[str, tuple[int, int]]:
+        out = {}
+        for root in self.roots:
+            for folder, names, files in os.walk(root):
+                names[:] = [n for n in names if n != ".git" and Path(folder, n) != self.events]
+                for f in files:
+                    path = Path(folder, f)
+                    try:
+                        if self.wanted(path):
+                            stat = path.stat()
+                            out[str(path)] = (stat.st_mtime_ns, stat.st_size)
+                    except OSError:  # it went meanwhile
+                        pass
+        return out
+
+    def poll(self) -> int:
+        """Looks once, appends what changed, and returns how much that was."""
+        now, before = self._look(), self._seen
+        found = [("deleted", p) for p in before.keys() - now.keys()] + [("created" if p not in before else "modified", p) for p, s in now.items() if before.get(p) != s]
+        if found:
+            stamp = time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime(at := self.clock())) + f".{int(at % 1 * 1e6):06d}Z"
+            lines = []
+            for kind, path in sorted(found, key=lambda x: x[1]):
+                self._seq += 1
+                lines.append(json.dumps({"ts": stamp, "seq": self._seq, "event_type": kind, "path": path, "dest_path": None, "is_directory": False}))
+            staged = self.events / f".{uuid.uuid4().hex}"
+            staged.write_text("\n".join(lines) + "\n")
+            staged.rename(self.events / f"{self._seq:012d}-{uuid.uuid4().hex[:8]}.json")
+        self._seen = now
+        return len(found)
+
+    def start(self) -> Observer:
+        def run() -> None:
+            while not self._stop.wait(self.interval):
+                self.poll()
+
+        self._thread = threading.Thread(target=run, daemon=True)
+        self._thread.start()
+        return self
+
+    def stop(self) -> None:
+        """Looks a last time, so nothing that changed before is left out."""
+        self._stop.set()
+        if self._thread:
+            self._thread.join()
+        self.poll()

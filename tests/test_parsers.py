@@ -122,3 +122,20 @@ def test_jsts():
         (f"{k}::main", f"{k}::arrow", "calls"),
         (k, f"{k}::main", "calls"),
     }
+
+
+SOURCE = 'from b import helper\n\nclass A(Base):\n    """Doc."""\n    def run(self):\n        return self.stop()\n\n    def stop(self):\n        return helper(1)\n\ndef main():\n    A().run()\n'
+
+
+def test_files_of_two_languages_and_none(spark):
+    """Inheritance, calls of own methods, of imported names and of what a call returns, by hand."""
+    ts = "import { go } from './lib';\nexport function start(n: number) {\n  return go(n);\n}\n"
+    files = spark.createDataFrame([("p/a.py", SOURCE), ("p/k.ts", ts), ("p/notes.md", "none"), ("p/gone.py", None)], "path string, content string")
+    chunks = {(r["path"], r["start_line"], r["end_line"], r["symbol"], len(r["content"])) for r in parsers.chunk_files(files).collect()}
+    assert chunks == {("p/a.py", 1, 13, "<module>", 20), ("p/a.py", 3, 9, "A", 121), ("p/a.py", 5, 6, "run", 41), ("p/a.py", 8, 9, "stop", 40), ("p/a.py", 11, 12, "main", 25), ("p/k.ts", 1, 5, "<module>", 27), ("p/k.ts", 2, 4, "start", 52)}
+    edges = {tuple(r) for r in parsers.graph_facts(files)[1].collect()}
+    assert edges == {
+        ("p/a.py", "b", "imports"), ("p/a.py", "p/a.py::A", "defines"), ("p/a.py", "p/a.py::main", "defines"), ("p/a.py::A", "p/a.py::A.run", "defines"), ("p/a.py::A", "p/a.py::A.stop", "defines"), ("p/a.py::A", "Base", "inherits"),
+        ("p/a.py::A.run", "p/a.py::A.stop", "calls"), ("p/a.py::A.stop", "b::helper", "calls"), ("p/a.py::main", "p/a.py::A", "calls"), ("p/a.py::main", "run", "calls"),
+        ("p/k.ts", "p/lib", "imports"), ("p/k.ts", "p/k.ts::start", "defines"), ("p/k.ts::start", "p/lib::go", "calls"),
+    }
