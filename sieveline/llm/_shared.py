@@ -2,65 +2,18 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one key that a single comparison unit may hold on each of its two sides.
-BLOCK_ROWS = 4096
-
-
-#: Folders whose contents go when the work that they were made for ends; the last is in use.
-_SCRATCH: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, a temporary one if all run in one process, else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='sieveline-')}"
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
+from sieveline.sources.shared import delete, scratch, shared_dir, work_path, written
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["BLOCK_ROWS", "comparison_units", "components", "delete", "forest", "mapped", "packed", "partitions", "runs_of", "scratch", "shared_dir", "unpacked", "work_path", "written"]
 
-
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, which cuts its lineage and survives lost executors."""
-    path = path or work_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes what stands at a path of the shared folder, if anything does."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
-
-
-@contextmanager
-def scratch(spark: SparkSession):
-    """Work paths that are made inside go when it ends, so what is to last must have been written elsewhere by then."""
-    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _SCRATCH.append(folder)
-    try:
-        yield
-    finally:
-        _SCRATCH.remove(folder)
-        delete(spark, folder)
+#: Rows of one key that a single comparison unit may hold on each of its two sides.
+BLOCK_ROWS = 4096
 
 
 def partitions(spark: SparkSession) -> int:
