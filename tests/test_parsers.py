@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from sieveline.functions import parse_jsts, parse_python
+from sieveline.functions import parse_jsts, parse_python, parsers
 
 PY = '''"""Doc."""
 import os
