@@ -142,7 +142,7 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     values, sizes = cut.flatten(), np.diff(cut.offsets.to_numpy())
     if not uneven.any():
         return values, offsets_of(sizes)
-    lists = [pieces(t) for t in texts.filter(pa.array(uneven)).to_pylist()]
+    lists = [pieces(t) for t in listed(texts.filter(pa.array(uneven)))]
     values = pa.concat_arrays([values, pa.array([p for x in lists for p in x], values.type)])
     both = offsets_of(np.concatenate([sizes, np.fromiter(map(len, lists), np.int64, len(lists))]))
     order = np.empty(len(texts), np.int64)
@@ -155,7 +155,7 @@ def _words(strings: pa.Array, path: str) -> tuple[pa.Array, np.ndarray, np.ndarr
     """Distinct words of pieces, their numbers piece by piece, and where each piece starts among these."""
     alone = pc.match_substring_regex(strings, _ALONE).to_numpy(zero_copy_only=False)
     stopped = pc.match_substring_regex(strings, _STOPPED).to_numpy(zero_copy_only=False)
-    odd = [words_of(p, path) for p in strings.filter(pa.array(~(alone | stopped))).to_pylist()]
+    odd = [words_of(p, path) for p in listed(strings.filter(pa.array(~(alone | stopped))))]
     ended = strings.filter(pa.array(stopped))
     parts = [strings.filter(pa.array(alone)), pc.utf8_slice_codeunits(ended, 0, -1), pc.utf8_slice_codeunits(ended, -1), pa.array([w for x in odd for w in x], strings.type)]
     known = pa.concat_arrays(parts).dictionary_encode()
@@ -214,14 +214,28 @@ class Encoder:
         return ids, starts
 
 
+@lru_cache(maxsize=1)
+def _spelling() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each byte's symbol in UTF-8 the first and the last byte and the size, which is one or two."""
+    symbols = [s.encode() for s in byte_symbols()]
+    return np.array([s[0] for s in symbols], np.uint8), np.array([s[-1] for s in symbols], np.uint8), np.array([len(s) for s in symbols])
+
+
 def spelt(words: pa.Array) -> list[str]:
     """Words in the characters of byte-level BPE."""
-    symbols = byte_symbols()
-    plain = pc.match_substring_regex(words, r"\A ?[!-~]+\z").to_numpy(zero_copy_only=False)
-    out = pc.replace_substring(words, " ", symbols[32]).to_pylist()
-    for i in np.flatnonzero(~plain).tolist():
-        out[i] = "".join([symbols[b] for b in words[i].as_py().encode()])
-    return out
+    (raw, at), (first, last, sizes) = raw_of(words), _spelling()
+    raw = raw[at[0] : at[-1]]
+    ends = offsets_of(sizes[raw])
+    out = np.empty(int(ends[-1]), np.uint8)
+    out[ends[1:] - 1] = last[raw]
+    out[ends[:-1]] = first[raw]
+    found = pa.LargeStringArray.from_buffers(len(words), pa.py_buffer(ends[at - at[0]]), pa.py_buffer(out))
+    return listed(found)
+
+
+def listed(strings: pa.Array) -> list[str]:
+    """The strings of an array, without a scalar for each."""
+    return strings.to_numpy(zero_copy_only=False).tolist()
 
 
 class LibraryEncoder(Encoder):
@@ -229,5 +243,8 @@ class LibraryEncoder(Encoder):
 
     def encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         tokenize = tokenizer(self.path).model.tokenize
-        ids = [[t.id for t in tokenize(w)] for w in spelt(words)]
-        return np.array([x for y in ids for x in y], np.int32), offsets_of(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ids, starts = [], [0]
+        for word in spelt(words):
+            ids += [t.id for t in tokenize(word)]
+            starts.append(len(ids))
+        return np.array(ids, np.int32), np.array(starts)
