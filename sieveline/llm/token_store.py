@@ -25,7 +25,7 @@ PAGE_ROWS = 2_000
 #: Bytes of text for each shard, which is one task's work and one file.
 SHARD_BYTES = 64 << 20
 #: Bytes of text that are encoded at once: the more, the fewer words the library meets again.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 SCHEMA = "doc_id long, shard int, row int, n_tokens int, tokens array<int>"
 
 WRITER = {
