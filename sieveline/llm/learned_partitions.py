@@ -24,8 +24,8 @@ K = 20
 #: Vectors that the parts are learned from at most; every vector of the table is filed and searched.
 SAMPLE = 8192
 #: Vectors for each part of a small table, and parts of a large one.
-ROWS_PER_PART = 512
-MOST_PARTS = 64
+ROWS_PER_PART = 256
+MOST_PARTS = 32
 #: Neighbours of a vector in the sample's graph.
 NEIGHBOURS = 16
 #: Queries that are answered exactly to measure recall, and the recall that decides the number of parts.
