@@ -14,8 +14,7 @@ from sieveline import config as cfg, server
 from sieveline.engine import Engine
 from sieveline.errors import EngineError
 from sieveline.functions.scalar import preview
-from sieveline.streaming.events import event_source, flush
-from sieveline.streaming.observer import Observer
+from sieveline.streaming.events import event_source
 
 
 def parser() -> argparse.ArgumentParser:
@@ -109,15 +108,11 @@ def _run(e: Engine, args) -> int:
         for r in found.nodes.orderBy("hop", "id").collect() if found.nodes is not None else []:
             print(f"{r['hop']} {r['kind']:8} {r['file_path']}:{r['start_line']}-{r['end_line']}  {r['qualified_name']}")
     elif args.command == "watch":
-        folder = Path(args.events or e.folder / "events")
-        observer = None if args.events else Observer([c.root for c in e.workspace.checkouts], folder, lambda p: e.workspace.indexes(p, e.folder) is not None).start()
-        running = e.watch(event_source(e.spark, str(folder)), str(e.folder / "checkpoint"))
+        running = e.watch(event_source(e.spark, args.events) if args.events else None)
         try:
-            running.awaitTermination()
+            running.wait()
         except KeyboardInterrupt:
-            if observer:
-                observer.stop()
-            flush(running, e.build)
+            running.flush()
     return 0
 
 

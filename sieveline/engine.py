@@ -12,16 +12,21 @@ from sieveline import config as cfg
 from sieveline.errors import IndexMissingError, IndexStaleError
 from sieveline.functions import parsers
 from sieveline.functions.embed import backend, embed_column
-from sieveline.functions.scalar import content_hash, file_of, needs_prefix, search_text, with_prefix
+from sieveline.functions.scalar import content_hash, needs_prefix, search_text, with_prefix
 from sieveline.operators import graph, impact, incremental, predicates, search
 from sieveline.operators.state import DONE, IndexState, Source
-from sieveline.sources.files import Checkout, Git, Workspace, read_files, resolve_paths
+from sieveline.sources import checkouts
+from sieveline.sources.checkouts import contents
+from sieveline.sources.files import Checkout, Git, Workspace, resolve_paths
 from sieveline.sources.shared import scratch, written
 from sieveline.sources.store import Store, chunk_id, write_lock
+from sieveline.streaming.events import Watch, watch
 from sieveline.timing import Phases, logger
 
 #: Searches without a text index, one after another, until an error is logged.
 FAILURES_TOLD = 3
+#: Files that the record of a run names at most.
+RECORDED = 10_000
 
 
 class Engine:
@@ -59,84 +64,86 @@ class Engine:
 
     update_incremental = build
 
-    def _candidates(self, found: list[tuple[str, Path]], since: dict[str, str] | None) -> list[tuple[str, Path]]:
-        """Files to read: all, or what version control names since the last build, what it named then, and what isn't stored."""
+    def _named(self, since: dict[str, str] | None) -> DataFrame | None:
+        """(path) of what version control names since the last build and what it named then; None if every file is to be read."""
         if not since or not all(since.get(c.alias) and Git(c.root).run("cat-file", "-e", since[c.alias]) is not None for c in self.workspace.checkouts):
-            return found
-        changed, removed = self.workspace.changes(since)
-        stored, dirty = self.state.hashes, set(self.state.dirty)
-        return [(k, p) for k, p in found if k in changed or k in removed or k in dirty or k not in stored]
+            return None
+        return checkouts.changes(self.spark, self.workspace, since).select("path").unionByName(self.store.read("dirty"))
 
     def _index(self, whole: bool, since: dict[str, str] | None) -> dict[str, int]:
         time = Phases()
-        with time.phase("discover"):
-            found = self.workspace.discover()
-            read = self._candidates(found, since)
-            names, hashes = {k for k, _ in read}, self.state.hashes
-            files = read_files(self.spark, read).cache()
-            hashed = files.select("path", content_hash(F.col("content")).alias("sha256"))
-            same = self.spark.createDataFrame([(k, hashes[k]) for k, _ in found if k not in names], "path string, sha256 string")
-            now = hashed.unionByName(same).cache()
-        if whole:
-            self.store.clear()
-        stored = self.store.read("file_state")
-        plan = incremental.incremental_plan(now, stored, now.select("path"), now.select("path").where("false")).cache()
-        counts = incremental.run_summary(plan).first().asDict()
-        # one name for each changed file of the repositories at hand, as the record of a run keeps them
-        update = [r["path"] for r in plan.where("action = 'update'").select("path").orderBy("path").collect()]
-        old, new = ({r["module"]: r["path"] for r in graph.module_index(x).collect()} for x in (stored.select("path"), now))
-        gone = plan.where("action = 'remove'").select("path")
-        for name in ("chunks", "nodes", "facts", "file_state"):
-            if counts["removed"]:
-                self.store.replace(name, self.store.read(name).where("false"), gone)
-        self.state.save_progress(update, 0)
-        with time.phase("chunks and facts"):
-            for start in range(0, len(update), self.batch):
-                self._store_batch(files, now, update[start : start + self.batch], new)
-                self.state.save_progress(update, min(start + self.batch, len(update)))
-        with time.phase("graph"):
-            self._refresh_graph(dict(found), set(update), old, new, now)
-        with time.phase("text index"):
-            if update or counts["removed"] or not self.store.exists("postings"):
-                self.store.write_text_index()
-        for name in ("chunks", "file_state"):
-            if not self.store.exists(name):
-                self.store.write(name, self.store.read(name))
-        self.state.finish({r["path"]: r["sha256"] for r in now.collect()}, dirty=sorted(set().union(*self.workspace.changes({}))))
+        with scratch(self.spark):
+            with time.phase("discover"):
+                if whole or not self.store.exists("lookups"):
+                    self.store.clear()
+                    whole, since = True, None
+                found = written(checkouts.files(self.spark, self.workspace), "found")
+                stored, named = self.store.read("file_state"), self._named(since)
+                wanted = found if named is None else checkouts.known(named.unionByName(found.join(stored, "path", "left_anti").select("path")), found)
+                read = written(contents(wanted), "read")
+                checkouts.told_missing(read, logger)
+                files = read.where("error is null").select("path", "content")
+                hashed = files.select("path", content_hash(F.col("content")).alias("sha256"))
+                same = stored.join(found, "path", "left_semi").join(read, "path", "left_anti")
+                now = written(hashed.unionByName(same), "now")
+            plan = written(incremental.incremental_plan(now, stored, now.select("path"), now.select("path").where("false")), "plan")
+            counts = incremental.run_summary(plan).first().asDict()
+            update = written(incremental.resume_batches(plan.where("action = 'update'").select("path"), self.batch), "update")
+            old, new = (written(graph.module_index(x), "modules") for x in (stored.select("path"), now))
+            gone, before = plan.where("action = 'remove'").select("path"), self.store._parts("chunks")
+            for name in ("chunks", "nodes", "facts", "lookups", "file_state"):
+                if counts["removed"]:
+                    self.store.replace(name, self.store.read(name).where("false"), gone)
+            # the record of a run names so many of its files
+            some = [r["path"] for r in update.orderBy("path").limit(RECORDED).collect()]
+            self.state.save_progress(some, 0)
+            with time.phase("chunks and facts"):
+                for n in range(-(-counts["updated"] // self.batch)):
+                    self._store_batch(files, now, update.where(F.col("batch") == n).select("path"), new)
+                    self.state.save_progress(some, min((n + 1) * self.batch, counts["updated"]))
+            with time.phase("graph"):
+                self._refresh_graph(found, update, None if whole else old, new, now)
+            with time.phase("text index"):
+                # a build that was cut may have left chunks that the text index has never seen
+                if since is None or not self.store.text.exists():
+                    self.store.write_text_index()
+                elif counts["updated"] or counts["removed"]:
+                    self.store.update_text_index(gone.unionByName(update.select("path")), before)
+            for name in ("chunks", "lookups", "file_state"):
+                if not self.store.exists(name):
+                    self.store.write(name, self.store.read(name))
+            self.store.write("dirty", checkouts.changes(self.spark, self.workspace, {}).select("path").distinct())
+        self.state.finish()
         self.state.write_version()
         self.phases = time.seconds
-        for x in (files, now, plan):
-            x.unpersist()
         return counts
 
-    def _store_batch(self, files: DataFrame, now: DataFrame, paths: list[str], index: dict[str, str]) -> None:
+    def _store_batch(self, files: DataFrame, now: DataFrame, paths: DataFrame, index: DataFrame) -> None:
         """Stores all that stems from some files, their hashes last: a batch whose hashes are stored is done."""
-        these = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        changed = files.join(these, "path", "left_semi")
+        changed = files.join(paths, "path", "left_semi")
         chunks = parsers.chunk_files(changed)
         text = with_prefix(search_text(F.col("path"), F.col("symbol"), F.col("content")), "document", self.config.embedder.model)
-        self.store.insert_chunks(chunks.withColumn("vector", embed_column(text, self.embedder, self.config.embedder.batch_size)), these)
-        self._store_facts(changed, these, index)
-        self.store.replace("file_state", now.join(these, "path", "left_semi"), these)
+        self.store.insert_chunks(chunks.withColumn("vector", embed_column(text, self.embedder, self.config.embedder.batch_size)), paths)
+        self._store_facts(changed, paths, index)
+        self.store.replace("file_state", now.join(paths, "path", "left_semi"), paths)
 
-    def _store_facts(self, files: DataFrame, paths: DataFrame, index: dict[str, str]) -> None:
+    def _store_facts(self, files: DataFrame, paths: DataFrame, index: DataFrame) -> None:
         with scratch(self.spark):
-            nodes, edges = parsers.graph_of(written(parsers.facts(files, index), "facts"))
+            asked = written(parsers.lookups(files), "lookups")
+            nodes, edges = parsers.graph_of(written(parsers.facts(parsers.resolved(files, asked, index)), "facts"))
+            self.store.replace("lookups", asked, paths)
             self.store.replace("nodes", nodes, paths)
             self.store.replace("facts", edges, paths)
 
-    def _refresh_graph(self, found: dict[str, Path], parsed: set[str], old: dict[str, str], new: dict[str, str], now: DataFrame) -> None:
-        """Parses files again whose imports may mean other files than before, and resolves names across all."""
-        names = {m for m in old.keys() | new.keys() if old.get(m) != new.get(m)} if old else set()
-        names |= {m[:i] for m in names for i, c in enumerate(m) if c in "./"}
-        meant = names | {x[m] for x in (old, new) for m in names if m in x}
-        if meant:
-            targets = self.spark.createDataFrame([(m,) for m in sorted(meant)], "target string")
-            sources = self.store.read("facts").where("kind = 'imports'").join(targets, "target", "left_semi").select(file_of(F.col("source")).alias("path")).distinct()
-            again = sorted(r["path"] for r in sources.collect() if r["path"] in found and r["path"] not in parsed)
-            if again:
-                these = self.spark.createDataFrame([(p,) for p in again], "path string")
-                self._store_facts(read_files(self.spark, [(p, found[p]) for p in again]), these, new)
+    def _refresh_graph(self, found: DataFrame, parsed: DataFrame, old: DataFrame | None, new: DataFrame, now: DataFrame) -> None:
+        """Parses files again that ask for a module that isn't the file it was, and resolves names across all."""
+        if old is not None:
+            moved = old.withColumnRenamed("path", "_old").join(new, "module", "full_outer").where("not (_old <=> path)").select("module")
+            asking = self.store.read("lookups").join(moved, "module", "left_semi").select("path").distinct()
+            again = written(asking.join(parsed, "path", "left_anti").join(found, "path", "left_semi"), "again")
+            if not again.isEmpty():
+                read = contents(checkouts.known(again, found)).where("error is null").select("path", "content")
+                self._store_facts(read, again, new)
         edges, nodes = self.store.read("facts"), self.store.read("nodes")
         if not self.config.graph.include_external:
             edges = predicates.known_edges(edges, now)
@@ -146,12 +153,13 @@ class Engine:
                 edges = one(edges, nodes)
         self.store.write("edges", edges)
 
-    def watch(self, events: DataFrame, checkpoint: str):
-        """Updates the index after each burst of file events of a stream."""
-        from sieveline.streaming.events import watch
-
+    def watch(self, events: DataFrame | None = None, checkpoint: str | None = None) -> Watch:
+        """Updates the index after each burst of file events: those of a given stream, else of the workspace's files as they change from now on."""
+        folder = self.folder / "watch"
+        if events is None:
+            events = checkouts.events(self.spark, self.workspace, str(folder / "looks"), str(self.folder))
         ignored = "|".join(r.pattern for _, r in self.workspace.exclude.rules) or None
-        return watch(events, lambda batch, n: self.build(), checkpoint, f"{self.config.watcher.debounce} seconds", index_dir=str(self.folder), ignored=ignored)
+        return watch(events, lambda batch, n: self.build(), checkpoint or str(folder / "checkpoint"), f"{self.config.watcher.debounce} seconds", index_dir=str(self.folder), ignored=ignored)
 
     # ---- questions ----
     def _ready(self) -> None:

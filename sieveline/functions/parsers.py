@@ -13,7 +13,7 @@ from pyspark.sql.types import StructField, StructType
 
 from sieveline.functions import parse_jsts, parse_python
 from sieveline.functions.scalar import EXTENSIONS
-from sieveline.schema import CHUNK, EDGE, NODE, SKELETON_ROW
+from sieveline.schema import CHUNK, EDGE, LOOKUP, NODE, SKELETON_ROW
 
 #: Node and edge columns of one row of facts; a row is a node if it has an id, else an edge.
 FACT = StructType([StructField(f.name, f.dataType, True) for f in (*NODE.fields, *(x for x in EDGE.fields if x.name != "kind"))])
@@ -45,15 +45,15 @@ def parser_of(path: str) -> ModuleType | None:
     return REGISTRY.get(EXTENSIONS.get("." + name.rsplit(".", 1)[-1].lower(), "")) if "." in name else None
 
 
-def _mapped(files: DataFrame, schema, rows) -> DataFrame:
-    names = schema.fieldNames()
+def _mapped(files: DataFrame, schema, rows, more: tuple[str, ...] = ()) -> DataFrame:
+    names, given = schema.fieldNames(), ["path", "content", *more]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [r for path, content in zip(frame["path"], frame["content"]) if content is not None and (p := parser_of(path)) for r in rows(p, path, content)]
+            out = [r for path, content, *x in zip(*(frame[c] for c in given)) if content is not None and (p := parser_of(path)) for r in rows(p, path, content, *x)]
             yield pd.DataFrame(out, columns=names, dtype=object)
 
-    return files.select("path", "content").mapInPandas(run, schema)
+    return files.select(*given).mapInPandas(run, schema)
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
@@ -64,16 +64,47 @@ def skeleton(files: DataFrame, include_imports: bool = False) -> DataFrame:
     return _mapped(files, SKELETON_ROW, lambda p, path, content: [(path, r.ord, r.depth, r.kind, r.qualified, r.start, r.end, r.signature, r.docstring) for r in p.outline(content, include_imports)])
 
 
+class _Asked(dict):
+    """An index that knows no module and remembers what it was asked for."""
+
+    def __init__(self):
+        self.names: set[str] = set()
+
+    def __bool__(self) -> bool:
+        return True
+
+    def get(self, name, default=None):
+        self.names.add(name)
+        return default
+
+
+def lookups(files: DataFrame) -> DataFrame:
+    """(path, module): the module names that each file's imports may mean, whether or not a file has them."""
+
+    def rows(p, path: str, content: str) -> list[tuple]:
+        asked = _Asked()
+        p.facts(path, content, asked)
+        return [(path, name) for name in sorted(asked.names)]
+
+    return _mapped(files, LOOKUP, rows)
+
+
+def resolved(files: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Adds to each file what the modules are that it asks for: ``asked`` are its ``lookups``, ``index`` has (module, path)."""
+    found = asked.join(index.select("module", F.col("path").alias("_file")), "module")
+    modules = found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct(F.col("module").alias("module"), F.col("_file").alias("file")))).alias("_found"))
+    return files.join(modules, "path", "left").select("path", "content", F.col("_found.module").alias("modules"), F.col("_found.file").alias("targets"))
+
+
 def facts(files: DataFrame, index: dict[str, str] | None = None) -> DataFrame:
-    """Nodes and edges of files that are parsed once, as one relation for ``graph_of``; ``index`` resolves imports to files: one entry for each module name of the repository at hand."""
-    index = index or {}
+    """Nodes and edges of files that are parsed once, as one relation for ``graph_of``. Imports mean what ``resolved`` adds to each file, or what a small ``index`` says."""
     blank = (None,) * 2
 
-    def rows(p, path: str, content: str) -> list[tuple]:
-        found = p.facts(path, content, index)
+    def rows(p, path: str, content: str, modules=None, targets=None) -> list[tuple]:
+        found = p.facts(path, content, dict(zip(modules, targets)) if modules is not None else index or {})
         return [(*n, *blank) for n in found.nodes] + [(None, kind, None, None, None, None, None, source, target) for source, target, kind in sorted(found.edges)]
 
-    return _mapped(files, FACT, rows)
+    return _mapped(files, FACT, rows, ("modules", "targets") if "modules" in files.columns else ())
 
 
 def graph_of(found: DataFrame) -> tuple[DataFrame, DataFrame]:

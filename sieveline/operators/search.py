@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,12 +69,30 @@ class TextIndex:
         return known.join(postings, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row's distinct words and how often it has them, from its list of words, which comes last; no row leaves its task."""
+    for batch in batches:
+        words = batch.columns[-1]
+        flat = words.flatten().dictionary_encode()
+        known, sizes = max(1, len(flat.dictionary)), np.diff(words.offsets.to_numpy())
+        pairs, times = np.unique(np.repeat(np.arange(len(batch)), sizes) * known + flat.indices.to_numpy().astype(np.int64), return_counts=True)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pairs // known, minlength=len(batch)))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (flat.dictionary.take(pa.array(pairs % known)), pa.array(times.astype(np.int32)))]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int32)), *lists], names=[*batch.schema.names[:-1], "dl", "terms", "tfs"])
+
+
+def cut(chunks: DataFrame, key: str = "doc_id", text: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, more columns, dl, terms, tfs): the words of each chunk, counted before anything is exploded or shuffled."""
+    text = search_text(F.col("path"), F.col("symbol"), F.col("content")) if text is None else text
+    words = chunks.select(key, *more, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("words"))
+    given = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in (key, *more))
+    return words.mapInArrow(counted, f"{given}, dl int, terms array<string>, tfs array<int>")
+
+
 def postings_of(chunks: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
     """(term, key, tf, dl), sorted by term in files that part the terms between them; a term in very many chunks spans several."""
-    text = search_text(F.col("path"), F.col("symbol"), F.col("content")) if text is None else text
-    cut = chunks.select(key, tokens(text).alias("_t"))
-    each = cut.select(key, F.size("_t").alias("dl"), F.explode("_t").alias("term")).groupBy("term", key, "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    return each.select("term", key, "tf", "dl").repartitionByRange("term", key).sortWithinPartitions("term", key)
+    each = cut(chunks, key, text).select(key, "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_t"))
+    return each.select(F.col("_t.terms").alias("term"), key, F.col("_t.tfs").alias("tf"), "dl").repartitionByRange("term", key).sortWithinPartitions("term", key)
 
 
 def terms_of(postings: DataFrame) -> DataFrame:

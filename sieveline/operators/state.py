@@ -87,14 +87,10 @@ class IndexState:
         if (m := self.meta) and m.state in (IN_PROGRESS, INCOMPLETE):
             self._put(replace(m, current_run=Run(tuple(paths), done, m.current_run.error)))
 
-    @property
-    def dirty(self) -> list[str]:
-        """Paths that version control named as changed when the last build ended: they may change back without a commit."""
-        return self._load("dirty.json") or []
-
-    def finish(self, hashes: dict[str, str], sources: list[Source] | None = None, dirty: list[str] | None = None) -> None:
-        self._save("file_hashes.json", hashes)
-        self._save("dirty.json", dirty or [])
+    def finish(self, hashes: dict[str, str] | None = None, sources: list[Source] | None = None) -> None:
+        """The run is done. Hashes are kept here if they are given; an engine keeps them as a relation."""
+        if hashes is not None:
+            self._save("file_hashes.json", hashes)
         if m := self.meta:
             self._put(Meta(DONE, m.started_at, self.clock(), Run(), tuple(sources) if sources is not None else m.sources))
 

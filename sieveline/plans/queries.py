@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import parsers, scalar
 from sieveline.functions.embed import HashingEmbedder, embed_column
-from sieveline.operators import graph, impact, incremental, predicates, ranking, search, state
+from sieveline.operators import graph, impact, incremental, predicates, ranking, search, segments, state
 from sieveline.plans import adapters as a
-from sieveline.sources.shared import kept
+from sieveline.sources.shared import kept, work_path
 from sieveline.streaming import events as ev
 
 QUERIES: dict = {}
@@ -99,6 +99,23 @@ def text_index_build(spark, sf_dir):
     return search.postings_of(a.chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
 
 
+_UPDATED = f"""WITH now AS (SELECT * FROM ({a.CHUNKS}) WHERE doc_id % 11 <> 1), toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(concat(path, chr(10), symbol, chr(10), content)), '[^a-z0-9_]+'), lambda t: t <> '') AS t FROM now)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY doc_id, term) GROUP BY term"""
+
+
+@query("text_index_update", _UPDATED)
+def text_index_update(spark, sf_dir):
+    """A stored text index of how the documents were, brought up to date by their changes alone, summed by term."""
+    chunks = a.chunks(spark, sf_dir)
+    stored = chunks.where("doc_id % 10 <> 0").withColumn("content", F.when(F.expr("doc_id % 7 = 0"), F.concat("content", F.lit(" old words"))).otherwise(F.col("content")))
+    now = chunks.where("doc_id % 11 <> 1")
+    index = segments.TextSegments(spark, work_path(spark, "text"))
+    index.build(stored)
+    fresh = now.where("doc_id % 10 = 0 or doc_id % 7 = 0")
+    index.update(stored.where("doc_id % 11 = 1").select("path").unionByName(fresh.select("path")), fresh)
+    return index.postings().groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+
+
 @query("bm25_scores_anew", _bm25_sql(_ONE) + " SELECT doc_id, score FROM bm")
 def bm25_scores_anew(spark, sf_dir):
     """The same without a stored index."""

@@ -13,10 +13,9 @@ NODE = _struct(
     ("id", StringType(), False), ("kind", StringType(), False), ("file_path", StringType(), False), ("start_line", IntegerType(), False), ("end_line", IntegerType(), False), ("name", StringType(), False), ("qualified_name", StringType(), False)
 )
 EDGE = _struct(("source", StringType(), False), ("target", StringType(), False), ("kind", StringType(), False))
-POSTING = _struct(("term", StringType(), False), ("doc_id", StringType(), False), ("tf", IntegerType(), False), ("dl", IntegerType(), False))
-TERM = _struct(("term", StringType(), False), ("df", LongType(), False))
-CORPUS = _struct(("n", LongType(), False), ("avgdl", DoubleType(), True))
 FILE_STATE = _struct(("path", StringType(), False), ("sha256", StringType(), False))
+LOOKUP = _struct(("path", StringType(), False), ("module", StringType(), False))
+PATH = _struct(("path", StringType(), False))
 FILE_EVENT = _struct(("ts", TimestampType(), False), ("seq", LongType(), False), ("event_type", StringType(), False), ("path", StringType(), False), ("dest_path", StringType(), True), ("is_directory", BooleanType(), False))
 SKELETON_ROW = _struct(
     ("path", StringType(), False), ("ord", IntegerType(), False), ("depth", IntegerType(), False), ("kind", StringType(), False), ("qualified_name", StringType(), False),

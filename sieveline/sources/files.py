@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import subprocess
 import warnings
@@ -84,15 +85,22 @@ def status_columns(line: Column) -> Column:
 
 
 class Git:
+    """What version control knows of a checkout. Paths come as they are: they are separated by zero bytes, so none is quoted."""
+
     def __init__(self, root: Path):
         self.root = Path(root)
 
     def run(self, *args: str) -> str | None:
+        """What a command prints, bytes that are no UTF-8 as the system's file names have them; None if it fails."""
         try:
-            done = subprocess.run(["git", "-C", str(self.root), *args], capture_output=True, text=True, timeout=GIT_TIMEOUT)
+            done = subprocess.run(["git", "-C", str(self.root), *args], capture_output=True, timeout=GIT_TIMEOUT)
         except (OSError, subprocess.TimeoutExpired):
             return None
-        return done.stdout if done.returncode == 0 else None
+        return os.fsdecode(done.stdout) if done.returncode == 0 else None
+
+    def fields(self, *args: str) -> list[str]:
+        """The parts of what a command prints that zero bytes separate."""
+        return [x for x in (self.run(*args) or "").split("\0") if x]
 
     @property
     def head(self) -> str | None:
@@ -104,28 +112,38 @@ class Git:
 
     def discover(self) -> list[str]:
         """Sorted relative paths with a known extension: what is tracked and what is untracked but not ignored, else what the folder holds."""
-        out = self.run("ls-files", "--cached", "--others", "--exclude-standard", *(f"*{e}" for e in EXTENSIONS))
-        if out and out.strip():
-            return sorted({x for x in out.splitlines() if (self.root / x).is_file()})
+        if found := self.fields("ls-files", "-z", "--cached", "--others", "--exclude-standard", *(f"*{e}" for e in EXTENSIONS)):
+            return sorted({x for x in found if (self.root / x).is_file()})
         ignored = load_ignore(self.root)
-        found = (p.relative_to(self.root) for p in self.root.rglob("*") if p.suffix.lower() in EXTENSIONS and p.is_file())
-        return sorted(str(p) for p in found if ".git" not in p.parts and not ignored(p.as_posix()))
+        paths = (p.relative_to(self.root) for p in self.root.rglob("*") if p.suffix.lower() in EXTENSIONS and p.is_file())
+        return sorted(str(p) for p in paths if ".git" not in p.parts and not ignored(p.as_posix()))
 
     def changes(self, since: str | None) -> tuple[set[str], set[str]]:
-        """(changed, removed) relative paths since a commit, and in the working tree. A rename removes its old path."""
+        """(changed, removed) relative paths since a commit, and in the working tree. A rename removes its old path.
+
+        A checkout may be a folder of a larger repository: what lies outside it doesn't count.
+        """
         changed, removed = set(), set()
         if since:
-            for line in (self.run("diff", "--name-status", f"{since}...HEAD") or "").splitlines():
-                state, *paths = line.split("\t")
-                if state[:1] in "RC" and len(paths) == 2:
-                    changed.add(paths[1])
+            told = iter(self.fields("diff", "--name-status", "--relative", "-z", f"{since}...HEAD"))
+            for state in told:
+                path = next(told)
+                if state[:1] in "RC":
                     if state[:1] == "R":
-                        removed.add(paths[0])
-                elif paths:
-                    (removed if state == "D" else changed).add(paths[0])
-        for line in (self.run("status", "--porcelain", "--untracked-files=all") or "").splitlines():
-            if found := parse_status(line):
-                (removed if "D" in found[0] else changed).add(found[1])
+                        removed.add(path)
+                    path = next(told)
+                (removed if state == "D" else changed).add(path)
+        within = (self.run("rev-parse", "--show-prefix") or "").rstrip("\n")
+        told = iter(self.fields("status", "--porcelain", "-z", "--untracked-files=all", "--", "."))
+        for entry in told:
+            state, paths = entry[:2], [entry[3:]]
+            if state[0] in "RC" or state[1] in "RC":  # the old path follows by itself
+                old = next(told)
+                if "R" in state:
+                    paths.append(old)
+            for n, path in enumerate(paths):
+                if path.startswith(within):
+                    (removed if n or "D" in state else changed).add(path[len(within) :])
         return changed - removed, removed
 
 
@@ -146,7 +164,7 @@ class Workspace:
     """Several roots under one key: ``alias/relative path``."""
 
     def __init__(self, checkouts: list[Checkout], exclude: list[str] = ()):
-        self.checkouts, self.exclude = checkouts, Ignore(list(exclude))
+        self.checkouts, self.patterns, self.exclude = checkouts, list(exclude), Ignore(list(exclude))
 
     def discover(self) -> list[tuple[str, Path]]:
         """(logical path, file), sorted. A root that fails is warned about and adds nothing."""
@@ -203,14 +221,11 @@ def resolve_paths(df: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, found: list[tuple[str, Path]]) -> DataFrame:
-    """(path, content) of discovered files, read by the executors; bytes that are no UTF-8 are replaced."""
-    if not found:
-        return spark.createDataFrame([], "path string, content string")
-    keys = spark.createDataFrame([(k, p.resolve().as_uri().replace("file://", "file:")) for k, p in found], "path string, uri string")
-    raw = spark.read.format("binaryFile").load([str(p.resolve()) for _, p in found]).select(F.regexp_replace("path", "^file:/+", "file:/").alias("uri"), F.col("content").alias("raw"))
-
-    @F.pandas_udf("string")
-    def text(parts):
-        return parts.map(lambda b: bytes(b).decode("utf-8", "replace"))
-
-    return keys.join(raw, "uri").select("path", text("raw").alias("content"))
+    """(path, content) of a few files, each opened by exactly its path; bytes that are no UTF-8 are replaced, and files that can't be read are warned about."""
+    from sieveline.sources.checkouts import contents, told_missing
+    from sieveline.timing import logger
+
+    rows = spark.createDataFrame([(k, bytearray(os.fsencode(p))) for k, p in found], "path string, file binary")
+    read = contents(rows)
+    told_missing(read, logger)
+    return read.where("error is null").select("path", "content")

@@ -7,13 +7,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders whose contents go when the work that they were made for ends; the last is in use.
-_SCRATCH: list[str] = []
+#: The folder whose contents go when the work ends that this thread is at.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 #: Paths of relations that are kept as long as an application runs.
-_KEPT: dict[tuple[str, str, str], str] = {}
+_KEPT: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,7 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{_SCRATCH.get() or shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
@@ -46,21 +47,63 @@ def delete(spark: SparkSession, path: str) -> None:
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
 
 
+def _file(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small file of the shared folder; None if there is none."""
+    found, fs = _file(spark, path)
+    if not fs.exists(found):
+        return None
+    stream = fs.open(found)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file of the shared folder as a whole: readers see what was there before or all of this."""
+    target, fs = _file(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark._sc._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(target), how)
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Work paths that are made inside go when it ends, so what is to last must have been written elsewhere by then."""
     folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    _SCRATCH.append(folder)
+    before = _SCRATCH.set(folder)
     try:
         yield
     finally:
-        _SCRATCH.remove(folder)
+        _SCRATCH.reset(before)
         delete(spark, folder)
 
 
+def _stamp(spark: SparkSession, of: str) -> tuple:
+    """Names, sizes and times of the files in a folder and in the folders there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(of)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found, folders = [], [path]
+    for depth in range(2):
+        inner = [s for f in folders for s in fs.listStatus(f)]
+        found += [(s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in inner]
+        folders = [s.getPath() for s in inner if s.isDirectory()]
+    return tuple(sorted(found))
+
+
 def kept(spark: SparkSession, of: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """A relation that is made from ``of`` once in an application's time and read from then on."""
-    key = (spark.sparkContext.applicationId, of, name)
+    """A relation that is made from the tables in ``of`` once in an application's time, and again if these change."""
+    key = (spark.sparkContext.applicationId, of, name, _stamp(spark, of))
     if key not in _KEPT:
         path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         make().write.parquet(path)

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import file_of, search_text
-from sieveline.operators.search import TextIndex, corpus_of, postings_of, terms_of
-from sieveline.schema import CORPUS, EDGE, FILE_STATE, NODE, POSTING, STORED_CHUNK, TERM
+from sieveline.operators.search import TextIndex
+from sieveline.operators.segments import TextSegments
+from sieveline.schema import EDGE, FILE_STATE, LOOKUP, NODE, PATH, STORED_CHUNK
 
-#: ``facts`` are the edges as files state them, before names are resolved across files; ``edges`` what comes of them.
-SCHEMAS = {"chunks": STORED_CHUNK, "nodes": NODE, "edges": EDGE, "facts": EDGE, "file_state": FILE_STATE, "postings": POSTING, "terms": TERM, "corpus": CORPUS}
+#: ``facts`` are the edges as files state them, before names are resolved across files; ``edges`` what comes of them. ``lookups`` are
+#: the module names that files ask for, ``dirty`` the paths that version control named when the last build ended: they may change back without a commit.
+SCHEMAS = {"chunks": STORED_CHUNK, "nodes": NODE, "edges": EDGE, "facts": EDGE, "lookups": LOOKUP, "dirty": PATH, "file_state": FILE_STATE}
 #: The file that each row of a relation stems from.
-FILE_OF = {"chunks": F.col, "file_state": F.col, "nodes": lambda _: F.col("file_path"), "facts": lambda _: file_of(F.col("source"))}
+FILE_OF = {"chunks": F.col, "file_state": F.col, "lookups": F.col, "nodes": lambda _: F.col("file_path"), "facts": lambda _: file_of(F.col("source"))}
 GRAPH_VERSION = 1
 
 
@@ -50,6 +52,7 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: Path | str, dimensions: int = 384):
         self.spark, self.folder, self.dimensions = spark, Path(folder), dimensions
+        self.text = TextSegments(spark, str(self.folder / "text"))
 
     def _parts(self, name: str) -> list[str]:
         try:
@@ -109,17 +112,16 @@ class Store:
 
     def write_text_index(self) -> None:
         """Cuts the texts of all chunks once; searches read the postings of their terms from then on."""
-        chunks = self.read("chunks").withColumn("doc_id", chunk_id())
-        self.write("postings", postings_of(chunks))
-        postings = self.read("postings")
-        self.write("terms", terms_of(postings))
-        self.write("corpus", corpus_of(chunks, postings))
+        self.text.build(self.read("chunks").withColumn("doc_id", chunk_id()))
+
+    def update_text_index(self, paths: DataFrame, since: list[str]) -> None:
+        """Replaces what the text index has of ``paths``: cut are their chunks alone, which stand in parts that ``since`` doesn't name."""
+        fresh = self._read("chunks", [p for p in self._parts("chunks") if p not in since]).join(paths.select("path").distinct(), "path", "left_semi")
+        self.text.update(paths, fresh.withColumn("doc_id", chunk_id()))
 
     def text_index(self) -> TextIndex | None:
         """The stored text index, or None where a build hasn't made one."""
-        if not all(self.exists(n) for n in ("postings", "terms", "corpus")):
-            return None
-        return TextIndex(*(self.read(n) for n in ("postings", "terms", "corpus")))
+        return self.text.index()
 
     def chunk_count(self) -> int:
         return self.read("chunks").count()
@@ -137,10 +139,7 @@ class Store:
         for name in SCHEMAS:
             try:
                 if self._parts(name):
-                    df = self.read(name)
-                    if name in ("postings", "terms"):  # these stay sorted by term
-                        df = df.repartitionByRange(files, "term").sortWithinPartitions("term")
-                    self.write(name, df, files)
+                    self.write(name, self.read(name), files)
                     now = self._parts(name)
                     for old in (self.folder / name).glob("v*"):
                         if old.name not in now:
@@ -148,6 +147,11 @@ class Store:
                     told[name] = "ok"
             except Exception as e:
                 told[name] = f"failed: {e}"
+        try:
+            self.text.maintain()
+            told["text"] = "ok"
+        except Exception as e:
+            told["text"] = f"failed: {e}"
         return told
 
     def export_graph(self, path: Path) -> None:

@@ -3,7 +3,6 @@
 import json
 import random
 import subprocess
-import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +15,6 @@ from sieveline.functions import parsers
 from sieveline.operators import graph, impact, ranking
 from sieveline.operators.state import IndexState, Source
 from sieveline.sources import files
-from sieveline.streaming import events as ev
 
 SRC = {
     "src/store.py": 'from src.util import connect\n\nclass Store:\n    """Keeps rows."""\n    def save(self, row):\n        return connect(row)\n',
@@ -152,29 +150,6 @@ def test_inherited_seeds(spark):
     assert {r["symbol"]: r["n"] for r in graph.ambiguous(n).collect()} == {"run": 2}
 
 
-def test_stream_debounces(spark, tmp_path):
-    def put(name, rows):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / f"{name}.tmp").write_text("\n".join(json.dumps(dict(zip(("ts", "seq", "event_type", "path", "dest_path", "is_directory"), r))) for r in rows))
-        (tmp_path / f"{name}.tmp").rename(tmp_path / "in" / f"{name}.json")
-
-    t = "2024-01-01T00:00:{:02d}.000Z"
-    put("a", [(t.format(1), 1, "created", "r/a.py", None, False), (t.format(2), 2, "deleted", "r/a.py", None, False), (t.format(2), 3, "moved", "r/b.py", "out/.git/b.py", False), (t.format(3), 4, "modified", "r/.git/x", None, False)])
-    put("b", [(t.format(20), 5, "modified", "r/c.py", None, False)])
-    put("c", [(t.format(59), 6, "modified", "r/z.py", None, False)])
-    got = []
-    q = ev.watch(ev.event_source(spark, str(tmp_path / "in")), lambda b, n: got.append({(r["path"], r["op"]) for r in b.collect()}), str(tmp_path / "cp"), scopes=["r"])
-    try:
-        for _ in range(60):
-            q.processAllAvailable()
-            if sum(map(len, got)) >= 3:
-                break
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert set().union(*got) == {("r/a.py", "removed"), ("r/b.py", "removed"), ("r/c.py", "changed")}
-
-
 def test_skeleton_rows(spark):
     df = spark.createDataFrame([("a.py", SRC["src/store.py"]), ("b.unknown", "x"), ("c.py", None)], "path string, content string")
     rows = parsers.skeleton(df)

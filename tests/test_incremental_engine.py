@@ -12,10 +12,9 @@ from sieveline.functions import parsers
 from sieveline.operators import predicates
 from sieveline.server import Server
 from sieveline.service import Service
-from sieveline.sources import files
+from sieveline.sources import checkouts
 from sieveline.sources.shared import written
 from sieveline.streaming import events as ev
-from sieveline.streaming.observer import Observer
 from sieveline.timing import Phases
 from tests.test_engine import repo  # noqa: F401
 
@@ -35,7 +34,7 @@ def test_a_build_goes_on_after_a_cut(spark, repo, monkeypatch):  # noqa: F811
         if len(done) == 2:
             raise KeyboardInterrupt
         stored(f, now, paths, index)
-        done.extend(paths)
+        done.extend(r["path"] for r in paths.collect())
 
     monkeypatch.setattr(e, "_store_batch", cut)
     with pytest.raises(KeyboardInterrupt):
@@ -43,7 +42,7 @@ def test_a_build_goes_on_after_a_cut(spark, repo, monkeypatch):  # noqa: F811
     assert e.state.meta.state == "incomplete" and e.state.meta.current_run.processed_count == 2 and len(e.state.meta.current_run.paths_to_process) == 4
     again = Engine(spark, repo, SMALL)
     parsed = []
-    monkeypatch.setattr(again, "_store_batch", lambda f, now, paths, index, g=again._store_batch: (parsed.extend(paths), g(f, now, paths, index)))
+    monkeypatch.setattr(again, "_store_batch", lambda f, now, paths, index, g=again._store_batch: (parsed.extend(r["path"] for r in paths.collect()), g(f, now, paths, index)))
     assert again.build() == {"cached": 2, "updated": 2, "removed": 0}
     assert not set(parsed) & set(done) and len(parsed) == 2 and again.state.meta.state == "done"
     assert {"discover", "chunks and facts", "graph", "text index"} == again.phases.keys()
@@ -56,7 +55,7 @@ def test_an_update_reads_and_parses_what_changed(spark, repo, monkeypatch):  # n
     e = Engine(spark, repo, SMALL)
     e.build()
     read, parsed = [], []
-    monkeypatch.setattr("sieveline.engine.read_files", lambda s, found: (read.append(sorted(k for k, _ in found)), files.read_files(s, found))[1])
+    monkeypatch.setattr("sieveline.engine.contents", lambda found: (read.append(sorted(r["path"] for r in found.collect())), checkouts.contents(found))[1])
     facts = parsers.facts
     monkeypatch.setattr(parsers, "facts", lambda f, index=None: (parsed.append(sorted(r["path"] for r in f.select("path").collect())), facts(f, index))[1])
     a = e.workspace.checkouts[0].alias
@@ -108,12 +107,12 @@ def test_parts_of_relations(spark, tmp_path):
 def test_text_index_and_its_absence(spark, repo, caplog):  # noqa: F811
     e = Engine(spark, repo, SMALL)
     e.build()
-    terms = {r["term"]: r["df"] for r in e.store.read("terms").collect()}
-    assert terms["connect"] >= 2 and e.store.read("corpus").first()["n"] == e.store.chunk_count()
+    terms = {r["term"]: r["df"] for r in e.store.text.terms().collect()}
+    assert terms["connect"] >= 2 and e.store.text.manifest["n"] == e.store.chunk_count()
     assert e.search("connect a row").first()["search_mode"] == "hybrid"
     import shutil
 
-    shutil.rmtree(e.folder / "postings")
+    shutil.rmtree(e.folder / "text")
     with caplog.at_level("ERROR", "sieveline"):
         for _ in range(3):
             assert e.search("connect a row").first()["search_mode"] == "vector"
@@ -159,22 +158,6 @@ def test_bursts_of_a_table_against_loops(spark):
     assert written(ev.debounced(df.where("false")), "none").count() == 0
 
 
-def test_observer(tmp_path):
-    root, out = tmp_path / "root", tmp_path / "out"
-    root.mkdir()
-    (root / "a.py").write_text("1")
-    o = Observer([root], out, lambda p: p.suffix == ".py", clock=lambda: 1.5)
-    assert o.poll() == 0
-    (root / "a.py").write_text("22")
-    (root / "b.py").write_text("1")
-    (root / "c.txt").write_text("1")
-    assert o.poll() == 2
-    (root / "b.py").unlink()
-    o.start().stop()
-    told = [json.loads(line) for f in sorted(out.glob("*.json")) for line in f.read_text().splitlines()]
-    assert [(t["seq"], t["event_type"], t["path"].rsplit("/", 1)[1], t["ts"]) for t in told] == [(1, "modified", "a.py", "1970-01-01T00:00:01.500000Z"), (2, "created", "b.py", "1970-01-01T00:00:01.500000Z"), (3, "deleted", "b.py", "1970-01-01T00:00:01.500000Z")]
-
-
 def test_tool_server(spark, repo):  # noqa: F811
     Engine(spark, repo).build()
     ask = [
