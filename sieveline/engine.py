@@ -175,7 +175,9 @@ class Engine:
         prefixed = f"search_query: {query}" if needs_prefix(self.config.embedder.model) else query
         vector = self.embedder.embed([prefixed])[0]
         index = self._text_index() if self.config.search.hybrid else None
-        found = search.search(chunks.drop("vector", "search_text"), chunks.select("doc_id", "vector"), query, vector, k, prefix, aliases, include_tests, index is not None, self.config.search.metric, index).drop("doc_id")
+        metric, where = self.config.search.metric, predicates.scope(F.col("path"), prefix, aliases, include_tests)
+        nearest = self.store.nearest(vector, metric, where)
+        found = search.search(chunks.drop("vector", "search_text"), chunks.select("doc_id", "vector"), query, vector, k, prefix, aliases, include_tests, index is not None, metric, index, nearest).drop("doc_id")
         return resolve_paths(found, self.workspace.roots(self.spark)) if absolute else found
 
     def _text_index(self) -> search.TextIndex | None:
@@ -202,7 +204,7 @@ class Engine:
 
     def maintain(self) -> dict[str, str]:
         with write_lock(self.folder):
-            return self.store.maintain()
+            return self.store.maintain(metric=self.config.search.metric)
 
     def skeleton(self, arg: str, include_imports: bool = False, symbol: str | None = None) -> str:
         """The outline of ``path`` or ``path:START-END``; a file of no known language as it is."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -157,16 +157,18 @@ def finish(ranked: DataFrame, k: int, partition: list[str] | None = None, rules=
     return ranking.relevance_tiers(trimmed, partition)
 
 
-def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vector: list[float], k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, hybrid: bool = True, metric: str = "cosine", index: TextIndex | None = None) -> DataFrame:
+def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vector: list[float], k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, hybrid: bool = True, metric: str = "cosine", index: TextIndex | None = None, nearest: Callable[[int], DataFrame] | None = None) -> DataFrame:
     """The whole search. ``chunks`` has doc_id and the chunk columns, ``vectors`` doc_id and vector; ``index`` is the stored text index, else the texts are cut anew.
 
+    ``nearest`` gives so many of the nearest chunks in scope, ranked, where an index of vectors can; else all vectors are read.
+
     Scope and test filters hold within each leg, before ranks are given; both legs return twice as many as asked for.
     """
     check_query(query)
     wide = 2 * k
     found = chunks.where(scope(F.col("path"), prefix, aliases, include_tests))
     ids = found.select("doc_id")
-    legs = [top_k(vector_scores(vectors.join(ids, "doc_id", "left_semi"), query_vector, metric=metric), wide)]
+    legs = [nearest(wide) if nearest is not None else top_k(vector_scores(vectors.join(ids, "doc_id", "left_semi"), query_vector, metric=metric), wide)]
     if hybrid and query is not None:
         terms = query_terms(query)
         # corpus statistics come from the whole index, ranks from what is in scope

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import parsers, scalar
 from sieveline.functions.embed import HashingEmbedder, embed_column
-from sieveline.operators import graph, impact, incremental, predicates, ranking, search, segments, state
+from sieveline.operators import balls, graph, impact, incremental, predicates, ranking, search, segments, state
 from sieveline.plans import adapters as a
 from sieveline.sources.shared import kept, work_path
 from sieveline.streaming import events as ev
@@ -55,6 +55,18 @@ def vector_topk(spark, sf_dir):
     return _vector(spark, sf_dir)
 
 
+@query("vector_topk_balls", _vector_sql("starts_with(path, 'lib/')"))
+def vector_topk_balls(spark, sf_dir):
+    """The same by a stored index of balls, which the first of its kind in an application writes for the tables as they are."""
+    rows = a.vectors(spark, sf_dir).join(a.chunks(spark, sf_dir).select("doc_id", "path"), "doc_id")
+    made = kept(spark, sf_dir, "vectors", lambda: rows)
+    at = made.inputFiles()[0].rsplit("/", 1)[0] + "-balls"
+    index = balls.BallIndex(spark, at)
+    if index.manifest is None:
+        index.build(made, ball_rows=128)
+    return index.nearest(_query_vector(spark, sf_dir), 10, F.col("path").startswith("lib/")).rows
+
+
 @query("vector_topk_prefix", _vector_sql("starts_with(path, 'lib/')"))
 def vector_topk_prefix(spark, sf_dir):
     return _vector(spark, sf_dir, prefix="lib")

@@ -7,6 +7,7 @@ import fcntl
 import json
 import time
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import file_of, search_text
+from sieveline.operators.balls import BallIndex
 from sieveline.operators.search import TextIndex
 from sieveline.operators.segments import TextSegments
 from sieveline.schema import EDGE, FILE_STATE, LOOKUP, NODE, PATH, STORED_CHUNK
@@ -53,6 +55,7 @@ class Store:
     def __init__(self, spark: SparkSession, folder: Path | str, dimensions: int = 384):
         self.spark, self.folder, self.dimensions = spark, Path(folder), dimensions
         self.text = TextSegments(spark, str(self.folder / "text"))
+        self.balls = BallIndex(spark, str(self.folder / "balls"))
 
     def _parts(self, name: str) -> list[str]:
         try:
@@ -123,6 +126,27 @@ class Store:
         """The stored text index, or None where a build hasn't made one."""
         return self.text.index()
 
+    def _vectors(self, parts: list[str]) -> DataFrame:
+        part = F.regexp_extract("_metadata.file_path", r"/(v[0-9a-f]{32})/", 1).alias("part")
+        return self._read("chunks", parts).select(chunk_id().alias("doc_id"), "path", part, "vector")
+
+    def write_ball_index(self, metric: str = "cosine") -> None:
+        """Files the vectors of all chunks by ball; searches read the balls that can matter and what has come since."""
+        parts = self._parts("chunks")
+        if parts:
+            self.balls.build(self._vectors(parts), metric, note={"parts": parts})
+
+    def nearest(self, query: list[float], metric: str, where: Column) -> Callable[[int], DataFrame] | None:
+        """The nearest chunks that ``where`` (over path) holds for, by the ball index; None without one for that metric and these dimensions."""
+        m = self.balls.manifest
+        if m is None or m["metric"] != metric or (m["n"] and m["dims"] != len(query)):
+            return None
+        parts = self._parts("chunks")
+        # a part that is current no more has left its remaining rows to a later one
+        covered, since = [p for p in parts if p in m["note"]["parts"]], [p for p in parts if p not in m["note"]["parts"]]
+        more = self._vectors(since).where(where).select("doc_id", "vector") if since else None
+        return lambda k: self.balls.nearest(query, k, where & F.col("part").isin(covered), more).rows
+
     def chunk_count(self) -> int:
         return self.read("chunks").count()
 
@@ -131,8 +155,8 @@ class Store:
             if self._parts(name):
                 self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
 
-    def maintain(self, files: int = 8) -> dict[str, str]:
-        """Compacts each relation and drops old versions; what went wrong is told step by step."""
+    def maintain(self, files: int = 8, metric: str = "cosine") -> dict[str, str]:
+        """Compacts each relation, drops old versions and files the vectors; what went wrong is told step by step."""
         import shutil
 
         told = {}
@@ -147,11 +171,12 @@ class Store:
                     told[name] = "ok"
             except Exception as e:
                 told[name] = f"failed: {e}"
-        try:
-            self.text.maintain()
-            told["text"] = "ok"
-        except Exception as e:
-            told["text"] = f"failed: {e}"
+        for name, step in (("text", self.text.maintain), ("balls", lambda: self.write_ball_index(metric))):
+            try:
+                step()
+                told[name] = "ok"
+            except Exception as e:
+                told[name] = f"failed: {e}"
         return told
 
     def export_graph(self, path: Path) -> None:
