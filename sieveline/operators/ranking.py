@@ -32,18 +32,18 @@ def boost(hits: DataFrame, rules=DEFAULT_RULES, partition: list[str] | None = No
 
 
 def drop_enclosing(hits: DataFrame, partition: list[str] | None = None) -> DataFrame:
-    """Drops each hit that encloses another of its file; of equal spans the last ranked stays.
+    """Drops each hit that encloses another of its file; of equal spans the last ranked stays. ``rank`` differs within a file.
 
-    One anti-join on the path: which hits stay doesn't depend on the order in which they are looked at.
+    A sweep over each file's spans by falling start, then rising end, then falling rank: whatever a hit encloses comes
+    before it, so it goes if the least end so far isn't beyond its own. No pairs are made, and which hits stay doesn't
+    depend on the order in which they came. A hit without a file, a start or an end encloses nothing.
     """
     keys = [*(partition or []), "path"]
-    a, b = hits.alias("a"), hits.select(*keys, "start_line", "end_line", "rank").alias("b")
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
-    inside = (F.col("a.start_line") <= F.col("b.start_line")) & (F.col("a.end_line") >= F.col("b.end_line")) & (F.col("a.rank") != F.col("b.rank"))
-    larger = (F.col("a.start_line") != F.col("b.start_line")) | (F.col("a.end_line") != F.col("b.end_line"))
-    return a.join(b, same & inside & (larger | (F.col("b.rank") > F.col("a.rank"))), "left_anti")
+    before = Window.partitionBy(*keys).orderBy(F.desc("start_line"), F.asc("end_line"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)
+    encloses = F.min("end_line").over(before) <= F.col("end_line")
+    for c in (*keys, "start_line"):
+        encloses = encloses & F.col(c).isNotNull()
+    return hits.withColumn("_encloses", F.coalesce(encloses, F.lit(False))).where(~F.col("_encloses")).drop("_encloses")
 
 
 def relevance_tiers(hits: DataFrame, partition: list[str] | None = None) -> DataFrame:

@@ -124,6 +124,18 @@ def test_containment_and_tiers_against_loops(spark):
     assert [r["relevance"] for r in ranking.relevance_tiers(df).orderBy("rank").collect()] == want
 
 
+def test_containment_of_very_many_spans(spark):
+    import time
+
+    n = 1_000_000
+    spans = spark.range(n).select(F.lit("f").alias("path"), (F.col("id") % 1000).cast("int").alias("start_line"), (F.col("id") % 1000 + F.floor(F.col("id") / 1000)).cast("int").alias("end_line"), F.col("id").cast("int").alias("rank"))
+    began = time.monotonic()
+    left = {(r["start_line"], r["end_line"]) for r in ranking.drop_enclosing(spans).collect()}
+    assert left == {(i, i) for i in range(1000)} and time.monotonic() - began < 60
+    odd = spark.createDataFrame([(None, 1, 9, 1), (None, 2, 3, 2), ("f", None, 9, 3), ("f", 1, None, 4), ("f", 2, 3, 5), ("f", 1, 9, 6)], "path string, start_line int, end_line int, rank int")
+    assert {r["rank"] for r in ranking.drop_enclosing(odd).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_impact_against_a_queue(spark):
     rng = random.Random(5)
     ids = [f"m{i}" for i in range(3)] + [f"m{i % 3}::f{i}" for i in range(12)]
