@@ -3,7 +3,9 @@
 A huge document is cut into chunks that overlap their successors. Each chunk is encoded by itself with offsets, on any
 executor. Two neighbours are spliced at a position of their overlap where both start a token and white space stands
 before: the tokenizer drops white space and cuts there whatever surrounds it, so what precedes and follows is final.
-Where two neighbours have no such position, their document is cut again with a wider overlap, until one chunk holds it.
+A document with long runs without white space gets wider overlaps, and chunks no shorter than these, so a place is
+encoded twice at most. Where two neighbours have no such position nevertheless, their document is cut again with a wider
+overlap, until one chunk holds it.
 """
 
 from __future__ import annotations
@@ -75,40 +77,57 @@ def _small(path: str):
     return run
 
 
+def overlap_for(text: str, least: int) -> int:
+    """An overlap that holds white space wherever it lies: ``least``, or as many times eight as the longest run without white space takes."""
+    longest = max(map(len, re.split(f"[{_tokens.WHITE}]+", text)))
+    while least <= 2 * longest and least < len(text):
+        least *= WIDER
+    return least
+
+
 def _chunks(chars: int, overlap: int):
-    """Rows (row, chunk, last, start, text) of each document; a document that one chunk and its overlap hold is one chunk."""
+    """Rows (row, chunk, last, start, chars, overlap, lead, text) of each document; a document that one chunk and its overlap hold is one chunk. Chunks are no shorter than overlaps, so no place is in more than two."""
+    names = ["row", "chunk", "last", "start", "chars", "overlap", "lead", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = max(1, -(-(len(text) - overlap) // chars))
+                wide = overlap_for(text, overlap)
+                stride = max(chars, wide)
+                n = max(1, -(-(len(text) - wide) // stride))
                 for i in range(n):
-                    part = text[i * chars : (i + 1) * chars + overlap] if i < n - 1 else text[i * chars :]
-                    lead = text[i * chars - 1] if i else ""  # tells whether white space stands before the chunk
-                    yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([i], pa.int32()), pa.array([n - 1], pa.int32()), pa.array([i * chars], pa.int64()), pa.array([lead]), pa.array([part])], names=["row", "chunk", "last", "start", "lead", "text"])
+                    part = text[i * stride : (i + 1) * stride + wide] if i < n - 1 else text[i * stride :]
+                    lead = text[i * stride - 1] if i else ""  # tells whether white space stands before the chunk
+                    numbers = [pa.array([x], kind) for x, kind in ((i, pa.int32()), (n - 1, pa.int32()), (i * stride, pa.int64()), (stride, pa.int64()), (wide, pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([pa.array([row]), *numbers, pa.array([lead]), pa.array([part])], names=names)
 
     return run
 
 
-def _boundaries(path: str, chars: int, overlap: int):
+def _boundaries(path: str):
     """For each chunk its token count and the stable starts in its overlaps: positions in the document, tokens before them."""
     white = re.compile(f"[{_tokens.WHITE}]")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokens.tokenizer(path)
         for batch in batches:
-            texts = _tokens.strings_of(batch.column(5))
+            texts = _tokens.strings_of(batch.column(7))
             out: dict[str, list] = {k: [] for k in ("n", "left", "left_at", "right", "right_at")}
             at = 0
             for part in _tokens.slices(texts, 500_000):
                 part = part.to_pylist()
-                for k, (text, x) in enumerate(zip(part, tok.encode_batch(part, add_special_tokens=False)), at):
-                    start, lead = batch.column(3)[k].as_py(), batch.column(4)[k].as_py()
-                    begins = np.array(x.offsets, np.int64).reshape(-1, 2)[:, 0]
-                    places, tokens = np.unique(begins, return_index=True)
+                for k, text in enumerate(part, at):
+                    last, start, chars, overlap, lead = (batch.column(c)[k].as_py() for c in range(2, 7))
+                    places = tokens = np.zeros(0, np.int64)
+                    if last:
+                        begins = np.array(tok.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)[:, 0]
+                        n = len(begins)
+                        places, tokens = np.unique(begins, return_index=True)
+                    else:  # a whole document has no neighbour to meet
+                        n = len(tok.encode_batch_fast([text], add_special_tokens=False)[0])
                     edge = (places < overlap) | (places >= chars)
                     stable = [(i, p) for i, p in zip(tokens[edge].tolist(), places[edge].tolist()) if white.match(text[p - 1] if p else lead)]
-                    out["n"].append(len(begins))
+                    out["n"].append(n)
                     for side, kept in (("left", [x for x in stable if x[1] < overlap]), ("right", [x for x in stable if x[1] >= chars])):
                         out[side].append([p + start for _, p in kept])
                         out[side + "_at"].append([i for i, _ in kept])
@@ -122,9 +141,9 @@ def _boundaries(path: str, chars: int, overlap: int):
 def _spliced(huge: DataFrame, path: str, chars: int, overlap: int) -> DataFrame:
     """(row, n_tokens) of each document; n_tokens is null where some neighbours don't align."""
     spark = huge.sparkSession
-    cut = huge.select("row", "text").mapInArrow(_chunks(chars, overlap), "row string, chunk int, last int, start long, lead string, text string")
+    cut = huge.select("row", "text").mapInArrow(_chunks(chars, overlap), "row string, chunk int, last int, start long, chars long, overlap long, lead string, text string")
     dealt = cut.repartition(partitions(spark), "row", "chunk")
-    ends = dealt.mapInArrow(_boundaries(path, chars, overlap), "row string, chunk int, last int, n long, left array<long>, left_at array<long>, right array<long>, right_at array<long>")
+    ends = dealt.mapInArrow(_boundaries(path), "row string, chunk int, last int, n long, left array<long>, left_at array<long>, right array<long>, right_at array<long>")
     order = Window.partitionBy("row").orderBy("chunk")
     met = ends.withColumn("next", F.lead("left").over(order)).withColumn("next_at", F.lead("left_at").over(order))
     met = met.withColumn("at", F.try_element_at(F.array_intersect("right", "next"), F.lit(1)))
