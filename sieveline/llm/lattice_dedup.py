@@ -17,7 +17,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.llm._shared import BLOCK_ROWS, comparison_units, components, forest, partitions, written
+from sieveline.llm._shared import BLOCK_ROWS, comparison_units, components, partitions, written
 
 THRESHOLD = 0.9
 TABLES = 12
@@ -141,32 +141,61 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, key: np.ndarray, table: np.ndar
     return first
 
 
+def spanning(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (child, root) that connect what the given edges connect; the root is the smallest node."""
+    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = at.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        np.minimum.at(root, before, root)  # what was a root takes along what hung on it
+        root = root[root]
+        if np.array_equal(root, before):
+            break
+    own = root != np.arange(len(nodes))
+    return nodes[own], nodes[root[own]]
+
+
+#: Pairs that a task holds at once, and pairs after which it tells what they come to.
+PAIRS_AT_ONCE = 1 << 15
+PAIRS_TOLD = 1 << 18
+
+
 def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: int, dense: int = 12):
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     made: dict[int, np.ndarray] = {}
 
-    def firsts(x: np.ndarray, p: np.ndarray, q: np.ndarray, key: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Whether each pair of rows first meets in its cell."""
-        used, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    def keys_of(x: np.ndarray) -> np.ndarray:
         planes = made.setdefault(x.shape[1], projections(x.shape[1], tables, blocks, seed))
-        keys = cell_keys(x[used], planes, scale) ^ (x.shape[1] << 40)
-        return _first_meeting(keys[at[: len(p)]], keys[at[len(p) :]], key, table)
-
-    def compare(x: np.ndarray, c: dict[str, np.ndarray]) -> np.ndarray:
-        """All pairs within the units of sorted rows that reach the threshold and first meet there; rows node, node, copies, copies."""
+        return cell_keys(x, planes, scale) ^ (x.shape[1] << 40)
+
+    def told(c: dict[str, np.ndarray], keys: np.ndarray, first: int, p: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
+        """Of pairs of rows those that first meet in their cell, as node, node, copies, copies; ``keys`` are those of the rows from ``first`` on."""
+        for s in range(0, len(p), PAIRS_AT_ONCE):
+            i, j = p[s : s + PAIRS_AT_ONCE], q[s : s + PAIRS_AT_ONCE]
+            ok = _first_meeting(keys[i - first], keys[j - first], c["key"][i], c["at"][i])
+            i, j = i[ok], j[ok]
+            yield np.stack([c["node"][i], c["node"][j], c["copies"][i], c["copies"][j]])
+
+    def compare(x: np.ndarray, c: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """All pairs within the units of sorted rows that reach the threshold and first meet there, some at a time."""
         key, low, high = c["key"], c["low"], c["high"]
         new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
         sizes = np.diff(np.append(new, len(key)))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
         for s, n in zip(new[sizes > dense].tolist(), sizes[sizes > dense].tolist()):
             rows = np.arange(s, s + n)
             same = low[s] == high[s]
             left = rows if same else rows[c["block"][rows] == low[s]]
             right = rows if same else rows[c["block"][rows] == high[s]]
-            for t in range(0, len(left), 512):
-                p, q = np.nonzero(x[left[t : t + 512]] @ x[right].T >= threshold)
+            keys = keys_of(x[rows])
+            step = max(1, 4 * PAIRS_AT_ONCE // max(1, len(right)))
+            for t in range(0, len(left), step):
+                p, q = np.nonzero(x[left[t : t + step]] @ x[right].T >= threshold)
                 p, q = left[t + p], right[q]
-                found.append((p[p < q], q[p < q]) if same else (p, q))
+                yield from told(c, keys, s, *((p[p < q], q[p < q]) if same else (p, q)))
         left = np.repeat(np.where(sizes <= dense, sizes, 0), sizes) - (np.arange(len(key)) - np.repeat(new, sizes))  # rows of the unit from here on
         at = np.flatnonzero(left > 1)
         for lag in range(1, dense):
@@ -174,30 +203,35 @@ def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: in
             if not len(at):
                 break
             hit = at[(np.einsum("ij,ij->i", x[at], x[at + lag]) >= threshold) & ((low[at] == high[at]) | (c["block"][at] != c["block"][at + lag]))]
-            found.append((hit, hit + lag))
-        out = []
-        for p, q in found:
-            for s in range(0, len(p), 1 << 15):
-                i, j = p[s : s + (1 << 15)], q[s : s + (1 << 15)]
-                ok = firsts(x, i, j, key[i], c["at"][i])
-                i, j = i[ok], j[ok]
-                out.append(np.stack([c["node"][i], c["node"][j], c["copies"][i], c["copies"][j]]))
-        return np.concatenate(out, axis=1) if out else np.empty((4, 0), np.int64)
-
-    def told(pairs: np.ndarray) -> pa.RecordBatch:
+            for s in range(0, len(hit), PAIRS_AT_ONCE):
+                p = hit[s : s + PAIRS_AT_ONCE]
+                used, where = np.unique(np.concatenate([p, p + lag]), return_inverse=True)
+                keys = keys_of(x[used])
+                ok = _first_meeting(keys[where[: len(p)]], keys[where[len(p) :]], key[p], c["at"][p])
+                i, j = p[ok], p[ok] + lag
+                yield np.stack([c["node"][i], c["node"][j], c["copies"][i], c["copies"][j]])
+
+    def summed(pairs: np.ndarray) -> pa.RecordBatch:
         """Counts of links by node (kind 0) and edges of a forest (kind 1): at most twice as many rows as nodes."""
         nodes, at = np.unique(pairs[:2].reshape(-1), return_inverse=True)
         counts = np.zeros(len(nodes), np.int64)
         np.add.at(counts, at.reshape(-1), pairs[[3, 2]].reshape(-1))  # a link counts as often as the partner occurs
-        tree = np.array(forest(pairs[0].tolist(), pairs[1].tolist()), np.int64).reshape(-1, 2)
-        kind = np.repeat(np.array([0, 1], np.int32), [len(nodes), len(tree)])
-        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([nodes, tree[:, 0]])), pa.array(np.concatenate([counts, tree[:, 1]]))], schema=schema)
+        child, root = spanning(pairs[0], pairs[1])
+        kind = np.repeat(np.array([0, 1], np.int32), [len(nodes), len(child)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([nodes, child])), pa.array(np.concatenate([counts, root]))], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("key", "low", "high", "block", "node", "copies", "at")
         held: dict[int, list[tuple[np.ndarray, dict[str, np.ndarray]]]] = {}  # by dimensions, which a key depends on: the rows of a unit that may go on
         out: list[np.ndarray] = []
 
+        def compared(parts: list) -> Iterator[pa.RecordBatch]:
+            for pairs in compare(*joined(parts)):
+                out.append(pairs)
+                if sum(x.shape[1] for x in out) > PAIRS_TOLD:
+                    yield summed(np.concatenate(out, axis=1))
+                    out.clear()
+
         def joined(parts: list) -> tuple[np.ndarray, dict[str, np.ndarray]]:
             return np.concatenate([p[0] for p in parts]), {n: np.concatenate([p[1][n] for p in parts]) for n in names}
 
@@ -208,14 +242,12 @@ def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: in
                 last = np.flatnonzero((c["key"] != c["key"][-1]) | (c["low"] != c["low"][-1]) | (c["high"] != c["high"][-1]))
                 cut = int(last[-1]) + 1 if len(last) else 0
                 if cut:
-                    out.append(compare(*joined([*held.pop(dims, []), (x[:cut], {n: v[:cut] for n, v in c.items()})])))
+                    yield from compared([*held.pop(dims, []), (x[:cut], {n: v[:cut] for n, v in c.items()})])
                 held.setdefault(dims, []).append((x[cut:], {n: v[cut:] for n, v in c.items()}))
-            if sum(x.shape[1] for x in out) > 200_000:
-                yield told(np.concatenate(out, axis=1))
-                out.clear()
-        out += [compare(*joined(parts)) for parts in held.values()]
+        for parts in held.values():
+            yield from compared(parts)
         if out:
-            yield told(np.concatenate(out, axis=1))
+            yield summed(np.concatenate(out, axis=1))
 
     return run
 
