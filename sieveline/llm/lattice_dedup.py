@@ -172,11 +172,16 @@ def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: in
         planes = made.setdefault(x.shape[1], projections(x.shape[1], tables, blocks, seed))
         return cell_keys(x, planes, scale) ^ (x.shape[1] << 40)
 
-    def told(c: dict[str, np.ndarray], keys: np.ndarray, first: int, p: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
-        """Of pairs of rows those that first meet in their cell, as node, node, copies, copies; ``keys`` are those of the rows from ``first`` on."""
+    def told(x: np.ndarray, c: dict[str, np.ndarray], keys: dict[str, np.ndarray], first: int, p: np.ndarray, q: np.ndarray) -> Iterator[np.ndarray]:
+        """Of pairs of rows those that first meet in their cell, as node, node, copies, copies; ``keys`` are of the rows from ``first`` on, found when a row is first in a pair."""
         for s in range(0, len(p), PAIRS_AT_ONCE):
             i, j = p[s : s + PAIRS_AT_ONCE], q[s : s + PAIRS_AT_ONCE]
-            ok = _first_meeting(keys[i - first], keys[j - first], c["key"][i], c["at"][i])
+            used = np.zeros(len(keys["known"]), bool)
+            used[i - first] = used[j - first] = True
+            fresh = np.flatnonzero(used & ~keys["known"])
+            if len(fresh):
+                keys["keys"][fresh], keys["known"][fresh] = keys_of(x[first + fresh]), True
+            ok = _first_meeting(keys["keys"][i - first], keys["keys"][j - first], c["key"][i], c["at"][i])
             i, j = i[ok], j[ok]
             yield np.stack([c["node"][i], c["node"][j], c["copies"][i], c["copies"][j]])
 
@@ -190,12 +195,12 @@ def _compared(threshold: float, tables: int, blocks: int, scale: float, seed: in
             same = low[s] == high[s]
             left = rows if same else rows[c["block"][rows] == low[s]]
             right = rows if same else rows[c["block"][rows] == high[s]]
-            keys = keys_of(x[rows])
+            keys = {"known": np.zeros(n, bool), "keys": np.empty((n, tables, 1 + blocks), np.int64)}
             step = max(1, 4 * PAIRS_AT_ONCE // max(1, len(right)))
             for t in range(0, len(left), step):
                 p, q = np.nonzero(x[left[t : t + step]] @ x[right].T >= threshold)
                 p, q = left[t + p], right[q]
-                yield from told(c, keys, s, *((p[p < q], q[p < q]) if same else (p, q)))
+                yield from told(x, c, keys, s, *((p[p < q], q[p < q]) if same else (p, q)))
         left = np.repeat(np.where(sizes <= dense, sizes, 0), sizes) - (np.arange(len(key)) - np.repeat(new, sizes))  # rows of the unit from here on
         at = np.flatnonzero(left > 1)
         for lag in range(1, dense):
