@@ -95,10 +95,10 @@ class TextSegments:
 
     # ---- changes ----
     def _segment(self, docs: DataFrame) -> dict:
-        """Writes documents (doc_id, path, dl, terms, tfs) as a segment, by path, and their postings by term."""
+        """Writes documents (doc_id, path, dl, terms, tfs) as a segment, as they are dealt and by path within, and their postings by term."""
         name = uuid.uuid4().hex
         at = f"{self.folder}/{name}"
-        docs.repartitionByRange("path", "doc_id").sortWithinPartitions("path").withColumn("n", F.monotonically_increasing_id()).select("n", "doc_id", "path", "dl", "terms", "tfs").write.parquet(f"{at}/docs")
+        docs.sortWithinPartitions("path").withColumn("n", F.monotonically_increasing_id()).select("n", "doc_id", "path", "dl", "terms", "tfs").write.parquet(f"{at}/docs")
         stored = self.spark.read.schema(DOC).parquet(f"{at}/docs")
         each = stored.select("n", "doc_id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("_t")).select(F.col("_t.terms").alias("term"), "n", "doc_id", F.col("_t.tfs").alias("tf"), "dl")
         each.repartitionByRange("term", "n").sortWithinPartitions("term", "n").write.parquet(f"{at}/postings")
@@ -155,7 +155,7 @@ class TextSegments:
             if full is None:
                 break
             ids = [s["id"] for s in full]
-            whole = self._segment(self._docs(m, ids).drop("segment", "n"))
+            whole = self._segment(self._docs(m, ids).drop("segment", "n").repartitionByRange("path", "doc_id"))
             left = self._deleted(m).where(~F.col("segment").isin(ids))
             m["segments"] = [s for s in m["segments"] if s["id"] not in ids] + ([whole] if whole["docs"] else [])
             m["deleted"] = [] if not m["deleted"] or left.isEmpty() else [self._new(left)]
@@ -170,7 +170,7 @@ class TextSegments:
         if m is None:
             return
         fresh = json.loads(json.dumps(EMPTY))
-        self._add(fresh, self._docs(m).drop("segment", "n"))
+        self._add(fresh, self._docs(m).drop("segment", "n").repartitionByRange("path", "doc_id"))
         self._commit(fresh)
         for name in {s["id"] for s in m["segments"]} | {*m["terms"], *m["deleted"]}:
             delete(self.spark, f"{self.folder}/{name}")

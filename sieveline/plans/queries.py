@@ -107,8 +107,9 @@ def _bm25(spark, sf_dir) -> DataFrame:
 
 @query("text_index_build", _INDEX + " SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY doc_id, term) GROUP BY term")
 def text_index_build(spark, sf_dir):
-    """What a build does for the text index, from the texts on, summed by term."""
-    return search.postings_of(a.chunks(spark, sf_dir)).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+    """The words of all texts, counted within each as a build does, and summed by term; ``text_index_update`` writes its segments."""
+    each = search.cut(a.chunks(spark, sf_dir)).select(F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
+    return each.groupBy(F.col("t.terms").alias("term")).agg(F.count(F.lit(1)).alias("df"), F.sum("t.tfs").alias("n"))
 
 
 _UPDATED = f"""WITH now AS (SELECT * FROM ({a.CHUNKS}) WHERE doc_id % 11 <> 1), toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(concat(path, chr(10), symbol, chr(10), content)), '[^a-z0-9_]+'), lambda t: t <> '') AS t FROM now)
