@@ -27,3 +27,7 @@ class SearchError(EngineError):
 
 class ConfigError(EngineError):
     """The configuration is invalid."""
+
+
+class WriteConflictError(EngineError):
+    """Another writer changed the relation in the meantime; what was staged isn't part of it."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -106,9 +106,11 @@ class BallIndex:
         whole = StructType([*schema.fields]).add("away", DoubleType()).add("ball", IntegerType())
         return self.spark.read.schema(whole).parquet(f"{at}/rows")
 
-    def nearest(self, query: list[float], k: int, where: Column | None = None, more: DataFrame | None = None, wave: int = 4) -> Nearest:
+    def nearest(self, query: list[float], k: int, where: Column | None = None, more: DataFrame | None = None, wave: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None) -> Nearest:
         """The k best rows by score, then key, of those that ``where`` holds for, with ``more`` rows (key, vector) that the index hasn't: (key, score, rank).
 
+        ``keep`` takes rows out that are gone since the index was built, such as by a join.
+
         Balls are read ``wave`` at first, then twice as many each time, as long as some may hold what belongs to the result.
         """
         m = self.manifest
@@ -133,7 +135,8 @@ class BallIndex:
                     break
                 read += len(now)
                 rows = self._stored(at, schema).where(F.col("ball").isin(now))
-                scored = vector_scores(rows if where is None else rows.where(where), query, self.key, m["metric"])
+                rows = rows if where is None else rows.where(where)
+                scored = vector_scores(rows if keep is None else keep(rows), query, self.key, m["metric"])
                 best = self._kept(scored.unionByName(self._frame(best, schema)), k)
         return Nearest(top_k(self._frame(best, schema), k, self.key), read, len(balls))
 

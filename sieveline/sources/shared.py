@@ -9,6 +9,7 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 #: The folder whose contents go when the work ends that this thread is at.
@@ -77,6 +78,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(target), how)
 
 
+def publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file of the shared folder as a whole unless there is one of that name already; of several writers one is told True."""
+    target, fs = _file(spark, path)
+    staged = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(staged, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    none = spark._sc._gateway.new_array(getattr(spark._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(staged), fs.makeQualified(target), none)
+    except Py4JJavaError as e:
+        fs.delete(staged, False)
+        if fs.exists(target) and "FileAlreadyExistsException" in e.java_exception.getClass().getName():
+            return False
+        raise
+    return True
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of the shared folder, in order; none if there is no such folder."""
+    found, fs = _file(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(found)) if fs.exists(found) else []
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files in a folder."""
+    found, fs = _file(spark, path)
+    return fs.getContentSummary(found).getLength()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Work paths that are made inside go when it ends, so what is to last must have been written elsewhere by then."""
