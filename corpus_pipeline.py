@@ -14,8 +14,9 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Adds ``_key``, a hash of all columns in which nulls count: rows share it only if they are the same throughout."""
-    return docs.withColumn("_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    """Adds ``_key``, the SHA-256 of all columns, each with its length and nulls apart: rows share it only if they are the same throughout."""
+    told = (F.col(c).cast("string") for c in COLUMNS)
+    return docs.withColumn("_key", F.sha2(F.concat(*(F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in told)), 256))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,11 +34,12 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without an id come after those with one; of one id, and of rows that are the same in all columns, one row stays.
     Texts without words (a null one, too) are copies of each other; an empty table stays empty.
     """
-    rows = _keyed(docs)
-    groups = golay_simhash.near_copies(rows, "_key")
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key")
-    best = rows.select("_key", "doc_id").join(groups, "_key").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first._key").alias("_key"))
-    return rows.join(best, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    # rows that are the same go first, so that the others can be told by numbers, which a table keeps as they are
+    rows = written(_keyed(docs).dropDuplicates(["_key"]).withColumn("_n", F.monotonically_increasing_id()), "rows")
+    groups = golay_simhash.near_copies(rows, "_n")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_key", "_n")
+    best = rows.select("_n", "_key", "doc_id").join(groups, "_n").groupBy("component").agg(F.min(first).alias("first")).select(F.col("first._n").alias("_n"))
+    return rows.join(best, "_n", "left_semi").select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
