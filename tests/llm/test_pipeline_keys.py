@@ -34,3 +34,19 @@ def test_no_labels_at_all(spark, tmp_path):
     rows = [(1, "a b"), (2, "½"), (None, "z"), (3, None)]
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r["text"] for r in corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()} == {"a b", "z"}
+
+
+def test_keys_tell_all_columns_apart(spark):
+    rows = [(1, "ab", "c", "s", 2), (1, "a", "bc", "s", 2), (1, None, "c", "s", 2), (1, "-", "c", "s", 2), (1, "", "c", "s", 2), (1, "2:ab", "c", "s", 2), (None, "ab", "c", "s", 2), (12, "ab", "c", "s", None), (1, "ab", None, "s", 2), (1, "é", "c", "s", 2)]
+    docs = spark.createDataFrame(rows + rows, "doc_id long, text string, lang string, source string, n_chars long")
+    keyed = corpus_pipeline._keyed(docs).collect()
+    assert len({r["_key"] for r in keyed}) == len(rows) == len({tuple(r) for r in keyed}) and all(len(r["_key"]) == 64 for r in keyed)
+
+
+def test_rows_that_are_the_same_leave_one(spark, tmp_path):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, text, "en", "s", 1)] * 40 + [(5, text, "de", "s", 1)] * 3 + [(4, f"{text} end", "en", "s", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted([(4, f"{text} end", "en", "s", 1), (None, None, None, None, None)], key=str)
+    assert corpus_pipeline.near_stage(spark, docs.where("false"), str(tmp_path)).count() == 0
