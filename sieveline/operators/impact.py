@@ -14,21 +14,21 @@ from sieveline.sources.shared import written
 FOLLOWED = ("calls", "imports", "inherits")
 
 
-def seeds(node: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The node, and the method of the same name of each parent its class inherits from. ``node`` has (id)."""
-    own = node.select("id", F.substring_index("id", "::", 1).alias("_file"), qualified_of(F.col("id")).alias("_q"))
+def seeds(node: DataFrame, nodes: DataFrame, edges: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
+    """The node, and the method of the same name of each parent its class inherits from. ``node`` has (id), and columns that go with it in ``tags``."""
+    own = node.select(*tags, "id", F.substring_index("id", "::", 1).alias("_file"), qualified_of(F.col("id")).alias("_q"))
     method = own.where(F.contains("_q", F.lit("."))).select(
-        F.concat("_file", F.lit("::"), F.expr("left(_q, length(_q) - length(substring_index(_q, '.', -1)) - 1)")).alias("_class"), F.substring_index("_q", ".", -1).alias("_name")
+        *tags, F.concat("_file", F.lit("::"), F.expr("left(_q, length(_q) - length(substring_index(_q, '.', -1)) - 1)")).alias("_class"), F.substring_index("_q", ".", -1).alias("_name")
     )
-    parents = method.join(edges.where("kind = 'inherits'"), F.col("_class") == F.col("source")).select(F.concat("target", F.lit("."), "_name").alias("id"))
-    return node.select("id").unionByName(parents.join(nodes.select("id"), "id", "left_semi")).distinct()
+    parents = method.join(edges.where("kind = 'inherits'"), F.col("_class") == F.col("source")).select(*tags, F.concat("target", F.lit("."), "_name").alias("id"))
+    return node.select(*tags, "id").unionByName(parents.join(nodes.select("id"), "id", "left_semi")).distinct()
 
 
-def phantom_aliases(of: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def phantom_aliases(of: DataFrame, nodes: DataFrame, edges: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
     """Missing targets that end in ``::`` and a seed's qualified name, or are its bare name: an equality on the derived key."""
     missing = edges.select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-    names = of.select(qualified_of(F.col("id")).alias("_q")).where("_q is not null").distinct()
-    return missing.withColumn("_q", F.substring_index("id", "::", -1)).join(names, "_q").where(F.contains("id", F.lit("::"))).select("id").distinct()
+    names = of.select(*tags, qualified_of(F.col("id")).alias("_q")).where("_q is not null").distinct()
+    return missing.withColumn("_q", F.substring_index("id", "::", -1)).join(names, "_q").where(F.contains("id", F.lit("::"))).select(*tags, "id").distinct()
 
 
 def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -51,10 +51,29 @@ def reach(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> D
     return seen
 
 
-def suppress_modules(found: DataFrame) -> DataFrame:
+def reach_many(start: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(origin, id, hop): as ``reach`` for every origin of ``start`` (origin, id) at once, in one plan that writes nothing on the way.
+
+    A hop joins what has been met with the edges and with a step from each node to itself, which keeps what was met
+    before: so each hop reads the last one once, and a pair of origin and node is one row however many ways lead to it.
+    """
+    followed = edges.where(F.col("kind").isin(*FOLLOWED)).select("source", "target").distinct()
+    modules = nodes.where("kind = 'module'").select(F.col("id").alias("target"))
+    onward = followed.join(modules, "target", "left_anti").select("target", "source", F.lit(True).alias("on"))
+    # all that a hop can have met is the source of an edge
+    stay = followed.select(F.col("source").alias("target"), "source", F.lit(False).alias("on")).distinct()
+    steps = onward.unionByName(stay)
+    met = start.select("origin", F.col("id").alias("target")).distinct().join(followed, "target").select("origin", F.col("source").alias("id"), F.lit(1).alias("hop")).distinct()
+    for hop in range(2, max(1, depth) + 1):
+        walked = met.withColumnRenamed("id", "target").join(steps, "target").where(~F.col("on") | (F.col("hop") == hop - 1))
+        met = walked.groupBy("origin", F.col("source").alias("id")).agg(F.min(F.when(F.col("on"), hop).otherwise(F.col("hop"))).alias("hop"))
+    return met
+
+
+def suppress_modules(found: DataFrame, tags: tuple[str, ...] = ()) -> DataFrame:
     """Drops a module if something else of its file is reported."""
-    inner = found.where("kind <> 'module'").select("file_path").distinct().withColumn("_inner", F.lit(True))
-    return found.join(inner, "file_path", "left").where("not (kind = 'module' and _inner is not null)").drop("_inner")
+    inner = found.where("kind <> 'module'").select(*tags, "file_path").distinct().withColumn("_inner", F.lit(True))
+    return found.join(inner, [*tags, "file_path"], "left").where("not (kind = 'module' and _inner is not null)").drop("_inner")
 
 
 def impact_radius(node: str, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
@@ -67,6 +86,20 @@ def impact_radius(node: str, nodes: DataFrame, edges: DataFrame, depth: int = 2)
     return suppress_modules(found)
 
 
+def impact_radius_many(asked: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """``impact_radius`` of each node id in ``asked`` (id), with the id that was asked for as ``origin``; one job for all of them.
+
+    Repeated ids count once, a null one and one that nothing depends on have no rows; an empty table gives an empty result.
+    """
+    tags = ("origin",)
+    own = asked.where("id is not null").select(F.col("id").alias("origin"), "id").distinct()
+    start = seeds(own, nodes, edges, tags)
+    start = start.unionByName(phantom_aliases(start, nodes, edges, tags))
+    module = F.substring_index("origin", "::", 1)
+    found = reach_many(start, nodes, edges, depth).join(nodes, "id").where((F.col("id") != module) | (F.col("origin") == module))
+    return suppress_modules(found, tags)
+
+
 @dataclass
 class Impact:
     """What a request for a symbol found: the node, rows of what depends on it, a warning and a hint."""
