@@ -68,6 +68,11 @@ class TextIndex:
         known = queries.join(df, "term").crossJoin(F.broadcast(self.corpus))  # one row of statistics
         return known.join(postings, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
+    def best(self, asked: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, score, rank) of the ``k`` best for each question, of those in ``within``; ``blocks.BlockIndex`` gives the same without scoring every posting."""
+        scored = self.scores(asked)
+        return top_k(scored if within is None else scored.join(within.select("doc_id"), "doc_id", "left_semi"), k, partition=["query_id"])
+
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row's distinct words and how often it has them, from its list of words, which comes last; no row leaves its task."""
@@ -182,11 +187,13 @@ def search(chunks: DataFrame, vectors: DataFrame, query: str | None, query_vecto
     return finish(ranked, k)
 
 
-def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, index: TextIndex | None = None) -> DataFrame:
-    """Text search for every row of ``queries`` (query_id, query) at once; one ranked result set each."""
+def batch_search(chunks: DataFrame, queries: DataFrame, k: int = 5, prefix: str | None = None, aliases: list[str] | None = None, include_tests: bool = True, index=None) -> DataFrame:
+    """Text search for every row of ``queries`` (query_id, query) at once; one ranked result set each. ``index`` is a ``TextIndex`` or a ``BlockIndex``."""
     found = chunks.where(scope(F.col("path"), prefix, aliases, include_tests))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
-    scored = (index.scores(asked) if index is not None else bm25(*build_postings(chunks), asked)).join(found.select("doc_id"), "doc_id", "left_semi")
-    leg = top_k(scored, 2 * k, partition=["query_id"])
+    if index is not None:
+        leg = index.best(asked, 2 * k, found.select("doc_id"))
+    else:
+        leg = top_k(bm25(*build_postings(chunks), asked).join(found.select("doc_id"), "doc_id", "left_semi"), 2 * k, partition=["query_id"])
     fused = top_k(fuse([leg], partition=["query_id"]), 2 * k, partition=["query_id"])
     return finish(found.join(fused, "doc_id").withColumn("search_mode", F.lit("text")), k, ["query_id"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import parsers, scalar
 from sieveline.functions.embed import HashingEmbedder, embed_column
-from sieveline.operators import balls, graph, impact, incremental, predicates, ranking, search, segments, state
+from sieveline.operators import balls, blocks, graph, impact, incremental, predicates, ranking, search, segments, state
 from sieveline.plans import adapters as a
 from sieveline.sources.shared import kept, work_path
 from sieveline.streaming import events as ev
@@ -194,16 +194,27 @@ def search_pipeline(spark, sf_dir):
 _MANY = "SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: t <> '')) AS term FROM benchmark)"
 
 
-@query(
-    "batch_search",
-    f"""{_bm25_sql(_MANY)}, b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm), b2 AS (SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + r), 4) AS score FROM b1 WHERE r <= 10),
+_BATCH = f"""{_bm25_sql(_MANY)}, b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM bm), b2 AS (SELECT query_id, doc_id, round(1.0::DOUBLE / (60 + r), 4) AS score FROM b1 WHERE r <= 10),
     b3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM b2),
     boosted AS (SELECT query_id, doc_id, path, start_line, end_line, symbol, content, score * ({FACTOR}) AS score, r FROM b3 JOIN chunks USING (doc_id)),
-    ranked2 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank FROM boosted), {_KEPT.format(k=5)}, {_TIERS} SELECT query_id, doc_id, {_OUT} FROM tiered""",
-)
+    ranked2 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, r) AS rank FROM boosted), {_KEPT.format(k=5)}, {_TIERS} SELECT query_id, doc_id, {_OUT} FROM tiered"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    return a.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+@query("batch_search", _BATCH)
 def batch_search(spark, sf_dir):
-    asked = a.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return search.batch_search(a.chunks(spark, sf_dir), asked, index=text_index(spark, sf_dir)).select("query_id", "doc_id", *_hit())
+    return search.batch_search(a.chunks(spark, sf_dir), _asked(spark, sf_dir), index=text_index(spark, sf_dir)).select("query_id", "doc_id", *_hit())
+
+
+@query("batch_search_blocks", _BATCH)
+def batch_search_blocks(spark, sf_dir):
+    """The same from blocks that know their largest weight, of which those are opened that can hold one of the best; written as the text index is."""
+    built = blocks.BlockIndex.of(text_index(spark, sf_dir))
+    index = blocks.BlockIndex(kept(spark, sf_dir, "block-terms", lambda: built.terms), kept(spark, sf_dir, "blocks", lambda: built.blocks))
+    return search.batch_search(a.chunks(spark, sf_dir), _asked(spark, sf_dir), index=index).select("query_id", "doc_id", *_hit())
 
 
 # ---- hits ----
