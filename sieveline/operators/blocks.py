@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sieveline.operators.search import B, K1, TextIndex, top_k
+from sieveline.sources.shared import scratch, work_path, written
 
 #: Postings that a block holds about; for each match wanted, postings from which the first bound comes and documents whose whole scores do.
 ROWS, FIRST, LEADERS = 64, 16, 4
@@ -91,45 +92,59 @@ class BlockIndex:
         return held.select("query_id", self.key, "part").unionByName(found).groupBy("query_id", self.key).agg(F.sum("part").alias("part"))
 
     def _steps(self, asked: DataFrame, k: int, within: DataFrame | None) -> dict[str, DataFrame]:
-        known = self._known(asked)
+        """What each step leaves is a table of the shared folder, as later steps read it more than once: some rows a question, and documents still in question."""
+        known = written(self._known(asked), "known")
         early = F.col("before") < FIRST * k
         first = known.where(early)
         # whole scores of those that lead by the first terms bound the k-th best from below
         leaders = top_k(self._parts(first, within).withColumnRenamed("part", "score"), LEADERS * k, self.key, ["query_id"]).withColumnRenamed("score", "part")
+        leaders = written(leaders, "leaders")
         checked = self._wanted(leaders, known.where(~early))
         tried = self._opened(checked)
-        least = self._least(self._whole(leaders, checked, tried), k, "least")
+        least = written(self._least(self._whole(leaders, checked, tried), k, "least"), "least")
         split = known.join(least, "query_id", "left").withColumn("read", F.coalesce(F.col("rest") >= F.col("least"), F.lit(True)))
         later = split.where("not read")
         bounds = later.groupBy("query_id").agg(F.max("rest").alias("rest"), F.first("least").alias("least"))
         parts = self._parts(split.where("read"), within)
         held = parts.join(bounds, "query_id", "left").where(F.coalesce(F.col("part") + F.col("rest") >= F.col("least"), F.lit(True)))
+        held = written(held, "held")
+        # those that lead now bound the k-th best more sharply, and few are left to be looked up
+        ahead = written(top_k(held.withColumnRenamed("part", "score"), LEADERS * k, self.key, ["query_id"]).withColumnRenamed("score", "part"), "ahead")
+        checked = self._wanted(ahead, later)
+        again = self._opened(checked)
+        least = written(self._least(self._whole(ahead, checked, again), k, "nearer"), "nearer")
+        held = held.join(least, "query_id", "left").withColumn("least", F.greatest("least", "nearer")).drop("nearer")
+        held = written(held.where(F.coalesce(F.col("part") + F.col("rest") >= F.col("least"), F.lit(True))), "held")
         # what the blocks that a document would be in can add; a block that isn't there adds nothing
         places = self._wanted(held, later).join(self.blocks.select("term", "block", "top"), ["term", "block"])
         able = places.groupBy("query_id", self.key).agg(F.sum(F.col("idf") * F.col("top")).alias("more"), F.collect_list(F.struct("term", "block", "idf")).alias("at"))
         able = able.join(held, ["query_id", self.key]).where(F.col("part") + F.col("more") >= F.col("least"))
-        wanted = able.select("query_id", self.key, F.inline("at"))
-        return {"first": first, "tried": tried, "split": split, "held": held, "wanted": wanted, "opened": self._opened(wanted)}
+        wanted = written(able.select("query_id", self.key, F.inline("at")), "wanted")
+        return {"first": first, "tried": tried, "again": again, "split": split, "held": held, "wanted": wanted, "opened": self._opened(wanted)}
 
     def best(self, asked: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
         """(query_id, key, score to six places, rank): the ``k`` best for each question of ``asked``, distinct (query_id, term).
 
-        ``within`` has the keys that count; what others score bounds nothing.
+        ``within`` has the keys that count; what others score bounds nothing. The search runs when it is called; its result, ``k`` rows a question, is what stays of it.
         """
-        s = self._steps(asked, k, within)
-        whole = self._whole(s["held"], s["wanted"], s["opened"])
-        return top_k(whole.select("query_id", self.key, F.round("part", 6).alias("score")), k, self.key, ["query_id"])
+        path = work_path(asked.sparkSession, "best")
+        with scratch(asked.sparkSession):
+            s = self._steps(asked, k, within)
+            whole = self._whole(s["held"], s["wanted"], s["opened"])
+            return written(top_k(whole.select("query_id", self.key, F.round("part", 6).alias("score")), k, self.key, ["query_id"]), "best", path)
 
     def reads(self, asked: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
         """One row: postings that are gone through for the first bound (``first``, ``tried``), for terms that are read and in blocks that are opened, and all postings of the questions' terms.
 
         Those of a term that is read count once for each question that reads it, as they do in ``whole``.
         """
-        s = self._steps(asked, k, within)
-        count = [
-            s["first"].agg(F.coalesce(F.sum("df"), F.lit(0)).alias("first")),
-            s["tried"].agg(F.count(F.lit(1)).alias("tried")),
-            s["split"].agg(F.coalesce(F.sum(F.when(F.col("read"), F.col("df"))), F.lit(0)).alias("read"), F.coalesce(F.sum("df"), F.lit(0)).alias("whole")),
-            s["opened"].agg(F.count(F.lit(1)).alias("opened")),
-        ]
-        return count[0].crossJoin(count[1]).crossJoin(count[2]).crossJoin(count[3])  # one row each
+        path = work_path(asked.sparkSession, "reads")
+        with scratch(asked.sparkSession):
+            s = self._steps(asked, k, within)
+            count = [
+                s["first"].agg(F.coalesce(F.sum("df"), F.lit(0)).alias("first")),
+                s["tried"].unionByName(s["again"]).agg(F.count(F.lit(1)).alias("tried")),
+                s["split"].agg(F.coalesce(F.sum(F.when(F.col("read"), F.col("df"))), F.lit(0)).alias("read"), F.coalesce(F.sum("df"), F.lit(0)).alias("whole")),
+                s["opened"].agg(F.count(F.lit(1)).alias("opened")),
+            ]
+            return written(count[0].crossJoin(count[1]).crossJoin(count[2]).crossJoin(count[3]), "reads", path)  # one row each
