@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from sieveline.errors import EmbeddingDimensionError, ScoreColumnError
 from sieveline.functions.scalar import distance, search_text
 from sieveline.operators import ranking
 from sieveline.operators.predicates import check_query, scope, truncate_content
+from sieveline.sources.shared import written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -31,13 +33,11 @@ def query_terms(query: str) -> list[str]:
 
 
 def build_postings(chunks: DataFrame, key: str = "doc_id", text: Column | None = None, terms: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """postings (term, key, tf) and lengths (key, dl). Given ``terms``, others are dropped before anything is exploded."""
+    """postings (term, key, tf) and lengths (key, dl), from texts that are cut once into a table of the shared folder. Given ``terms``, others are dropped as they are cut."""
     text = search_text(F.col("path"), F.col("symbol"), F.col("content")) if text is None else text
-    cut = chunks.select(key, tokens(text).alias("_t"))
-    lengths = cut.select(key, F.size("_t").alias("dl"))
-    wanted = F.filter("_t", lambda t: t.isin(terms)) if terms is not None else F.col("_t")
-    postings = cut.select(key, F.explode(wanted).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-    return postings, lengths
+    each = written(cut(chunks.withColumn("_some", text.isNotNull()), key, text, ("_some",), terms), "cut")
+    postings = each.select(key, F.explode(F.arrays_zip("terms", "tfs")).alias("_t")).select(F.col("_t.terms").alias("term"), key, F.col("_t.tfs").alias("tf"))
+    return postings, each.select(key, F.when(F.col("_some"), F.col("dl")).alias("dl"))  # a chunk without a text has no length
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, queries: DataFrame, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
@@ -74,24 +74,73 @@ class TextIndex:
         return top_k(scored if within is None else scored.join(within.select("doc_id"), "doc_id", "left_semi"), k, partition=["query_id"])
 
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row's distinct words and how often it has them, from its list of words, which comes last; no row leaves its task."""
-    for batch in batches:
-        words = batch.columns[-1]
-        flat = words.flatten().dictionary_encode()
-        known, sizes = max(1, len(flat.dictionary)), np.diff(words.offsets.to_numpy())
-        pairs, times = np.unique(np.repeat(np.arange(len(batch)), sizes) * known + flat.indices.to_numpy().astype(np.int64), return_counts=True)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pairs // known, minlength=len(batch)))]).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, x) for x in (flat.dictionary.take(pa.array(pairs % known)), pa.array(times.astype(np.int32)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes.astype(np.int32)), *lists], names=[*batch.schema.names[:-1], "dl", "terms", "tfs"])
-
-
-def cut(chunks: DataFrame, key: str = "doc_id", text: Column | None = None, more: tuple[str, ...] = ()) -> DataFrame:
-    """(key, more columns, dl, terms, tfs): the words of each chunk, counted before anything is exploded or shuffled."""
+#: Bytes of text that a task cuts at once; a longer text stands alone.
+SLICE_BYTES = 2_000_000
+#: Of each byte, whether words hold it; those of other characters are all above 127.
+_HELD = np.array([chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789_" for b in range(256)])
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts in lower case, and where each text's start among them and the last ends."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+    held, at = _HELD[raw], at - at[0]
+    begins, ends = held.copy(), held.copy()
+    begins[1:] &= ~held[:-1]
+    ends[:-1] &= ~held[1:]
+    # a word ends with its text
+    cuts = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
+    begins[cuts], ends[cuts - 1] = held[cuts], held[cuts - 1]
+    starts = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) + 1 - starts
+    upto = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(upto), pa.py_buffer(raw[held]))
+    return words, np.searchsorted(starts, at)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about so many bytes together."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else [0]
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(at, at[start] + SLICE_BYTES, "right")) - 1)
+        yield start, end
+        start = end
+
+
+def counted(terms: list[str] | None = None):
+    """Each row's distinct words and how often it has them, from its text in lower case, which comes last; no row leaves its task. Given ``terms``, others are only counted."""
+    asked = None if terms is None else pa.array(terms, pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in _slices(batch.columns[-1]):
+                rows = batch.slice(start, end - start)
+                words, at = _words(pc.fill_null(rows.columns[-1], ""))
+                sizes = np.diff(at)
+                flat = words.dictionary_encode()
+                known, codes, row = max(1, len(flat.dictionary)), flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(rows)), sizes)
+                if asked is not None:
+                    wanted = pc.is_in(flat.dictionary, asked).to_numpy(zero_copy_only=False)[codes]
+                    codes, row = codes[wanted], row[wanted]
+                pairs, times = np.unique(row * known + codes, return_counts=True)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(pairs // known, minlength=len(rows)))]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, x) for x in (flat.dictionary.take(pa.array(pairs % known)), pa.array(times.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(sizes.astype(np.int32)), *lists], names=[*rows.schema.names[:-1], "dl", "terms", "tfs"])
+
+    return run
+
+
+def cut(chunks: DataFrame, key: str = "doc_id", text: Column | None = None, more: tuple[str, ...] = (), terms: list[str] | None = None) -> DataFrame:
+    """(key, more columns, dl, terms, tfs): the words of each chunk, counted before anything is exploded or shuffled.
+
+    Texts go to the workers as they are, in lower case, and are cut there by their bytes, some at a time, so a task's memory doesn't grow with its rows.
+    """
     text = search_text(F.col("path"), F.col("symbol"), F.col("content")) if text is None else text
-    words = chunks.select(key, *more, F.coalesce(tokens(text), F.array().cast("array<string>")).alias("words"))
+    words = chunks.select(key, *more, F.lower(text).alias("words"))
     given = ", ".join(f"`{c}` {words.schema[c].dataType.simpleString()}" for c in (key, *more))
-    return words.mapInArrow(counted, f"{given}, dl int, terms array<string>, tfs array<int>")
+    return words.mapInArrow(counted(terms), f"{given}, dl int, terms array<string>, tfs array<int>")
 
 
 def postings_of(chunks: DataFrame, key: str = "doc_id", text: Column | None = None) -> DataFrame:
