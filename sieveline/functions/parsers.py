@@ -17,6 +17,8 @@ from sieveline.schema import CHUNK, EDGE, LOOKUP, NODE, SKELETON_ROW
 
 #: Node and edge columns of one row of facts; a row is a node if it has an id, else an edge.
 FACT = StructType([StructField(f.name, f.dataType, True) for f in (*NODE.fields, *(x for x in EDGE.fields if x.name != "kind"))])
+#: Rows that a task gathers before it passes them on, besides those of the file at which it gets there.
+FRAME_ROWS = 2048
 #: Languages and what parses them: a module with chunks, outline and facts. Others may be registered.
 REGISTRY: dict[str, ModuleType] = {"python": parse_python, "javascript": parse_jsts, "typescript": parse_jsts}
 
@@ -49,9 +51,15 @@ def _mapped(files: DataFrame, schema, rows, more: tuple[str, ...] = ()) -> DataF
     names, given = schema.fieldNames(), ["path", "content", *more]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for frame in frames:
-            out = [r for path, content, *x in zip(*(frame[c] for c in given)) if content is not None and (p := parser_of(path)) for r in rows(p, path, content, *x)]
-            yield pd.DataFrame(out, columns=names, dtype=object)
+            for path, content, *x in zip(*(frame[c] for c in given)):
+                if content is not None and (p := parser_of(path)):
+                    out += rows(p, path, content, *x)
+                if len(out) >= FRAME_ROWS:
+                    yield pd.DataFrame(out, columns=names, dtype=object)
+                    out = []
+        yield pd.DataFrame(out, columns=names, dtype=object)
 
     return files.select(*given).mapInPandas(run, schema)
 
