@@ -102,9 +102,11 @@ class BallIndex:
         model = KMeans(k=k, seed=1, maxIter=ROUNDS, initMode="random", featuresCol="v").fit(some.select(array_to_vector(vector).alias("v")))
         return np.stack([np.asarray(c) for c in model.clusterCenters()])
 
-    def _stored(self, at: str, schema) -> DataFrame:
+    def _stored(self, at: str, schema, balls: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some balls, of which no other folder is listed then."""
         whole = StructType([*schema.fields]).add("away", DoubleType()).add("ball", IntegerType())
-        return self.spark.read.schema(whole).parquet(f"{at}/rows")
+        folders = [f"{at}/rows"] if balls is None else [f"{at}/rows/ball={b}" for b in balls]
+        return self.spark.read.schema(whole).option("basePath", f"{at}/rows").parquet(*folders)
 
     def nearest(self, query: list[float], k: int, where: Column | None = None, more: DataFrame | None = None, wave: int = 4, keep: Callable[[DataFrame], DataFrame] | None = None) -> Nearest:
         """The k best rows by score, then key, of those that ``where`` holds for, with ``more`` rows (key, vector) that the index hasn't: (key, score, rank).
@@ -134,7 +136,7 @@ class BallIndex:
                 if not now:
                     break
                 read += len(now)
-                rows = self._stored(at, schema).where(F.col("ball").isin(now))
+                rows = self._stored(at, schema, now)
                 rows = rows if where is None else rows.where(where)
                 scored = vector_scores(rows if keep is None else keep(rows), query, self.key, m["metric"])
                 best = self._kept(scored.unionByName(self._frame(best, schema)), k)
