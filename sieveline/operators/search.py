@@ -16,7 +16,7 @@ from sieveline.errors import EmbeddingDimensionError, ScoreColumnError
 from sieveline.functions.scalar import distance, search_text
 from sieveline.operators import ranking
 from sieveline.operators.predicates import check_query, scope, truncate_content
-from sieveline.sources.shared import written
+from sieveline.sources.shared import scratch, work_path, written
 
 K1, B = 1.2, 0.75
 RRF = 60
@@ -68,12 +68,30 @@ class TextIndex:
         known = queries.join(df, "term").crossJoin(F.broadcast(self.corpus))  # one row of statistics
         return known.join(postings, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
 
-    def best(self, asked: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
-        """(query_id, doc_id, score, rank) of the ``k`` best for each question, of those in ``within``; ``blocks.BlockIndex`` gives the same without scoring every posting."""
-        scored = self.scores(asked)
-        return top_k(scored if within is None else scored.join(within.select("doc_id"), "doc_id", "left_semi"), k, partition=["query_id"])
-
-
+    def _dealt(self, known: DataFrame, key: str, within: DataFrame | None) -> DataFrame:
+        """Postings of the asked terms, each once for all questions that ask for it, all of a document in one task."""
+        size = self.corpus.select("n").crossJoin(known.agg(F.count_distinct("query_id").alias("q"))).first()  # one row each
+        tasks = max(1, min(TASKS, -(-size["n"] * size["q"] // TASK_SCORES)))
+        rows = self.postings.join(known.select("term").distinct(), "term", "left_semi").repartition(tasks, key)
+        return rows if within is None else rows.join(within.select(key).repartition(tasks, key), key, "left_semi")
+
+    def best(self, asked: DataFrame, k: int, within: DataFrame | None = None, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+        """(query_id, doc_id, score, rank) of the ``k`` best for each question, of those in ``within``; ``blocks.BlockIndex`` gives the same without scoring every posting.
+
+        Documents are scored where their postings lie, and of a task's scores its ``k`` best a question alone go on. The search runs when it is called; its result is what stays of it.
+        """
+        path = work_path(asked.sparkSession, "best")
+        with scratch(asked.sparkSession):
+            idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+            known = asked.select("query_id", "term").join(self.terms, "term").crossJoin(F.broadcast(self.corpus))  # one row of statistics
+            known = written(known.select("query_id", "term", idf.alias("idf"), "avgdl"), "known")
+            weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+            scored = self._dealt(known, key, within).join(known, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+            return written(top_k(scored, k, key, ["query_id"]), "best", path)
+
+
+#: Scores that a task of ``TextIndex.best`` holds about, and how many tasks there are at most; with more to score they hold more each, and spill.
+TASK_SCORES, TASKS = 1 << 19, 10_000
 #: Bytes of text that a task cuts at once; a longer text stands alone.
 SLICE_BYTES = 2_000_000
 #: Of each byte, whether words hold it; those of other characters are all above 127.
