@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sieveline.functions.scalar import file_of, last_component, module_names, qualified_of
+from sieveline.sources.shared import written
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
@@ -34,10 +35,12 @@ def module_index(paths: DataFrame) -> DataFrame:
     return paths.select("path", F.explode(module_names(F.col("path"))).alias("module")).groupBy("module").agg(F.min("path").alias("path"))
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """(symbol, n, id): how many nodes a short or qualified name may mean, and the id if it is one."""
+def candidates(nodes: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(symbol, n, id): how many nodes a short or qualified name may mean, and the id if it is one; of the symbols in ``asked`` alone, if they are given."""
     short = nodes.select(F.col("name").alias("symbol"), "id")
     full = nodes.select(F.col("qualified_name").alias("symbol"), "id")
+    if asked is not None:
+        short, full = (x.join(asked.select("symbol"), "symbol", "left_semi") for x in (short, full))
     return short.unionByName(full).distinct().groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
 
 
@@ -66,18 +69,31 @@ def _phantom_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.where("kind = 'calls'").join(nodes.select(F.col("id").alias("target")), "target", "left_anti")
 
 
-def _with_targets(edges: DataFrame, moved: DataFrame) -> DataFrame:
-    """``moved`` has (target, new): CALLS edges to those targets point to the new ones, and edges stay distinct."""
+def _with_targets(edges: DataFrame, moved: DataFrame, unique: bool) -> DataFrame:
+    """``moved`` has (target, new): CALLS edges to those targets point to the new ones, and edges stay distinct.
+
+    Of edges that are ``unique`` as given, as stored ones are, only calls to the new targets can be the same now, and no others are compared.
+    """
     joined = edges.join(moved, (edges["target"] == moved["_target"]) & (edges["kind"] == "calls"), "left")
-    return joined.select("source", F.coalesce("new", "target").alias("target"), "kind").distinct()
+    every = joined.select("source", F.coalesce("new", "target").alias("target"), "kind")
+    if not unique:
+        return every.distinct()
+    met = moved.select(F.col("new").alias("_met")).distinct()
+    meets = (every["target"] == met["_met"]) & (every["kind"] == "calls")
+    return every.join(met, meets, "left_anti").unionByName(every.join(met, meets, "left_semi").distinct())
+
+
+def _moved(asked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(target, new) of those of ``asked`` (target, symbol) that one node bears the name of; tables of the shared folder, as they are read several times."""
+    asked = written(asked, "asked")
+    moved = asked.join(candidates(nodes, asked).where("n = 1"), "symbol").select(F.col("target").alias("_target"), F.col("id").alias("new"))
+    return written(moved, "moved")
 
 
-def rewrite_package_phantoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def rewrite_package_phantoms(edges: DataFrame, nodes: DataFrame, unique: bool = False) -> DataFrame:
     """CALLS to a missing ``package::Symbol`` point to the one node that is named so, if there is one."""
     missing = _phantom_calls(edges, nodes).where(F.contains("target", F.lit("::"))).select("target").distinct()
-    asked = missing.select("target", qualified_of(F.col("target")).alias("symbol"))
-    moved = asked.join(candidates(nodes).where("n = 1"), "symbol").select(F.col("target").alias("_target"), F.col("id").alias("new"))
-    return _with_targets(edges, moved)
+    return _with_targets(edges, _moved(missing.select("target", qualified_of(F.col("target")).alias("symbol")), nodes), unique)
 
 
 def prune_phantoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -88,11 +104,10 @@ def prune_phantoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(gone, (edges["target"] == gone["_gone"]) & (edges["kind"] == "calls"), "left_anti")
 
 
-def rewrite_bare_phantoms(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def rewrite_bare_phantoms(edges: DataFrame, nodes: DataFrame, unique: bool = False) -> DataFrame:
     """CALLS to a bare name point to the one node that has it, if there is one."""
-    missing = _phantom_calls(edges, nodes).where(~F.contains("target", F.lit("::"))).select(F.col("target").alias("symbol")).distinct()
-    moved = missing.join(candidates(nodes).where("n = 1"), "symbol").select(F.col("symbol").alias("_target"), F.col("id").alias("new"))
-    return _with_targets(edges, moved)
+    missing = _phantom_calls(edges, nodes).where(~F.contains("target", F.lit("::"))).select("target").distinct()
+    return _with_targets(edges, _moved(missing.select("target", F.col("target").alias("symbol")), nodes), unique)
 
 
 def post_merge(edges: DataFrame, nodes: DataFrame, languages: set[str] | None = None) -> DataFrame:
